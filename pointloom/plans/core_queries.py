@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import training
+from . import geometry_queries, registry, training
+
+__all__ = ["geometry_queries", "oracle_sql", "queries"]
 
 
 def queries():
-    return dict(training.QUERIES)
+    return dict(registry.QUERIES) | training.QUERIES
 
 
 def oracle_sql():
-    return dict(training.ORACLE)
+    return dict(registry.ORACLE) | training.ORACLE
