@@ -146,7 +146,7 @@ def index_list(tag: Column, values: Column) -> Column:
 
 def stamp_ok(sec: str = "stamp_sec", nano: str = "stamp_nanosec") -> Column:
     s, n = F.col(sec), F.col(nano)
-    return F.coalesce((n >= 0) & (n < 1_000_000_000) & ~((s == 0) & (n == 0)), F.lit(False))
+    return F.coalesce(s.isNotNull() & (n >= 0) & (n < 1_000_000_000) & ~((s == 0) & (n == 0)), F.lit(False))
 
 
 def stamp_seconds(sec: str = "stamp_sec", nano: str = "stamp_nanosec") -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import geometry_queries, registry, training
+from . import aggregate_queries, geometry_queries, join_queries, registry, training, window_queries
 
-__all__ = ["geometry_queries", "oracle_sql", "queries"]
+__all__ = ["aggregate_queries", "geometry_queries", "join_queries", "oracle_sql", "queries", "window_queries"]
 
 
 def queries():

@@ -118,7 +118,7 @@ def index_lists_expanded(spark, d):
     return i.select("interval_id", F.explode(geo.index_list(F.lit("r"), run)).alias("frame_index"))
 
 
-@query(f"with {FRM} select session_id, frame_index, seq, coalesce(stamp_nanosec >= 0 and stamp_nanosec < 1000000000 and not (stamp_sec = 0 and stamp_nanosec = 0), false) as usable, case when coalesce(stamp_nanosec >= 0 and stamp_nanosec < 1000000000 and not (stamp_sec = 0 and stamp_nanosec = 0), false) then round(stamp_sec + stamp_nanosec / 1e9, 6) end as stamp_s from frm")
+@query(f"with {FRM} select session_id, frame_index, seq, coalesce(stamp_sec is not null and stamp_nanosec >= 0 and stamp_nanosec < 1000000000 and not (stamp_sec = 0 and stamp_nanosec = 0), false) as usable, case when coalesce(stamp_sec is not null and stamp_nanosec >= 0 and stamp_nanosec < 1000000000 and not (stamp_sec = 0 and stamp_nanosec = 0), false) then round(stamp_sec + stamp_nanosec / 1e9, 6) end as stamp_s from frm")
 def device_stamps(spark, d):
     return frames(spark, d).select("session_id", "frame_index", "seq", geo.stamp_ok().alias("usable"), rnd(geo.stamp_seconds()).alias("stamp_s"))
 
