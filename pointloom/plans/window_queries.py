@@ -148,14 +148,14 @@ def motion_progress(spark, d):
 
 
 @query(f"""with {REC}, r as (select *, row_number() over ({_O}) - 1 as rn, count(*) over ({_K}) as n from rec), g as (select session_id, track_id, n, unnest(range(0, n - 20 + 1, 10)) as win from (select distinct session_id, track_id, n from r) where n >= 20)
-select g.session_id, g.track_id, g.win as "window", count(*) as rows, round(avg(height_median_m), 6) as mean, round(stddev_pop(height_median_m), 6) as std, round(quantile_cont(height_median_m, 0.1), 6) as p10, round(quantile_cont(height_median_m, 0.9), 6) as p90, round(arg_max(height_median_m, frame_index) - arg_min(height_median_m, frame_index), 6) as change
+select g.session_id, g.track_id, g.win as "window", count(*) as rows, round(avg(height_median_m), 9) as mean, round(stddev_pop(height_median_m), 6) as std, round(quantile_cont(height_median_m, 0.1), 6) as p10, round(quantile_cont(height_median_m, 0.9), 6) as p90, round(arg_max(height_median_m, frame_index) - arg_min(height_median_m, frame_index), 6) as change
 from g join r on r.session_id = g.session_id and r.track_id = g.track_id and r.rn between g.win and g.win + 19 group by 1, 2, 3""")
 def hopping_window_features(spark, d):
     h = win.hopping_rows(records(spark, d), KEY, ["frame_index"], 20, 10)
     v, has = "height_median_m", F.col("height_median_m").isNotNull()
     p = F.percentile(v, [0.1, 0.9])
     change = F.max_by(v, F.when(has, F.col("frame_index"))) - F.min_by(v, F.when(has, F.col("frame_index")))
-    a = h.groupBy(*KEY, "window").agg(F.count("*").alias("rows"), rnd(F.avg(v)).alias("mean"), rnd(F.stddev_pop(v)).alias("std"), p.alias("p"), rnd(change).alias("change"))
+    a = h.groupBy(*KEY, "window").agg(F.count("*").alias("rows"), rnd(F.avg(v), 9).alias("mean"), rnd(F.stddev_pop(v)).alias("std"), p.alias("p"), rnd(change).alias("change"))
     return a.select(*KEY, "window", "rows", "mean", "std", rnd(F.get("p", 0)).alias("p10"), rnd(F.get("p", 1)).alias("p90"), "change")
 
 
