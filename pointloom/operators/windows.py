@@ -7,7 +7,7 @@ limits, latches) are steps of one Python function shared with the streaming oper
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..core import group_starts, stream_groups
+from ..core import group_starts
 
 
 def over(keys: Sequence[str], order: Sequence[str]):
@@ -223,22 +223,30 @@ def choose_with_ambiguity(df: DataFrame, keys: Sequence[str], order: Sequence[Co
 
 
 def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], step: Callable, out: Sequence[tuple[str, str]]) -> DataFrame:
-    """Adds columns that a step function computes row by row: step(state, *inputs) -> (state, values). Sorted partitions
-    are streamed; the state is all that a key keeps from row to row (across batches the key's rows are joined)."""
+    """Adds columns that a step function computes row by row: step(state, *inputs) -> (state, values).
+
+    Sorted partitions are streamed batch by batch; from row to row only the state of the current key is kept, so a key
+    of any length needs no more memory than a batch. NaN inputs come as None.
+    """
     keys, order, names = list(keys), list(order), [n for n, _ in out]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` {k}" for n, k in out])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cuts, cols = group_starts(pdf, keys), [pdf[c].tolist() for c in inputs]
-        rows = []
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            state = None
-            for r in range(lo, hi):
-                state, values = step(state, *[None if (v := c[r]) is None or v != v else v for c in cols])
-                rows.append(values)
-        return pdf.assign(**{n: pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(names)})
-
-    return stream_groups(df, keys, order, run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cuts, cols, rows = group_starts(pdf, keys), [pdf[c].tolist() for c in inputs], []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                key = tuple(None if pd.isna(v) else v for v in (pdf[k].iat[lo] for k in keys))
+                if key != last:
+                    last, state = key, None
+                for r in range(lo, hi):
+                    state, values = step(state, *[None if (v := c[r]) is None or (isinstance(v, float) and v != v) else v for c in cols])
+                    rows.append(values)
+            yield pdf.assign(**{n: pd.Series([r[k] for r in rows], dtype=object, index=pdf.index) for k, n in enumerate(names)})
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def ema_step(alpha: float) -> Callable:
