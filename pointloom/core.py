@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -25,6 +27,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pointloom-cp-"))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's sources to the Python workers once a session, wherever the driver imported it from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pointloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # not when the package itself came as a zip
+        path = os.path.join(tempfile.mkdtemp(prefix="pointloom-src-"), "pointloom.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(root):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.join("pointloom", os.path.relpath(full, root)))
+        sc.addPyFile(path)
+    sc._pointloom_shipped = True
+
+
 def trim_blanks(c: Column | str) -> Column:
     """Strip every kind of blank from both ends."""
     return F.regexp_replace(c, f"^{BLANKS}+|{BLANKS}+$", "")
