@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 SEED, BRIDGE = 4, 4
 #: Words of a piece at least ("about a sentence"); part of the item's words that pieces must cover.
 PIECE, COVER = 9, 0.6
+#: Part of a piece that must be verbatim: texts made from one pattern share phrases, copies differ here and there.
+DENSE = 0.7
 #: Rows of one shard (an Arrow batch of documents).
 SHARD_DOCS = 4000
 #: Items are held by every task; more words than this are refused rather than broadcast.
@@ -139,9 +141,10 @@ def matches(items: Items, docs: list[list[str]], seed: int = SEED):
     return doc[head], item[head], p[head], q[head], length
 
 
-def chain(p: list[int], q: list[int], n: list[int], bridge: int, piece: int) -> list[tuple[int, int, int, int]]:
-    """Pieces (item from, item to, doc from, doc to) of one document and item: matches in order of place, each joined to
-    an earlier piece that ends at most ``bridge`` words before it on both sides. Only pieces of ``piece`` words."""
+def chain(p: list[int], q: list[int], n: list[int], bridge: int, piece: int) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (item from, item to, doc from, doc to, verbatim words) of one document and item: matches in order of place,
+    each joined to an earlier piece that ends at most ``bridge`` words before it on both sides. Only pieces of ``piece``
+    words, DENSE of them verbatim."""
     open_: list[list[int]] = []
     done: list[list[int]] = []
     for a, b, m in sorted(zip(p, q, n)):
@@ -157,10 +160,11 @@ def chain(p: list[int], q: list[int], n: list[int], bridge: int, piece: int) ->
                 best = c
         open_ = still
         if best is None:
-            open_.append([b, b + m, a, a + m])
+            open_.append([b, b + m, a, a + m, m])
         else:
+            best[4] += max(0, b + m - max(best[1], b))
             best[1], best[3] = max(best[1], b + m), max(best[3], a + m)
-    return [tuple(c) for c in done + open_ if c[1] - c[0] >= piece]
+    return [tuple(c) for c in done + open_ if c[1] - c[0] >= piece and c[4] >= DENSE * (c[1] - c[0])]
 
 
 def _covered(spans: list[tuple[int, int]]) -> int:
