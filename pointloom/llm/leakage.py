@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 #: Words of a verbatim match at least; matches this near (words left out or altered) belong to one piece.
 SEED, BRIDGE = 4, 4
-#: Words of a piece at least ("about a sentence"); part of the item's words that pieces must cover.
-PIECE, COVER = 9, 0.6
+#: Words of a piece at least ("about a sentence"), single characters where the item is written in them; part of the
+#: item's words that pieces must cover.
+PIECE, PIECE_SINGLE, COVER = 9, 16, 0.6
 #: Part of a piece that must be verbatim: texts made from one pattern share phrases, copies differ here and there.
 DENSE = 0.7
 #: Rows of one shard (an Arrow batch of documents).
@@ -31,6 +32,7 @@ MAX_ITEM_WORDS = 5_000_000
 
 _SINGLE = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff"
 _WORD = re.compile(f"[{_SINGLE}]|[^\\W_{_SINGLE}]+")
+_ONE = re.compile(f"[{_SINGLE}]")
 _INNER = re.compile(r"(?<=\d)[.,'’](?=\d)|(?<=\w)['’](?=\w)")
 _MARKS = re.compile("[\\u0300-\\u036f\\u00ad\\u200b-\\u200f\\u2060\\ufeff\\u1ab0-\\u1aff\\u20d0-\\u20ff]")
 
@@ -63,6 +65,8 @@ class Items:
         self.length = np.array([len(w) for w in self.texts], "int64")
         self.start = np.append(0, np.cumsum(self.length))
         self.words = np.array([self.number[x] for w in self.texts for x in w], "int32")
+        single = np.array([sum(bool(_ONE.fullmatch(x)) for x in w) * 2 > len(w) for w in self.texts], bool)
+        self.piece = np.minimum(np.where(single, PIECE_SINGLE, PIECE), self.length)
         self.item_of = np.repeat(np.arange(len(self.texts)), self.length)
 
     def size(self) -> int:
@@ -177,7 +181,7 @@ def _covered(spans: list[tuple[int, int]]) -> int:
 
 
 def leaked_items(
-    spark: SparkSession, documents: DataFrame, items: DataFrame, seed: int = SEED, bridge: int = BRIDGE, piece: int = PIECE, cover: float = COVER
+    spark: SparkSession, documents: DataFrame, items: DataFrame, seed: int = SEED, bridge: int = BRIDGE, cover: float = COVER
 ) -> DataFrame:
     """(doc_id, item_id, covered, matched_words, pieces): the items that stand in each document, with the part of their words that
     the pieces cover, the words of the longest verbatim match and the number of pieces.
@@ -205,7 +209,7 @@ def leaked_items(
         for k in np.flatnonzero(most >= cover * it.length[item[cut[:-1]]]):
             lo, hi = cut[k], cut[k + 1]
             i, length = item[lo], it.length[item[lo]]
-            got = chain(p[lo:hi].tolist(), q[lo:hi].tolist(), n[lo:hi].tolist(), bridge, min(piece, int(length)))
+            got = chain(p[lo:hi].tolist(), q[lo:hi].tolist(), n[lo:hi].tolist(), bridge, int(it.piece[i]))
             share = _covered([(c[0], c[1]) for c in got]) / length
             if share >= cover:
                 d = int(pdf["doc_id"].iat[doc[lo]])
