@@ -176,20 +176,42 @@ def spread_subset(p: np.ndarray, k: int) -> list[int]:
 
 
 def assign_optimal(cost: np.ndarray, miss: float) -> list[int]:
-    """Column of each row (-1: none) at least total cost; a row left out costs ``miss``. Exact, by columns used."""
+    """Column of each row (-1: none) at least total cost; a row left out costs ``miss``. Exact at any size: shortest
+    augmenting paths with row and column prices, each row with a column of its own for staying out."""
     n, m = cost.shape
-    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    if not n:
+        return []
+    far = float(np.abs(cost[np.isfinite(cost)]).sum() + abs(miss)) * (n + 1) + 1.0
+    c = np.full((n, m + n), far)
+    c[:, :m] = np.where(np.isfinite(cost), cost, far)
+    c[np.arange(n), m + np.arange(n)] = miss
+    row_price, col_price = np.zeros(n), np.zeros(m + n)
+    owner = np.full(m + n, -1)
     for i in range(n):
-        new: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for used, (c, path) in best.items():
-            for j in range(-1, m):
-                if j >= 0 and (used >> j & 1 or not np.isfinite(cost[i, j])):
-                    continue
-                key, val = used | (1 << j if j >= 0 else 0), (c + (miss if j < 0 else float(cost[i, j])), (*path, j))
-                if key not in new or val < new[key]:
-                    new[key] = val
-        best = new
-    return list(min(best.values())[1]) if n else []
+        dist = c[i] - row_price[i] - col_price
+        came, done = np.full(m + n, -1), np.zeros(m + n, bool)
+        while True:
+            j = int(np.where(done, np.inf, dist).argmin())
+            done[j] = True
+            if owner[j] < 0:
+                break
+            k = owner[j]
+            step = dist[j] + c[k] - row_price[k] - col_price
+            better = ~done & (step < dist)
+            dist[better], came[better] = step[better], j
+        used = np.flatnonzero(done & (np.arange(m + n) != j))
+        row_price[i] += dist[j]
+        row_price[owner[used]] += dist[j] - dist[used]
+        col_price[used] -= dist[j] - dist[used]
+        while came[j] >= 0:
+            owner[j] = owner[came[j]]
+            j = came[j]
+        owner[j] = i
+    out = [-1] * n
+    for j in range(m):
+        if owner[j] >= 0 and np.isfinite(cost[owner[j], j]):
+            out[owner[j]] = j
+    return out
 
 
 def assign_greedy(cost: np.ndarray) -> list[int]:

@@ -14,57 +14,62 @@ from .geometry_queries import _GRID, grid_cells, rnd
 from .registry import query
 
 
+def _frames(spark, d):
+    """Points with a group for each frame of each session."""
+    return valid_points(spark, d).filter("frame_index is not null").withColumn("g", F.concat_ws(":", "session_id", "frame_index"))
+
+
 def _recursive(nodes: str, edge: str, out: str) -> str:
     return f"""with recursive {nodes}, reach(g, root, n) as (select g, id, id from nd union select r.g, r.root, e.b from reach r join ed e on e.g = r.g and e.a = r.n), comp as (select g, n as id, min(root) as root from reach group by 1, 2) {out}"""
 
 
-_VOXN = f"""{OKP}, v as (select session_id, floor(x/0.5)::bigint as cx, floor(y/0.5)::bigint as cy, floor(z/0.5)::bigint as cz, count(*) as n from ok where frame_index = 3 group by 1, 2, 3, 4),
-nd as (select session_id as g, ((cx+100)*1000 + cy+100)*1000 + cz+100 as id, cx, cy, cz, n from v), ed as (select a.g, a.id as a, b.id as b from nd a join nd b on a.g = b.g and abs(a.cx-b.cx) <= 1 and abs(a.cy-b.cy) <= 1 and abs(a.cz-b.cz) <= 1)"""
+_VOXN = f"""{OKP}, v as (select session_id || ':' || frame_index as g, floor(x/0.5)::bigint as cx, floor(y/0.5)::bigint as cy, floor(z/0.5)::bigint as cz, count(*) as n from ok where frame_index is not null group by 1, 2, 3, 4),
+nd as (select g, ((cx+100)*1000 + cy+100)*1000 + cz+100 as id, cx, cy, cz, n from v), ed as (select a.g, a.id as a, b.id as b from nd a join nd b on a.g = b.g and abs(a.cx-b.cx) <= 1 and abs(a.cy-b.cy) <= 1 and abs(a.cz-b.cz) <= 1)"""
 
 
-@query(_recursive(_VOXN, "", "select comp.g as session_id, count(distinct root) as components, max(c) as largest from (select comp.g, root, count(*) over (partition by comp.g, root) as c from comp) comp group by 1"))
+@query(_recursive(_VOXN, "", "select comp.g, count(distinct root) as components, max(c) as largest from (select comp.g, root, count(*) over (partition by comp.g, root) as c from comp) comp group by 1"))
 def voxel_components(spark, d):
-    p = valid_points(spark, d).filter("frame_index = 3").select("session_id", *[F.floor(F.col(c) / 0.5).cast("bigint").alias(f"c{c}") for c in "xyz"]).distinct()
-    c = cl.cell_components(p, ["session_id"], ["cx", "cy", "cz"]).groupBy("session_id", "component").agg(F.count("*").alias("n"))
-    return c.groupBy("session_id").agg(F.count("*").alias("components"), F.max("n").alias("largest"))
+    p = _frames(spark, d).select("g", *[F.floor(F.col(c) / 0.5).cast("bigint").alias(f"c{c}") for c in "xyz"]).distinct()
+    c = cl.cell_components(p, ["g"], ["cx", "cy", "cz"]).groupBy("g", "component").agg(F.count("*").alias("n"))
+    return c.groupBy("g").agg(F.count("*").alias("components"), F.max("n").alias("largest"))
 
 
-_GN = f"""{_GRID}, nd as (select session_id as g, ring * 100 + col as id, ring, col, range_m from g where ring < 48), ed as (select a.g, a.id as a, b.id as b from nd a join nd b on a.g = b.g and abs(a.ring - b.ring) <= 1 and abs(a.col - b.col) <= 1 and abs(a.range_m - b.range_m) <= greatest(0.15, 0.05 * least(a.range_m, b.range_m)))"""
+_GN = f"""{_GRID}, nd as (select session_id as g, ring * 100 + col as id, ring, col, range_m from g), ed as (select a.g, a.id as a, b.id as b from nd a join nd b on a.g = b.g and abs(a.ring - b.ring) <= 1 and abs(a.col - b.col) <= 1 and abs(a.range_m - b.range_m) <= greatest(0.15, 0.05 * least(a.range_m, b.range_m)))"""
 
 
 @query(_recursive(_GN, "", "select g as session_id, id // 100 as ring, id % 100 as col, dense_rank() over (partition by g order by root) - 1 as component from comp"))
 def grid_components(spark, d):
     """Eight-neighbour components with depth continuity, numbered by their first cell."""
-    g = grid_cells(spark, d).filter("ring < 48")
+    g = grid_cells(spark, d)
     c = cl.cell_components(g, ["session_id"], ["ring", "col"], True, ("range_m", 0.15, 0.05))
     return c.select("session_id", F.col("ring").cast("int").alias("ring"), F.col("col").cast("int").alias("col"), "component")
 
 
-_XY = f"""{OKP}, v as (select distinct session_id, floor(x/0.5)::bigint as cx, floor(y/0.5)::bigint as cy from ok where frame_index = 5), nd as (select session_id as g, (cx+100)*1000 + cy+100 as id, cx, cy from v),
+_XY = f"""{OKP}, v as (select distinct session_id || ':' || frame_index as g, floor(x/0.5)::bigint as cx, floor(y/0.5)::bigint as cy from ok where frame_index is not null), nd as (select g, (cx+100)*1000 + cy+100 as id, cx, cy from v),
 ed as (select a.g, a.id as a, b.id as b from nd a join nd b on a.g = b.g and abs(a.cx-b.cx) + abs(a.cy-b.cy) <= 1)"""
 
 
-@query(_recursive(_XY, "", "select g as session_id, count(distinct root) as components from comp group by 1"))
+@query(_recursive(_XY, "", "select g, count(distinct root) as components from comp group by 1"))
 def four_neighbour_components(spark, d):
-    p = valid_points(spark, d).filter("frame_index = 5").select("session_id", *[F.floor(F.col(c) / 0.5).cast("bigint").alias(f"c{c}") for c in "xy"]).distinct()
-    return cl.cell_components(p, ["session_id"], ["cx", "cy"], diagonal=False).groupBy("session_id").agg(F.count_distinct("component").alias("components"))
+    p = _frames(spark, d).select("g", *[F.floor(F.col(c) / 0.5).cast("bigint").alias(f"c{c}") for c in "xy"]).distinct()
+    return cl.cell_components(p, ["g"], ["cx", "cy"], diagonal=False).groupBy("g").agg(F.count_distinct("component").alias("components"))
 
 
-_FR = f"""{OKP}, nd as (select session_id || ':' || frame_index as g, point_id as id, x, y, z from ok where frame_index < 40), ed as (select a.g, a.id as a, b.id as b from nd a join nd b on a.g = b.g and (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 0.64)"""
+_FR = f"""{OKP}, nd as (select session_id || ':' || frame_index as g, point_id as id, x, y, z from ok where frame_index is not null), ed as (select a.g, a.id as a, b.id as b from nd a join nd b on a.g = b.g and (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 0.64)"""
 
 
 @query(_recursive(_FR, "", "select g, count(*) as points, count(distinct root) as clusters from comp group by 1"))
 def euclidean_clusters(spark, d):
     """Exact single-link clusters of each frame."""
-    p = valid_points(spark, d).filter("frame_index < 40").withColumn("g", F.concat_ws(":", "session_id", "frame_index"))
+    p = _frames(spark, d)
     c = cl.group_clusters(p, ["g"], "point_id", cl.single_link(0.8))
     return c.groupBy("g").agg(F.count("*").alias("points"), F.count_distinct("cluster").alias("clusters"))
 
 
-@query(f"""with {OKP}, nd as (select session_id || ':' || frame_index as g, point_id as id, x, y, z from ok where frame_index < 40), pr as (select a.g, a.id as a, b.id as b from nd a join nd b on a.g = b.g and (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 1.0),
+@query(f"""with {OKP}, nd as (select session_id || ':' || frame_index as g, point_id as id, x, y, z from ok where frame_index is not null), pr as (select a.g, a.id as a, b.id as b from nd a join nd b on a.g = b.g and (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 1.0),
 dg as (select g, a as id, count(*) as n from pr group by 1, 2) select g, count(*) as points, count_if(n >= 3) as core, count_if(n < 3 and not exists (select 1 from pr p join dg q on q.g = p.g and q.id = p.b and q.n >= 3 where p.g = dg.g and p.a = dg.id)) as noise from dg group by 1""")
 def density_clusters(spark, d):
-    p = valid_points(spark, d).filter("frame_index < 40").withColumn("g", F.concat_ws(":", "session_id", "frame_index"))
+    p = _frames(spark, d)
 
     def run(pdf):
         x = pdf[["x", "y", "z"]].to_numpy("float64")
@@ -77,23 +82,23 @@ def density_clusters(spark, d):
 
 @query()
 def coarse_fine_clusters(spark, d):
-    p = valid_points(spark, d).filter("frame_index < 40").withColumn("g", F.concat_ws(":", "session_id", "frame_index"))
+    p = _frames(spark, d)
     return cl.group_clusters(p, ["g"], "point_id", cl.coarse_then_fine(1.6, 0.8)).groupBy("g").agg(F.count_distinct("cluster").alias("clusters"))
 
 
-_ED = """ed0 as (select distinct 's:' || sid as a, 'n:' || sensor_id as b from session_catalog where sid is not null and frame_count > 140)"""
+_ED = """ed0 as (select distinct 's:' || sid as a, 'n:' || sensor_id as b from session_catalog where sid is not null and sensor_id is not null)"""
 
 
 @query(f"""with recursive {_ED}, ed as (select a, b from ed0 union select b, a from ed0), nd as (select distinct a as id from ed), reach(root, n) as (select id, id from nd union select r.root, e.b from reach r join ed e on e.a = r.n), comp as (select n as node, min(root) as component from reach group by 1) select node, component from comp""")
 def distributed_components(spark, d):
     """Sessions and sensors joined through one another, over any number of partitions."""
-    c = table(spark, d, "session_catalog").filter("sid is not null and frame_count > 140 and sensor_id is not null")
+    c = table(spark, d, "session_catalog").filter("sid is not null and sensor_id is not null")
     return cl.connected_components(c.select(F.concat(F.lit("s:"), "sid").alias("a"), F.concat(F.lit("n:"), "sensor_id").alias("b")))
 
 
-@query("""with recursive p as (select distinct 'l:' || frame_count as a, 'r:' || substr(sid, 5, 6) as b from session_catalog where sid is not null and frame_count > 150), ed as (select a, b from p union select b, a from p), reach(root, n) as (select distinct a, a from ed union select r.root, e.b from reach r join ed e on e.a = r.n), c as (select n, min(root) as block from reach group by 1) select substr(n, 1, 1) as side, substr(n, 3) as id, block from c""")
+@query("""with recursive p as (select distinct 'l:' || frame_count as a, 'r:' || substr(sid, 5, 6) as b from session_catalog where sid is not null and frame_count is not null), ed as (select a, b from p union select b, a from p), reach(root, n) as (select distinct a, a from ed union select r.root, e.b from reach r join ed e on e.a = r.n), c as (select n, min(root) as block from reach group by 1) select substr(n, 1, 1) as side, substr(n, 3) as id, block from c""")
 def block_closure(spark, d):
-    c = table(spark, d, "session_catalog").filter("sid is not null and frame_count > 150")
+    c = table(spark, d, "session_catalog").filter("sid is not null and frame_count is not null")
     return cl.closure(c.select(F.col("frame_count").alias("l"), F.substring("sid", 5, 6).alias("r")).distinct())
 
 
@@ -173,8 +178,7 @@ def registered_halves(spark, d):
         x, odd = pdf[["x", "y", "z"]].to_numpy("float64"), (pdf["frame_index"] % 2 == 1).to_numpy()
         if odd.sum() < 10 or (~odd).sum() < 10:
             return []
-        target = x[~odd]
-        r, t, err = fit.icp(x[odd], target[np.linspace(0, len(target) - 1, min(1500, len(target))).astype(int)], trim=0.7)
+        r, t, err = fit.icp(x[odd], x[~odd], trim=0.7)
         return [(round(float(np.degrees(np.arccos(np.clip((np.trace(r) - 1) / 2, -1, 1)))), 4), round(float(np.linalg.norm(t)), 5), round(err, 5))]
 
     p = valid_points(spark, d).filter("frame_index is not null").select("session_id", "frame_index", "point_id", "x", "y", "z")
@@ -194,10 +198,10 @@ def merged_fragments(spark, d):
         a, b = cl.radius_graph(mid, 1.5)
         links = [(float(np.linalg.norm(mid[i] - mid[j])), int(i), int(j)) for i, j in zip(a, b)]
         m = fit.merge_constrained(boxes, np.bincount(lab).tolist(), links, 2.2, 1.6, 3.0)
-        pick = fit.spread_subset(mid[:24], 4)
+        pick = fit.spread_subset(mid, 4)
         return [(int(n), int(m.max() + 1), round(fit.largest_gap(mid), 5), len(pick))]
 
-    p = valid_points(spark, d).filter("frame_index < 40").select("session_id", "frame_index", "point_id", "x", "y", "z")
+    p = valid_points(spark, d).filter("frame_index is not null").select("session_id", "frame_index", "point_id", "x", "y", "z")
     return fit.per_group(p, ["session_id", "frame_index"], ["point_id"], run, "fragments int, merged int, largest_gap double, spread int")
 
 
@@ -207,7 +211,7 @@ def assignments(spark, d):
 
     def run(pdf):
         a, b = pdf[pdf["frame_index"] % 2 == 0], pdf[pdf["frame_index"] % 2 == 1]
-        x, y = a[["x", "y"]].to_numpy("float64")[:8], b[["x", "y"]].to_numpy("float64")[:8]
+        x, y = a[["x", "y"]].to_numpy("float64"), b[["x", "y"]].to_numpy("float64")
         if not len(x) or not len(y):
             return []
         c = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))

@@ -73,14 +73,15 @@ def vector_functions(spark, d):
     return table(spark, d, "embeddings").select("vec_id", rnd(fa.norm(e), 4).alias("norm"), F.size(e).alias("dims"), fa.argmin(e).alias("lowest"), fa.argmax(e).alias("highest"), rnd(F.get(fa.diff(F.transform(e, lambda x: x.cast("double"))), 0), 5).alias("first_step"))
 
 
-@query(f"""with {REC}, r as (select session_id, track_id, height_median_m as v, frame_index, row_number() over (partition by session_id, track_id order by frame_index) as rn from rec where height_median_m is not null) select session_id, track_id, round(sum(v) filter (rn <= 10), 6) as total, count(*) filter (rn <= 10) as n from r group by 1, 2""")
+@query(f"""with {REC}, r as (select session_id, track_id, height_median_m as v, (row_number() over (partition by session_id, track_id order by frame_index) - 1) // 16 as packet from rec where height_median_m is not null) select session_id, track_id, packet, round(sum(v), 6) as total, count(*) as n from r group by 1, 2, 3""")
 def running_sums(spark, d):
-    """Running sum of a track's first ten heights; its last element is their total."""
+    """Running sum of each packet of 16 heights; its last element is their total."""
     r = records(spark, d).filter("height_median_m is not null")
     w = W.partitionBy("session_id", "track_id").orderBy("frame_index")
-    t = r.withColumn("rn", F.row_number().over(w)).filter("rn <= 10").groupBy("session_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("rn", "height_median_m"))).alias("a"))
+    r = r.withColumn("rn", F.row_number().over(w) - 1).withColumn("packet", F.floor(F.col("rn") / 16))
+    t = r.groupBy("session_id", "track_id", "packet").agg(F.array_sort(F.collect_list(F.struct("rn", "height_median_m"))).alias("a"))
     c = fa.cumsum(F.transform("a", lambda s: s["height_median_m"]))
-    return t.select("session_id", "track_id", rnd(F.element_at(c, -1)).alias("total"), F.size("a").cast("bigint").alias("n"))
+    return t.select("session_id", "track_id", "packet", rnd(F.element_at(c, -1)).alias("total"), F.size("a").cast("bigint").alias("n"))
 
 
 @query(f"with {REC}, w as (select session_id, track_id, count(*) as n, avg(height_median_m) as h, count_if(height_median_m <= 0.6) as lo, min(case when height_median_m <= 0.6 then frame_index end) as f, min(case when height_median_m >= 1.0 then frame_index end) as u from rec group by 1, 2) select session_id, track_id, case when h is null then 'NO_VALID_FRAME' when u is null then 'NEVER_UPRIGHT' when lo = 0 then 'NEVER_LOW' when f < u then 'LOW_FIRST' when n < 20 then 'TOO_SHORT' else 'OK' end as gate from w")
@@ -91,14 +92,14 @@ def admission_gate(spark, d):
     return w.select("session_id", "track_id", g.alias("gate"))
 
 
-@query(f"""with {OKP}, p as (select session_id, frame_index, point_id, x, y from ok where frame_index < 30), h as (select a.session_id, a.frame_index as f0, a.point_id, a.x, a.y, b.x - a.x as vx, b.y - a.y as vy from p a join p b on a.session_id = b.session_id and b.frame_index = a.frame_index + 1 where (a.x-b.x)**2 + (a.y-b.y)**2 between 0.01 and 0.04),
+@query(f"""with {OKP}, p as (select session_id, frame_index, point_id, x, y from ok where frame_index is not null), h as (select a.session_id, a.frame_index as f0, a.point_id, a.x, a.y, b.x - a.x as vx, b.y - a.y as vy from p a join p b on a.session_id = b.session_id and b.frame_index = a.frame_index + 1 where (a.x-b.x)**2 + (a.y-b.y)**2 between 0.01 and 0.04),
 k as (select h.session_id, h.point_id, h.f0, h.vx, h.vy, count(distinct c.frame_index) as hits from h join p c on c.session_id = h.session_id and c.frame_index between h.f0 + 2 and h.f0 + 5 and (h.x + h.vx * (c.frame_index - h.f0) - c.x)**2 + (h.y + h.vy * (c.frame_index - h.f0) - c.y)**2 <= 0.01 group by 1, 2, 3, 4, 5)
 select session_id, count(*) as supported, max(hits) as best from k group by 1""")
 def track_before_detect(spark, d):
     """Motion hypotheses from two frames, supported by later frames near where they lead."""
     from ..operators.joins import radius_join
 
-    p = valid_points(spark, d).filter("frame_index < 30").select("session_id", "frame_index", "point_id", "x", "y")
+    p = valid_points(spark, d).filter("frame_index is not null").select("session_id", "frame_index", "point_id", "x", "y")
     nxt = p.withColumn("frame_index", F.col("frame_index") - 1)
     h = radius_join(p, nxt, ["session_id", "frame_index"], ["x", "y"], 0.2).filter((F.col("dist") * F.col("dist") >= 0.01))
     h = h.select("session_id", F.col("frame_index").alias("f0"), "point_id", "x", "y", (F.col("x_r") - F.col("x")).alias("vx"), (F.col("y_r") - F.col("y")).alias("vy"))

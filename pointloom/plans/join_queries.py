@@ -191,11 +191,11 @@ def velocity_hypotheses(spark, d):
     return jn.velocity_hypotheses(p, ["session_id"], "frame_index", "point_id", 0.1, 0.5).select("point_id", "point_id_r", rnd("dist").alias("dist"))
 
 
-@query(f"""with {OKP} select a.session_id, round(min(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2)), 6) as gap from ok a join ok b on a.session_id = b.session_id and a.ring < 64 and b.ring >= 128
+@query(f"""with {OKP} select a.session_id, round(min(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2)), 6) as gap from ok a join ok b on a.session_id = b.session_id and a.ring < 96 and b.ring >= 96
  and abs(a.x-b.x) <= 0.5 and abs(a.y-b.y) <= 0.5 and abs(a.z-b.z) <= 0.5 where (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 0.25 group by 1""")
 def point_set_gaps(spark, d):
     p = valid_points(spark, d)
-    return jn.set_distance(p.filter("ring < 64"), p.filter("ring >= 128"), ["session_id"], 0.5).select("session_id", rnd("gap").alias("gap"))
+    return jn.set_distance(p.filter("ring < 96"), p.filter("ring >= 96"), ["session_id"], 0.5).select("session_id", rnd("gap").alias("gap"))
 
 
 @query(f"with {_LAB} select count(*) as intervals, count(distinct session_id) as sessions from lab")
