@@ -2,6 +2,8 @@
 
 A suffix automaton per language holds labelled text. A sentence is parsed greedily into the longest phrases that an
 automaton knows; the language that needs the fewest phrases wins, and the lead over the next gives the confidence.
+Which labelled sentences an automaton is built from is settled while fitting, on a bounded sample: character grams of
+one half of it find the wrong labels of the other half.
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,23 +31,14 @@ LEAD, LEAD_PHRASES = 1.25, 1.0
 KEPT = 0.3
 #: Nats a gram by which a label must explain its own text better than any commoner label does, or a single sentence.
 AS_WELL, NEAR = 0.25, 0.05
-#: Sentences whose result a task remembers (copies and set phrases are parsed once); emptied when full.
-MEMO = 200_000
-
-#: Code (ISO 639-1): other codes (ISO 639-2/3) and names.
-LANGUAGES = {
-    "ar": "ara arabic العربية", "bg": "bul bulgarian български", "ca": "cat catalan català", "cs": "ces cze czech čeština",
-    "da": "dan danish dansk", "de": "deu ger german deutsch", "el": "ell gre greek ελληνικά", "en": "eng english",
-    "es": "spa spanish español castellano castilian", "et": "est estonian eesti", "eu": "eus baq basque euskara",
-    "fa": "fas per persian farsi فارسی", "fi": "fin finnish suomi", "fr": "fra fre french français", "ga": "gle irish gaeilge",
-    "he": "heb hebrew עברית iw", "hi": "hin hindi हिन्दी", "hr": "hrv croatian hrvatski", "hu": "hun hungarian magyar",
-    "id": "ind indonesian", "is": "isl ice icelandic íslenska", "it": "ita italian italiano", "ja": "jpn japanese 日本語 日本 jp",
-    "ko": "kor korean 한국어 kr", "la": "lat latin", "lt": "lit lithuanian lietuvių", "lv": "lav latvian latviešu",
-    "nb": "nob bokmål", "nl": "nld dut dutch nederlands flemish", "no": "nor norwegian norsk", "pl": "pol polish polski",
-    "pt": "por portuguese português", "ro": "ron rum romanian română", "ru": "rus russian русский", "sk": "slk slo slovak slovenčina",
-    "sl": "slv slovenian slovenščina", "sr": "srp serbian српски", "sv": "swe swedish svenska", "th": "tha thai ไทย",
-    "tr": "tur turkish türkçe", "uk": "ukr ukrainian українська", "vi": "vie vietnamese", "zh": "zho chi chinese cmn mandarin 中文 汉语 漢語 普通话 cn",
+#: Other codes and names of languages, besides those that the locale data of the platform lists.
+ALIASES = {
+    "en": "anglais inglés 英语 英語", "zh": "chi cmn mandarin putonghua 中文 汉语 漢語 普通话 国语 cn", "ja": "日本語 日本 jp", "ko": "한국어 kr korean", "es": "castellano castilian", "nl": "dut flemish vlaams", "de": "ger", "fr": "fre",
+    "el": "gre greek", "fa": "per farsi persian", "cs": "cze", "eu": "baq", "hy": "arm", "is": "ice", "ka": "geo", "mi": "mao", "mk": "mac", "ms": "may", "my": "bur", "ro": "rum mo moldavian", "sk": "slo", "sq": "alb", "bo": "tib", "cy": "wel",
+    "he": "iw hebrew", "id": "in indonesian", "yi": "ji yiddish", "sr": "scr serbian", "hr": "scc croatian", "pt": "brazilian", "nb": "bokmål",
 }
+#: Languages in whose words the names of all languages are known, besides each language's own.
+NAMED_IN = ("en", "zh", "ja", "de", "fr", "es", "pt", "it", "nl", "ru", "ko")
 
 
 def _plain(s: str) -> str:
@@ -52,15 +46,30 @@ def _plain(s: str) -> str:
     return unicodedata.normalize("NFC", "".join(c for c in s if not unicodedata.combining(c)))
 
 
-_NAMES = {_plain(n): code for code, names in LANGUAGES.items() for n in (code, *names.split())}
-
-
-def language_code(label: str | None) -> str | None:
+def language_names(spark: SparkSession) -> dict[str, str]:
+    """Written form -> two-letter code: every ISO 639-1 code, its three-letter code, its names in itself and in NAMED_IN, and
+    ALIASES. The list is the platform's locale data; a form that two languages share means the first by code, codes before
+    names, ALIASES before all."""
+    java = spark._jvm.java.util.Locale
+    codes = sorted(set(java.getISOLanguages()) - {"iw", "in", "ji", "mo", "sh"})
+    names = {_plain(n): c for c, text in ALIASES.items() for n in (c, *text.split())}
+    for c in codes:
+        names.setdefault(c, c)
+    shown = [java.forLanguageTag(t) for t in NAMED_IN]
+    for c in codes:
+        of = java.forLanguageTag(c)
+        for n in (of.getISO3Language(), of.getDisplayLanguage(of), *[of.getDisplayLanguage(x) for x in shown]):
+            if n:
+                names.setdefault(_plain(n), c)
+    return names
+
+
+def language_code(label: str | None, names: dict[str, str]) -> str | None:
     """The two-letter code that a label means, None for null, blank and what names no language."""
     if not isinstance(label, str):
         return None
     s = _plain(label.strip())
-    return _NAMES.get(s) or _NAMES.get(re.split(r"[-_\s(]", s)[0]) if s else None
+    return names.get(s) or names.get(re.split(r"[-_\s(]", s)[0]) if s else None
 
 
 _JOINED = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff"
@@ -69,7 +78,10 @@ _WORD = re.compile(f"[^\\W\\d_{_JOINED}]{{2,}}")
 _DROP = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]")
 _MARK = re.compile(r"^[\s>|/*•\-–—]+")
 _LINE = re.compile("[^\\r\\n\\v\\f\\x85\\u2028\\u2029]+")
-_END = re.compile(r"[。！？](?:[」』”’）)]*)|[.!?…](?:[\"'”’»)\]]*)(?=\s|$)|[.!?](?=[" + _JOINED + "])")
+# one set of marks in front, so that the search skips all else at once
+_END = re.compile(r"[。！？.!?…](?:(?<=[。！？])[」』”’）)]*|(?<=[.!?…])[\"'”’»)\]]*(?=\s|$)|(?<=[.!?])(?=[" + _JOINED + "]))")
+_TWO_WORDS = re.compile(f"[^\\W\\d_{_JOINED}]{{2,}}+.*?[^\\W\\d_{_JOINED}]{{2,}}", re.S)
+_THREE_WIDE = re.compile(f"[{_JOINED}\uac00-\ud7a3](?:[^{_JOINED}\uac00-\ud7a3]*[{_JOINED}\uac00-\ud7a3]){{2}}")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -86,15 +98,15 @@ def _is_prose(line: str) -> bool:
     """Not a heading, and words rather than readings."""
     if line.lstrip("\ufeff \t").startswith("#"):
         return False
-    return len(_CJK.findall(line)) >= 3 or len(_WORD.findall(line)) >= 2
+    return bool(_TWO_WORDS.search(line)) or (not line.isascii() and bool(_THREE_WIDE.search(line)))
 
 
 def _whole(text: str, ended: bool) -> bool:
-    wide = len(_CJK.findall(text))
+    wide = 0 if text.isascii() else len(_CJK.findall(text))
     if wide >= (MIN_LETTERS if ended else MIN_LETTERS_OPEN):
         return True
     words = _WORD.findall(text)
-    return len(words) >= (MIN_WORDS if ended else MIN_WORDS_OPEN) and sum(map(len, words)) >= 0.4 * len(re.sub(r"\s", "", text))
+    return len(words) >= (MIN_WORDS if ended else MIN_WORDS_OPEN) and sum(map(len, words)) >= 0.4 * len("".join(text.split()))
 
 
 def sentences(text: str | None) -> list[tuple[int, int, str]]:
@@ -141,9 +153,9 @@ def sentences(text: str | None) -> list[tuple[int, int, str]]:
 
 
 class Automaton:
-    """Suffix automaton of a text, its transitions in one dictionary keyed by state and character."""
+    """Suffix automaton of a text: per state its transitions by character; state 0 is the start."""
 
-    __slots__ = ("alphabet", "step")
+    __slots__ = ("alphabet", "next")
 
     def __init__(self, text: str):
         nxt: list[dict[str, int]] = [{}]
@@ -172,73 +184,157 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = copy
             last = cur
-        self.step = {s << 21 | ord(c): t for s, d in enumerate(nxt) for c, t in d.items()}
-        self.alphabet = frozenset(nxt[0])
-
-    def phrases(self, text: str, most: float = math.inf) -> int:
-        """Phrases of the greedy parse by longest matches; a character that is unknown is one. Stops beyond ``most``."""
-        get, n, i, count = self.step.get, len(text), 0, 0
-        codes = list(map(ord, text))
-        while i < n and count <= most:
-            state = get(codes[i])
-            i += 1
-            count += 1
-            while state is not None and i < n:
-                state = get(state << 21 | codes[i])
-                if state is not None:
-                    i += 1
+        self.next, self.alphabet = nxt, frozenset(nxt[0])
+
+    def phrases(self, text: str) -> int:
+        """Phrases of the greedy parse by longest matches; a character that is unknown is one."""
+        nxt, count, state = self.next, 0, None
+        for ch in text:
+            state = nxt[state].get(ch) if state is not None else None
+            if state is None:
+                count, state = count + 1, nxt[0].get(ch)
         return count
 
 
 class Languages:
-    """The automata, with a memo of parsed sentences."""
-
-    def __init__(self, texts: dict[str, str]):
-        self.automata = {c: Automaton(t) for c, t in sorted(texts.items())}
-        self.memo: dict[str, tuple[tuple[str, int], ...]] = {}
-
-    def __getstate__(self):
-        return self.automata
-
-    def __setstate__(self, automata):
-        self.automata, self.memo = automata, {}
-
-    def costs(self, sentence: str) -> tuple[tuple[str, int], ...]:
-        """(language, phrases), fewest first; languages that lack the script are left out."""
-        text = letters_of(sentence)
-        known = self.memo.get(text)
-        if known is None:
-            chars = set(text) - {" "}
-            share = {c: len(chars & a.alphabet) for c, a in self.automata.items()}
-            most = max(share.values(), default=0)
-            got = [(c, self.automata[c].phrases(text)) for c, s in share.items() if s >= most - 0.3 * len(chars)] if most else []
-            known = tuple(sorted(got, key=lambda x: (x[1], x[0])))
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[text] = known
-        return known
-
-    def read(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """(from, to, language, confidence) of each whole sentence of a text."""
-        found = [(a, b, self.costs(s), len(s)) for a, b, s in sentences(text)]
-        found = [x for x in found if x[2]]
-        if not found:
-            return []
-        # the main language is the one that wins the most characters
-        won: Counter[str] = Counter()
-        for _, _, costs, n in found:
-            won[costs[0][0]] += n
-        main = max(sorted(won), key=lambda c: won[c])
-        out = []
-        for a, b, costs, _ in found:
-            best, least = costs[0]
-            by = dict(costs)
-            if best != main and by.get(main, math.inf) <= least * LEAD + LEAD_PHRASES:
-                best = main
-            rest = min((n for c, n in costs if c != best), default=None)
-            out.append((a, b, best, 1.0 if rest is None else max(0.0, 1 - by[best] / rest) if rest else 0.0))
+    """The automata of all languages in one table of arrays, through which the sentences of a whole batch step together.
+
+    A state's transitions lie at its base plus the number of the character (row displacement), each with the state it
+    belongs to, so a step is three look-ups and the table is hardly larger than the number of transitions.
+    """
+
+    def __init__(self, texts: dict[str, str], names: dict[str, str] | None = None):
+        self.codes, self.names = sorted(texts), names or {}
+        built = [Automaton(texts[c]) for c in self.codes]
+        chars = sorted(set().union(*[a.alphabet for a in built]))
+        #: character -> number from 1; 0 is any other
+        self.chars = {ch: k + 1 for k, ch in enumerate(chars)}
+        width = len(chars) + 1
+        rows = [[(self.chars[ch], t) for ch, t in d.items()] for a in built for d in a.next]
+        start = np.cumsum([0, *[len(a.next) for a in built]])
+        #: the state that knows nothing; transitions of the start states; which automaton knows which character
+        self.none = len(rows)
+        self.begin = np.full((len(built), width), self.none, "int32")
+        self.knows = np.zeros((width, len(built)), "float32")
+        offset = np.repeat(start[:-1], np.diff(start))
+        rows = [[(c, t + int(offset[k])) for c, t in r] for k, r in enumerate(rows)]
+        for k in range(len(built)):
+            for c, t in rows[start[k]]:
+                self.begin[k, c], self.knows[c, k] = t, 1
+        self._pack(rows, width)
+
+    def _pack(self, rows: list[list[tuple[int, int]]], width: int) -> None:
+        """Rows of several transitions are placed where they fit next, the fullest first; rows of one fill the holes."""
+        size = 4 * sum(map(len, rows)) + 4 * width
+        taken, base, owner, to = bytearray(size), np.zeros(len(rows) + 1, "int32"), np.full(size, -1, "int32"), np.zeros(size, "int32")
+        at, end, hole = width, width, width
+        for s in sorted(range(len(rows)), key=lambda s: -len(rows[s])):
+            row = rows[s]
+            if len(row) > 1:
+                # places up to one row's width behind the last one are tried again
+                at = max(width, at - width)
+                while any(taken[at + c] for c, _ in row):
+                    at += 1
+                b = at
+            elif row:
+                while taken[hole]:
+                    hole += 1
+                b = hole - row[0][0]
+            else:
+                continue
+            base[s] = b
+            for c, t in row:
+                taken[b + c], owner[b + c], to[b + c] = 1, s, t
+            end = max(end, b + width)
+        self.base, self.owner, self.to = base, owner[: end + width].copy(), to[: end + width].copy()
+
+    def phrase_counts(self, texts: list[str]) -> np.ndarray:
+        """(text, language) phrases of each text by each automaton; infinite for languages that lack its script."""
+        n, width = len(texts), self.knows.shape[0]
+        out = np.full((n, len(self.codes)), np.inf)
+        if not n or not self.codes:
+            return out
+        size = np.fromiter(map(len, texts), "int64", n)
+        number = np.zeros(0x110000, "int32")
+        number[list(map(ord, self.chars))] = list(self.chars.values())
+        codes = number[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
+        first = np.cumsum(size) - size
+        # languages whose alphabet holds about as many of a text's characters as the best one's
+        fits = np.zeros((n, len(self.codes)), bool)
+        step = max(1, 16_000_000 // width)
+        for lo in range(0, n, step):
+            hi = min(lo + step, n)
+            seen = np.zeros((hi - lo, width), "float32")
+            seen[np.repeat(np.arange(hi - lo), size[lo:hi]), codes[first[lo] : first[hi - 1] + size[hi - 1]]] = 1
+            if " " in self.chars:
+                seen[:, self.chars[" "]] = 0
+            share = seen @ self.knows
+            most = share.max(1)
+            fits[lo:hi] = (most[:, None] > 0) & (share >= (most - 0.3 * seen.sum(1))[:, None])
+        text, lang = np.nonzero(fits)
+        order = np.argsort(-size[text], kind="stable")
+        text, lang = text[order], lang[order]
+        length, at, row = size[text], first[text], lang * width
+        count, state, begin = np.zeros(len(text), "int64"), np.full(len(text), self.none, "int32"), self.begin.ravel()
+        # texts are longest first, so those with a k-th character come before the others
+        live = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
+        k, few = 0, 8
+        while k < len(live) and live[k] >= few:
+            m = live[k]
+            c, s = codes[at[:m] + k], state[:m]
+            i = self.base[s] + c
+            lost = self.owner[i] != s
+            s = self.to[i]
+            new = np.flatnonzero(lost)
+            s[new] = begin[row[new] + c[new]]
+            state[:m] = s
+            count[new] += 1
+            k += 1
+        for j in range(live[k] if k < len(live) else 0):  # the few longest go on one by one
+            s, m = int(state[j]), int(count[j])
+            for c in codes[at[j] + k : at[j] + length[j]].tolist():
+                i = int(self.base[s]) + c
+                if self.owner[i] == s:
+                    s = int(self.to[i])
+                else:
+                    s, m = int(begin[row[j] + c]), m + 1
+            count[j] = m
+        out[text, lang] = count
         return out
 
+    def read(self, texts: Iterable[str | None]) -> tuple[np.ndarray, ...]:
+        """Arrays (text, from, to, language, confidence) of the whole sentences of many texts, in order. language is the
+        place in ``codes``; sentences in no known script are left out."""
+        where, lo, hi, told = [], [], [], []
+        for d, t in enumerate(texts):
+            for a, b, s in sentences(t if isinstance(t, str) else None):
+                where.append(d)
+                lo.append(a)
+                hi.append(b)
+                told.append(s)
+        distinct = {s: k for k, s in enumerate(dict.fromkeys(told))}
+        letters = list(map(letters_of, distinct))
+        plain = {s: k for k, s in enumerate(dict.fromkeys(letters))}
+        pick = np.array([plain[s] for s in letters], "int64")[[distinct[s] for s in told]] if told else np.zeros(0, "int64")
+        cost = self.phrase_counts(list(plain))[pick]
+        doc, lo, hi, n = (np.array(x, "int64") for x in (where, lo, hi, list(map(len, told))))
+        known = np.isfinite(cost).any(1) if self.codes else np.zeros(len(told), bool)
+        doc, lo, hi, n, cost = doc[known], lo[known], hi[known], n[known], cost[known]
+        if not len(doc):
+            return doc, lo, hi, doc, np.zeros(0)
+        lang, least, me = cost.argmin(1), cost.min(1), np.arange(len(doc))
+        # the main language is the one that wins the most characters
+        heads, at = np.unique(doc, return_inverse=True)
+        width = len(self.codes)
+        main = np.bincount(at * width + lang, n, len(heads) * width).reshape(-1, width).argmax(1)[at]
+        lang = np.where(cost[me, main] <= least * LEAD + LEAD_PHRASES, main, lang)
+        own = cost[me, lang]
+        cost[me, lang] = np.inf
+        rest = cost.min(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sure = np.where(rest > 0, np.maximum(0.0, 1 - own / rest), 0.0)
+        return doc, lo, hi, lang, sure
+
 
 def _grams(s: str) -> list[str]:
     """Trigrams; in scripts without blanks, whose alphabet is large, single characters and pairs."""
@@ -302,26 +398,34 @@ def _clean(labelled: dict[str, Counter], total: dict[str, int]) -> dict[str, lis
 
 def fit_languages(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, chars: int = AUTOMATON_CHARS) -> Languages:
     """Automata from a bounded sample of labelled documents: about ``sample_docs`` a language, taken by hash of doc_id,
-    at most ``chars`` characters each. A language without a labelled document can't be found."""
-    labels = documents.filter("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("n"))
-    # distinct labels could be many; only those that name a language count, of which there are few
-    named = [(r["lang"], language_code(r["lang"]), r["n"]) for r in labels.toLocalIterator() if language_code(r["lang"])]
-    total: Counter[str] = Counter()
-    for _, code, n in named:
-        total[code] += n
-    if not named:
-        return Languages({})
+    at most ``chars`` characters each. A language without a labelled document can't be found.
+
+    Labels become codes in the tasks; only one number a code comes to the driver, then the sample.
+    """
     spark = documents.sparkSession
-    rates = spark.createDataFrame([(lab, code, min(1.0, sample_docs / total[code])) for lab, code, _ in named], "lang string, code string, rate double")
+    names = language_names(spark)
+    shared = spark.sparkContext.broadcast(names)
+
+    @F.pandas_udf("string")
+    def code(label: pd.Series) -> pd.Series:
+        known = {x: language_code(x, shared.value) for x in label.dropna().unique()}
+        return label.map(known).astype(object).where(label.notna(), None)
+
+    told = documents.filter("lang is not null and text is not null")
+    total = Counter({r["code"]: r["n"] for r in told.select(code("lang").alias("code")).filter("code is not null").groupBy("code").agg(F.count("*").alias("n")).collect()})
+    if not total:
+        return Languages({}, names)
     u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    sample = documents.select("doc_id", "lang", "text").filter("text is not null").join(rates, "lang").filter(u < F.col("rate")).select("code", "text")
+    rates = F.create_map(*[F.lit(x) for c in sorted(total) for x in (c, min(1.0, sample_docs / total[c]))])
+    most = min(1.0, sample_docs / min(total.values()))
+    sample = told.filter(u < most).withColumn("code", code("lang")).filter(F.col("code").isNotNull()).filter(u < F.try_element_at(rates, F.col("code"))).select("code", "text")
     labelled: dict[str, Counter] = defaultdict(Counter)
     for r in sample.toLocalIterator():
         for _, _, s in sentences(r["text"]):
             if x := letters_of(s):
-                labelled[r["code"]][x[:400]] += 1
+                labelled[r["code"]][x] += 1
     texts = {}
-    for code, sents in _clean(labelled, total).items():
+    for c, sents in _clean(labelled, total).items():
         # spread over all sentences rather than the most frequent ones only
         out, n = [], 0
         for s in sents:
@@ -330,8 +434,8 @@ def fit_languages(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, chars: i
             out.append(s)
             n += len(s) + 1
         if out:
-            texts[code] = "\x00".join(out)
-    return Languages(texts)
+            texts[c] = "\x00".join(out)
+    return Languages(texts, names)
 
 
 def language_segments(spark: SparkSession, documents: DataFrame, languages: Languages | None = None) -> DataFrame:
@@ -344,16 +448,21 @@ def language_segments(spark: SparkSession, documents: DataFrame, languages: Lang
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
-                group: list = []
-                k = 0
-                for a, b, c, conf in [*shared.value.read(t), (0, 0, None, 0.0)]:
-                    if group and group[0][2] != c:
-                        rows.append((d, k, group[0][0], group[-1][1], group[0][2], len(group), sum(g[3] for g in group) / len(group)))
-                        group, k = [], k + 1
-                    group.append((a, b, c, conf))
-            yield pd.DataFrame(rows, columns=["doc_id", "segment", "start", "end", "lang_code", "sentences", "confidence"])
+            doc, lo, hi, lang, sure = shared.value.read(pdf["text"])
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (lang[1:] != lang[:-1])
+            head = np.flatnonzero(new)
+            n = np.diff(np.append(head, len(doc)))
+            at = doc[head]
+            place = np.arange(len(head))
+            begins = np.ones(len(head), bool)
+            begins[1:] = at[1:] != at[:-1]
+            yield pd.DataFrame(
+                {
+                    "doc_id": pdf["doc_id"].to_numpy()[at], "segment": place - np.maximum.accumulate(np.where(begins, place, 0)), "start": lo[head], "end": hi[head + n - 1],
+                    "lang_code": np.array(shared.value.codes, object)[lang[head]], "sentences": n, "confidence": np.add.reduceat(sure, head) / n if len(head) else sure,
+                }
+            )
 
     rows = documents.select(F.col("doc_id").cast("bigint"), "text").filter("doc_id is not null and text is not null")
     return rows.mapInPandas(run, "doc_id bigint, segment int, start int, end int, lang_code string, sentences int, confidence double")
@@ -365,20 +474,23 @@ def document_languages(spark: SparkSession, documents: DataFrame, languages: Lan
     shared = spark.sparkContext.broadcast(languages or fit_languages(documents))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = shared.value
+        width, names = max(len(held.codes), 1), np.array([*held.codes, None], object)
         for pdf in batches:
-            rows = []
-            for d, t, label in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
-                by: dict[str, list] = defaultdict(list)
-                for a, b, c, conf in shared.value.read(t):
-                    by[c].append((b - a, conf))
-                if not by:
-                    continue
-                code = language_code(label)
-                case = code is None or len(by) > 1 or code not in by
-                n = sum(x for v in by.values() for x, _ in v) or 1
-                for c, v in sorted(by.items()):
-                    rows.append((d, code, c, len(v), sum(x for x, _ in v) / n, sum(y for _, y in v) / len(v), case))
-            yield pd.DataFrame(rows, columns=["doc_id", "label_code", "lang_code", "sentences", "share", "confidence", "is_case"])
+            doc, lo, hi, lang, sure = held.read(pdf["text"])
+            pair, at = np.unique(doc * width + lang, return_inverse=True)
+            d, c = pair // width, pair % width
+            size = np.bincount(at, hi - lo, len(pair))
+            n = np.bincount(at, minlength=len(pair))
+            labels = {x: language_code(x, held.names) for x in pdf["lang"].dropna().unique()}
+            label = np.array([labels.get(x) for x in pdf["lang"]], object)[d] if len(d) else np.zeros(0, object)
+            several = np.bincount(d, minlength=len(pdf))[d] > 1
+            yield pd.DataFrame(
+                {
+                    "doc_id": pdf["doc_id"].to_numpy()[d], "label_code": label, "lang_code": names[c], "sentences": n, "share": size / np.maximum(np.bincount(d, size, len(pdf))[d], 1),
+                    "confidence": np.bincount(at, sure, len(pair)) / np.maximum(n, 1), "is_case": several | (label != names[c]),
+                }
+            )
 
     rows = documents.select(F.col("doc_id").cast("bigint"), "text", "lang").filter("doc_id is not null and text is not null")
     return rows.mapInPandas(run, "doc_id bigint, label_code string, lang_code string, sentences int, share double, confidence double, is_case boolean")
