@@ -26,7 +26,7 @@ SAMPLE_DOCS, AUTOMATON_CHARS = 250, 25_000
 #: Words (letters in scripts without blanks) of a whole sentence, with and without its final mark.
 MIN_WORDS, MIN_WORDS_OPEN, MIN_LETTERS, MIN_LETTERS_OPEN = 4, 5, 6, 8
 #: A sentence leaves its document's main language only if that needs so much more than the best.
-LEAD, LEAD_PHRASES = 1.25, 1.0
+LEAD, LEAD_PHRASES = 1.08, 0.5
 #: A label that keeps less of its sample's sentences than this, after those that resemble other labels, is no language.
 KEPT = 0.3
 #: Nats a gram by which a label must explain its own text better than any commoner label does, or a single sentence.
@@ -75,11 +75,12 @@ def language_code(label: str | None, names: dict[str, str]) -> str | None:
 _JOINED = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff"
 _CJK = re.compile(f"[{_JOINED}\\uac00-\\ud7a3]")
 _WORD = re.compile(f"[^\\W\\d_{_JOINED}]{{2,}}")
-_DROP = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]")
+_ZERO = "\\u00ad\\u200b-\\u200f\\u2060\\ufeff"
+_DROP = re.compile(f"[{_ZERO}]")
 _MARK = re.compile(r"^[\s>|/*•\-–—]+")
 _LINE = re.compile("[^\\r\\n\\v\\f\\x85\\u2028\\u2029]+")
 # one set of marks in front, so that the search skips all else at once
-_END = re.compile(r"[。！？.!?…](?:(?<=[。！？])[」』”’）)]*|(?<=[.!?…])[\"'”’»)\]]*(?=\s|$)|(?<=[.!?])(?=[" + _JOINED + "]))")
+_END = re.compile(r"[。！？.!?…](?:(?<=[。！？])[」』”’）)]*|(?<=[.!?…])[\"'”’»)\]]*(?=[\s" + _ZERO + "]|$)|(?<=[.!?])(?=[" + _JOINED + "]))")
 _TWO_WORDS = re.compile(f"[^\\W\\d_{_JOINED}]{{2,}}+.*?[^\\W\\d_{_JOINED}]{{2,}}", re.S)
 _THREE_WIDE = re.compile(f"[{_JOINED}\uac00-\ud7a3](?:[^{_JOINED}\uac00-\ud7a3]*[{_JOINED}\uac00-\ud7a3]){{2}}")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
