@@ -232,14 +232,20 @@ class Languages:
         for s in sorted(range(len(rows)), key=lambda s: -len(rows[s])):
             row = rows[s]
             if len(row) > 1:
-                # places up to one row's width behind the last one are tried again
-                at = max(width, at - width)
-                while any(taken[at + c] for c, _ in row):
-                    at += 1
-                b = at
+                # a few places behind the last one are tried again; the search goes from one free first place to the next
+                c0, rest = row[0][0], [c for c, _ in row[1:]]
+                b = at = max(width, at - 32)
+                while True:
+                    b = taken.find(0, b + c0) - c0
+                    for c in rest:
+                        if taken[b + c]:
+                            break
+                    else:
+                        break
+                    b += 1
+                at = b
             elif row:
-                while taken[hole]:
-                    hole += 1
+                hole = taken.find(0, hole)
                 b = hole - row[0][0]
             else:
                 continue
