@@ -20,11 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; only a session without one (tests) gets its own."""
+    """Use the shared folder of spark.checkpoint.dir; a session without one gets its own if it runs on this machine alone
+    (tests), else an error, since executors couldn't read a folder of the driver."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pointloom-cp-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="pointloom-cp-")
+    sc.setCheckpointDir(folder)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -64,7 +70,7 @@ def stream_groups(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    fn: Callable[[pd.DataFrame], pd.DataFrame],
+    fn: Callable[[pd.DataFrame], pd.DataFrame | Iterator[pd.DataFrame]],
     schema: str,
     shuffle: bool = True,
     partitions: int | None = None,
@@ -73,7 +79,7 @@ def stream_groups(
 
     Rows are shuffled by ``keys`` (unless ``shuffle`` is false), sorted in the partition and streamed through
     mapInPandas; the group at the end of one Arrow batch is carried into the next. One call serves thousands of
-    groups, unlike applyInPandas with its cost per group.
+    groups, unlike applyInPandas with its cost per group. ``fn`` gives one frame or yields several.
     """
     keys, order = list(keys), list(order)
     if shuffle:
@@ -97,13 +103,20 @@ def stream_groups(
             whole = [x for x in whole if len(x)]
             held = [pdf.iloc[cut:]]
             if whole:
-                yield fn(pd.concat(whole, ignore_index=True) if len(whole) > 1 else whole[0].reset_index(drop=True))
+                yield from _frames(fn(pd.concat(whole, ignore_index=True) if len(whole) > 1 else whole[0].reset_index(drop=True)))
         if held:
-            yield fn(pd.concat(held, ignore_index=True))
+            yield from _frames(fn(pd.concat(held, ignore_index=True)))
 
     return df.mapInPandas(run, schema)
 
 
+def _frames(made: pd.DataFrame | Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    if isinstance(made, pd.DataFrame):
+        yield made
+    else:
+        yield from made
+
+
 def _same(a, b) -> bool:
     return (pd.isna(a) and pd.isna(b)) or a == b
 

@@ -1,12 +1,14 @@
 """The general training-data operators against brute force, and their edge cases."""
 
 import json
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pointloom.operators import drift, intervals, regular_grid, spatial
 
@@ -210,8 +212,37 @@ def test_near_and_zone_match_brute_force(spark):
         if hit:
             want.add(("zone", a[0], max(hit)))
     assert got == want and any(r[0] == "near" for r in want) and any(r[0] == "zone" for r in want)
-    tiles = {tuple(r) for r in spatial.zone_of_points(spark, spatial.valid_points(pts), zs, limit=5).collect()}
-    assert tiles == {r[1:] for r in want if r[0] == "zone"}
+    slabs = {tuple(r) for r in spatial.zone_of_points(spark, spatial.valid_points(pts), zs, limit=5).collect()}
+    assert slabs == {r[1:] for r in want if r[0] == "zone"}
+    rows_ = spatial.valid_points(pts).select(F.col("point_id").alias("key_a"), "sensor_id", *[F.col(c).cast("double") for c in "xyz"])
+    cut = spatial.zone_by_slabs(spark, rows_, zs, slab_edges=3, most_slabs=6, slab_points=40).groupBy("key_a").agg(F.max("key_b").alias("key_b"))
+    assert {tuple(r) for r in cut.collect()} == slabs
+    near = {r[1:] for r in want if r[0] == "near"}
+    for some, few in ((20, 100), (2, 100), (20, 0)):  # hot blocks are cut, listed or joined
+        got = [tuple(r) for r in spatial.near_pairs(spatial.valid_points(pts), block_points=some, hot_list=few).collect()]
+        assert len(got) == len(set(got)) and set(got) == near
+
+
+def test_many_overlapping_zones_of_one_sensor():
+    rng = np.random.RandomState(5)
+    n, m = 5000, 20_000
+    low = rng.rand(n, 3) * 8 - 5
+    high = low + rng.rand(n, 3) * [4, 4, 2]
+    z = pd.DataFrame({"zone_id": rng.permutation(n), "sensor_id": "n"} | {f"{c}_{k}": v[:, i] for k, v in (("min", low), ("max", high)) for i, c in enumerate("xyz")})
+    p = rng.rand(m, 3) * 10 - 5
+    start = time.time()
+    got = spatial.Slabs(z).locate(pd.Series(["n"] * m), *p.T)
+    assert time.time() - start < 30
+    ids = z["zone_id"].to_numpy()
+    for k in rng.choice(m, 500, replace=False):
+        hit = ids[((low <= p[k]) & (p[k] < high)).all(1)]
+        assert got[k] == (hit.max() if len(hit) else -1)
+
+
+def test_one_block_of_a_million_points(spark):
+    df = spark.range(1_000_000).selectExpr("id as point_id", "'s' as session_id", "cast((id % 100) * 0.0199 + 0.001 as float) as x", "cast((id div 100 % 100) * 0.0199 + 0.001 as float) as y", "cast((id div 10000) * 0.0199 + 0.001 as float) as z")
+    got = spatial.near_pairs(df, 0.0200)
+    assert got.count() == 3 * 99 * 100 * 100 and got.distinct().count() == 3 * 99 * 100 * 100
 
 
 def test_spatial_empty(spark):
