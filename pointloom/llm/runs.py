@@ -1,18 +1,21 @@
 """Runs of identical or near-identical consecutive events, collapsed to one event each.
 
-Optimal segmentation: choose boundaries and one state per run so that the records that differ from their run's state,
-plus a penalty per boundary, cost least. The dynamic programme is pruned functionally: per state only the best open run
+Optimal segmentation: choose boundaries and one state per run so that the dissimilarity of the records to their run's
+state, plus a penalty per boundary, costs least. A record of another state costs one record and more, the less its
+state's word is like the run's (APART). The dynamic programme is pruned functionally: per state only the best open run
 survives, since all older openings of that state stay behind by a constant. A record without state or a broken clock is
 a boundary that costs nothing and can't be crossed.
 
-A run of at least 2 * penalty like records is an anchor: every optimal segmentation is in its state there, whatever
-comes before or after. Tracks are therefore cut into frame blocks; a block solves the stretch between its first and last
-anchor for good and hands only the rest, packed into runs, to the pass over the track, so no task holds a whole track
-and the result is that of one uncut pass.
+Boundaries lie only where the state changes, so like neighbours are packed before. A pack of more than 2 * penalty records
+is an anchor: every optimal segmentation is in its state there, whatever comes before or after. Tracks are therefore cut
+into frame blocks; a block solves the stretch between its first and last anchor for good, and only what lies outside goes
+on to the pass over the track. The result is that of one uncut pass, and no task holds a whole track, unless a track has
+no anchor at all for block after block.
 """
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 import numpy as np
@@ -28,7 +31,20 @@ _LETTERS = [s.replace("_", "") for s in STATES]
 #: Frames of a track that one task solves.
 BLOCK_FRAMES = 8192
 #: With a penalty under half a record every change of state is a boundary; larger ones let flickers join their run.
-EXACT = 0.25
+EXACT, STEADY = 0.25, 2.0
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+#: Cost, in hundredths of a record, of a record of one state in a run of another: the edits between their words count.
+APART = [[100 * (a != b) + 10 * _edits(a, b) for b in _LETTERS] for a in _LETTERS]
 
 
 def state_code(state: Column) -> Column:
@@ -58,41 +74,37 @@ def held_records(frames: DataFrame) -> DataFrame:
 
 
 def segment(weights, states, penalty: float, first: int | None = None, last: int | None = None) -> list[int]:
-    """Least-cost segmentation of packed runs of one steady stretch: the state of the segment each run falls in.
+    """Least-cost segmentation of the packs of one steady stretch: the state of the run each pack falls in.
 
-    weights/states: records and state of each packed run; ``first`` and ``last`` fix the states of the two ends. Ties go
-    to fewer boundaries, then to the smaller code.
+    weights/states: records and state of each pack; penalty in records; ``first`` and ``last`` fix the states of the two
+    ends. Ties: a run rather goes on than ends, else the smaller code.
     """
-    n, ks = len(states), sorted(set(states))
-    if n == 1 or (penalty < 0.5 and all(a != b for a, b in zip(states, states[1:]))):
-        return list(states)  # leaving out a boundary then costs at least a record
-    cost = {k: 0.0 if first is None or k == first else float("inf") for k in ks}
-    back: list[dict[int, int]] = []
-    for i in range(n):
-        came = {}
-        if i:
-            low = min(ks, key=lambda k: (cost[k], k))
-            jump = cost[low] + penalty
-            for k in ks:
-                came[k] = k if cost[k] <= jump else low
-                cost[k] = min(cost[k], jump)
-        for k in ks:
-            if k != states[i]:
-                cost[k] += weights[i]
+    codes, price = range(len(APART)), round(100 * penalty)
+    cost = [0 if first is None or k == first else math.inf for k in codes]
+    back: list[list[int]] = []
+    for w, s in zip(weights, states):
+        if back:
+            least = min(cost)
+            low, jump = cost.index(least), least + price
+            came = [k if cost[k] <= jump else low for k in codes]
+        else:
+            jump, came = math.inf, list(codes)
         back.append(came)
-    at = last if last is not None else min(ks, key=lambda k: (cost[k], k))
-    chosen = [0] * n
-    for i in range(n - 1, -1, -1):
-        chosen[i] = at
-        if i:
-            at = back[i][at]
-    return chosen
+        cost = [min(c, jump) + w * a for c, a in zip(cost, APART[s])]
+    at = last if last is not None else cost.index(min(cost))
+    chosen = []
+    for came in reversed(back):
+        chosen.append(at)
+        at = came[at]
+    return chosen[::-1]
 
 
 #: kind 0: packed run not yet settled; 1: settled run that may still grow; 2: settled and closed.
-_PACKED = "session_id string, track_id string, start_frame int, end_frame int, first_stamp double, last_stamp double, n bigint, like bigint, state int, fresh boolean, kind int"
+_PACKED = "session_id string, track_id string, seg bigint, start_frame int, end_frame int, first_stamp double, last_stamp double, n bigint, like bigint, state int, fresh boolean, kind int"
 _COLS = [c.split()[0] for c in _PACKED.split(", ")]
 _KINDS = ["int32", "int32", "float64", "float64", "int64", "int64", "int32", "bool", "int32"]
+#: seg of the runs that the pass over the track joins; settled ones have their block's number.
+_SEAM = -(2**62)
 #: Weight of a settled run in the pass over the track: its state stands.
 _FIXED = 10**15
 
@@ -132,7 +144,7 @@ def _solve(runs: list[list], penalty: float, edge: bool) -> list[list]:
 def _solve_steady(runs: list[list], penalty: float, open_left: bool, open_right: bool) -> list[list]:
     if runs[0][6] < 0:
         return runs
-    strong = [k for k, r in enumerate(runs) if r[8] == 1 or r[5] >= 2 * penalty]
+    strong = [k for k, r in enumerate(runs) if r[8] == 1 or r[5] > 2 * penalty]
     if (open_left or open_right) and not strong:
         return runs
     a = strong[0] if open_left else 0
@@ -152,11 +164,12 @@ def _solve_steady(runs: list[list], penalty: float, open_left: bool, open_right:
         done[0][8] = 1
     if open_right:
         done[-1][8] = 1
+        done[-1][7] |= len(done) > 1  # the boundary before it stands
     return [*runs[:a], *done, *runs[b + 1 :]]
 
 
 def collapse_runs(records: DataFrame, penalty: float = EXACT, max_gap: float = 0.5, block: int = BLOCK_FRAMES) -> DataFrame:
-    """One row per run of like consecutive records of a track: (session_id, track_id, state, start_frame, end_frame,
+    """One row per run of like consecutive records of a track by least-cost segmentation: (session_id, track_id, state, start_frame, end_frame,
     frames, same_frames, duration_sec).
 
     ``records``: one row per session, track and frame with a state code (-1: none) and stamp_sec. Records are next to
@@ -179,32 +192,40 @@ def collapse_runs(records: DataFrame, penalty: float = EXACT, max_gap: float = 0
             part = packed[lo:hi]
             part[0][7] = False  # whether the track goes on across the block's edge is seen in the next pass
             solved = _solve(part, penalty, True)
+            # what is settled stays with its block; records without state matter further only at the block's ends
+            solved = [r for k, r in enumerate(solved) if r[6] >= 0 or k in (0, len(solved) - 1)]
             out += solved
             at += [a[lo]] * len(solved)
         res = pdf[["session_id", "track_id"]].iloc[at].reset_index(drop=True)
-        for c, k, values in zip(_COLS[2:], _KINDS, zip(*out)):
+        kind = np.array([r[8] for r in out], "int64")
+        res["seg"] = np.where(kind == 2, pdf["__block"].to_numpy("int64")[at], _SEAM)
+        for c, k, values in zip(_COLS[3:], _KINDS, zip(*out)):
             res[c] = np.array(values, k)
         return res
 
     parts = stream_groups(rows, ["session_id", "track_id", "__block"], ["frame_index"], solve_block, _PACKED)
 
     def solve_track(pdf: pd.DataFrame) -> pd.DataFrame:
-        cuts = group_starts(pdf, ["session_id", "track_id"])
-        cols = [pdf[c].tolist() for c in _COLS[2:]]
+        cuts = group_starts(pdf, ["session_id", "track_id", "seg"])
+        cols, seg = [pdf[c].tolist() for c in _COLS[3:]], pdf["seg"].to_numpy()
         every = list(map(list, zip(*cols)))
         out, at = [], []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             runs = every[lo:hi]
+            if seg[lo] != _SEAM:
+                out += runs
+                at += [lo] * len(runs)
+                continue
             runs[0][7] = True
             for p, r in zip(runs, runs[1:]):
                 step = r[2] - p[3]
                 if not (0 < step <= max_gap) or p[6] < 0 or r[6] < 0:
                     r[7] = True
-            solved = [r for r in _solve_seams(runs, penalty) if r[6] >= 0]
+            solved = [r for r in _solve(runs, penalty, False) if r[6] >= 0]
             out += solved
             at += [lo] * len(solved)
         res = pdf[["session_id", "track_id"]].iloc[at].reset_index(drop=True)
-        done = pd.DataFrame(out, columns=_COLS[2:])
+        done = pd.DataFrame(out, columns=_COLS[3:])
         res["state"] = [STATES[k] for k in done["state"]]
         for c, k in (("start_frame", "int32"), ("end_frame", "int32"), ("n", "int64"), ("like", "int64")):
             res[c] = done[c].to_numpy(k)
@@ -212,30 +233,13 @@ def collapse_runs(records: DataFrame, penalty: float = EXACT, max_gap: float = 0
         return res
 
     done = stream_groups(
-        parts, ["session_id", "track_id"], ["start_frame"], solve_track,
+        parts, ["session_id", "track_id", "seg"], ["start_frame"], solve_track,
         "session_id string, track_id string, state string, start_frame int, end_frame int, n bigint, like bigint, duration_sec double",
     )
     return done.withColumnsRenamed({"n": "frames", "like": "same_frames"})
 
 
-def _solve_seams(runs: list[list], penalty: float) -> list[list]:
-    """Settle what the blocks left open. Two settled runs side by side in one block have a boundary between them."""
-    out: list[list] = []
-    i = 0
-    while i < len(runs):
-        if runs[i][8] == 2:
-            out.append(runs[i])
-            i += 1
-            continue
-        j = i + 1
-        # a stretch ends after a settled run that a settled or closed run of the same block follows
-        while j < len(runs) and not runs[j][7] and runs[j][8] != 2 and not (runs[j - 1][8] == 1 and runs[j][8] == 1 and runs[j - 1][6] != runs[j][6]):
-            j += 1
-        out += _solve_steady(runs[i:j], penalty, False, False)
-        i = j
-    return out
-
-
-def posture_runs(frames: DataFrame, penalty: float = EXACT) -> DataFrame:
-    """Runs of posture_frames, each with its state, first and last frame, number of frames and duration."""
+def posture_runs(frames: DataFrame, penalty: float = STEADY) -> DataFrame:
+    """Runs of posture_frames, each with its state, first and last frame, number of frames and duration. At STEADY records
+    a boundary, flickers of up to about three records join the run around them; at EXACT nothing does."""
     return collapse_runs(held_records(frames), penalty)

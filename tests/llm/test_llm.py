@@ -24,22 +24,30 @@ def test_oracle(spark, name):
 # ---- runs ---------------------------------------------------------------------------------------------------------
 
 
-def best_cost(weights, states, penalty, first=None, last=None):
-    best = float("inf")
-    for path in itertools.product(sorted(set(states)), repeat=len(states)):
-        if (first is None or path[0] == first) and (last is None or path[-1] == last):
-            c = sum(w for w, s, p in zip(weights, states, path) if s != p) + penalty * sum(a != b for a, b in zip(path, path[1:]))
-            best = min(best, c)
-    return best
+def run_cost(weights, states, path, penalty):
+    return sum(w * runs.APART[s][p] for w, s, p in zip(weights, states, path)) / 100 + penalty * sum(a != b for a, b in zip(path, path[1:]))
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 2)), min_size=1, max_size=7), st.sampled_from([0.25, 1.0, 2.5]))
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 5)), min_size=1, max_size=5), st.sampled_from([0.25, 1.0, 2.5, 6.0]))
 def test_segment_is_optimal(rows, penalty):
     w, s = [r[0] for r in rows], [r[1] for r in rows]
     got = runs.segment(w, s, penalty)
-    c = sum(x for x, a, b in zip(w, s, got) if a != b) + penalty * sum(a != b for a, b in zip(got, got[1:]))
-    assert abs(c - best_cost(w, s, penalty)) < 1e-9
+    best = min(run_cost(w, s, path, penalty) for path in itertools.product(range(6), repeat=len(s)))
+    assert abs(run_cost(w, s, got, penalty) - best) < 1e-9
+    if penalty < 0.5 and all(a != b for a, b in zip(s, s[1:])):
+        assert got == s
+
+
+def test_likeness_of_states_decides(spark):
+    """A flicker joins its run, and between two runs a record goes to the one whose word is nearer: not what counting equal
+    neighbours gives."""
+    assert runs.APART[3][4] < runs.APART[3][0] < 200 and all(runs.APART[k][k] == 0 for k in range(6))
+    states = [4] * 6 + [3] + [0] * 6 + [2] + [0] * 3 + [1] * 9
+    df = spark.createDataFrame([("s", "t", k, v, k * 0.1) for k, v in enumerate(states)], RECORD)
+    got = sorted((r["start_frame"], r["end_frame"], r["state"], r["frames"], r["same_frames"]) for r in runs.collapse_runs(df, 2.0).collect())
+    assert got == [(0, 6, "sitting", 7, 6), (7, 16, "upright", 10, 9), (17, 25, "descending", 9, 9)]
+    assert runs.collapse_runs(df, runs.EXACT).count() == 6
 
 
 RECORD = "session_id string, track_id string, frame_index int, state int, stamp_sec double"
@@ -59,11 +67,9 @@ def test_blocks_give_the_uncut_segmentation(spark, penalty):
     key = ["track_id", "start_frame", "end_frame", "state", "frames", "same_frames"]
     get = lambda b: runs.collapse_runs(df, penalty, block=b).select(*key).toPandas().sort_values(key[:2]).values.tolist()
     whole, cut = get(10**6), get(16)
-    cost = lambda rows: sum(r[4] - r[5] for r in rows) + penalty * len(rows)
-    assert sum(r[4] for r in whole) == sum(r[4] for r in cut) == df.filter("state >= 0").count()
-    assert abs(cost(whole) - cost(cut)) < 1e-9
-    if penalty < 0.5:
-        assert whole == cut
+    assert sum(r[4] for r in whole) == df.filter("state >= 0").count()
+    assert whole == cut
+    assert penalty < 0.5 or any(r[4] > r[5] for r in whole)
 
 
 def test_run_states_and_deliveries(spark):
@@ -75,7 +81,7 @@ def test_run_states_and_deliveries(spark):
     ]
     cols = "record_id long, session_id string, track_id string, frame_index int, stamp_sec double, state string, recv_ts timestamp, frames int, n int"
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], cols)
-    got = sorted((r["track_id"], r["state"], r["start_frame"], r["end_frame"], r["frames"], round(r["duration_sec"] or 0, 3)) for r in runs.posture_runs(df).collect())
+    got = sorted((r["track_id"], r["state"], r["start_frame"], r["end_frame"], r["frames"], round(r["duration_sec"] or 0, 3)) for r in runs.posture_runs(df, runs.EXACT).collect())
     assert [g[:5] for g in got] == [("t", "lying", 1, 4, 3), ("t", "lying", 5, 7, 3), ("t", "lying", 9, 9, 1), ("u", "upright", 1, 1, 1), ("u", "upright", 2, 2, 1)] and got[0][5] == 0.8
     assert runs.posture_runs(spark.createDataFrame([], cols)).count() == 0
 
