@@ -1,34 +1,61 @@
-"""Schemas that drift between JSON files: one consistent table, and a report of each file's differences."""
+"""Schemas that drift between JSON files: one consistent table, and a report of each file's differences.
+
+Each file becomes a map of its paths with the type and value as written. Statistics of paths, types and contents come
+from these maps over all files; a file's differences, and the typed columns of the consistent table, are read from its
+map alone.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import latest_per_key
 
-#: Values per field and kind of value kept as the field's typical content.
-TYPICAL = 64
-#: Values per task that a field's statistics look at for exact content; shapes cover all values.
+#: A value or shape is typical of a field if at least this part of the files that have the field shows it.
+TYPICAL_VALUE, TYPICAL_SHAPE = 0.01, 0.02
+#: Contents per field that are known as typical, the most frequent first (what is sent to the driver is bounded by it).
+MARKS = 4096
+#: What stands between the names of a path inside the maps; in reports it is a dot.
+STEP = "\x1f"
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
+class _Number(float):
+    """A number that knows how it is written."""
+
+    text: str
+
+
+def _number(text: str) -> _Number:
+    x = _Number(text)
+    x.text = text
+    return x
+
+
+def _integer(text: str) -> int | Decimal:
+    return int(text) if len(text) <= 4000 else Decimal(text)
+
+
 def _reject(_: str):
     raise ValueError("not JSON")
 
 
 def read_document(raw: str | None):
-    """(ok, value) of a text that must be exactly one JSON document by RFC 8259 (no NaN, no byte order mark)."""
+    """(ok, value) of a text that must be exactly one JSON document by RFC 8259 (no NaN, no byte order mark). Documents
+    nested deeper than the interpreter's stack count as unreadable."""
     if raw is None:
         return False, None
     try:
-        return True, json.loads(raw, parse_constant=_reject)
+        return True, json.loads(raw, parse_constant=_reject, parse_float=_number, parse_int=_integer)
     except (ValueError, RecursionError):
         return False, None
 
@@ -39,26 +66,82 @@ def json_type(v) -> str:
         return "null"
     if isinstance(v, bool):
         return "boolean"
-    return {int: "integer", float: "number", str: "string", list: "array", dict: "object"}[type(v)]
+    if isinstance(v, float):
+        return "number"
+    return {int: "integer", Decimal: "integer", str: "string", list: "array", dict: "object"}[type(v)]
 
 
-def leaves(v, depth: int = 0) -> list[str]:
-    """The scalar content of a value as texts; joined lists ("x,y,z") come apart, wrappers fall away."""
-    if v is None or depth > 6:
-        return []
-    if isinstance(v, dict):
-        return [x for y in v.values() for x in leaves(y, depth + 1)]
+def _written(v) -> str | None:
+    """A scalar as it is written (strings without quotes), an array as JSON; nothing for null and objects."""
+    if v is None or isinstance(v, dict):
+        return None
     if isinstance(v, list):
-        return [x for y in v for x in leaves(y, depth + 1)]
+        return json.dumps(v, ensure_ascii=False, default=str)
     if isinstance(v, bool):
-        return [str(v).lower()]
-    if isinstance(v, float) and v.is_integer():
-        return [str(int(v))]
-    return [p.strip() for p in str(v).split(",") if p.strip()]
+        return str(v).lower()
+    return v.text if isinstance(v, _Number) else str(v)
+
+
+def flatten(doc) -> tuple[list[str], list[str], list[str | None]]:
+    """Paths, types and values of a document; the document itself has the empty path. Arrays are values."""
+    paths, types, values = [], [], []
+    todo = [("", doc)]
+    while todo:
+        path, v = todo.pop()
+        paths.append(path)
+        types.append(json_type(v))
+        values.append(_written(v))
+        if isinstance(v, dict):
+            todo += [(f"{path}{STEP}{name}" if path else STEP + name, x) for name, x in reversed(v.items())]
+    return paths, types, values
+
+
+class PathMap:
+    """One file's paths: type and value of each, and the names that stand in each object."""
+
+    def __init__(self, paths, types, values):
+        self.types, self.values = dict(zip(paths, types)), dict(zip(paths, values))
+        self.inner: dict[str, dict[str, str]] = {}
+        for p in self.types:
+            if p:
+                above, _, name = p.rpartition(STEP)
+                self.inner.setdefault(above, {})[name] = p
+
+    def value(self, path: str):
+        """The content under a path, put together again."""
+        t, v = self.types[path], self.values[path]
+        if t == "object":
+            return {name: self.value(p) for name, p in self.inner.get(path, {}).items()}
+        if t == "array":
+            return json.loads(v, parse_float=_number, parse_int=_integer)
+        return {"null": lambda _: None, "boolean": lambda x: x == "true", "integer": _integer, "number": _number, "string": str}[t](v)
+
+
+def leaves(v) -> list[str]:
+    """The scalar content of a value as texts; joined lists ("x,y,z") come apart, wrappers fall away."""
+    out, todo = [], [v]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            todo += reversed(v.values())
+        elif isinstance(v, list):
+            todo += reversed(v)
+        elif isinstance(v, bool):
+            out.append(str(v).lower())
+        elif isinstance(v, float) and v.is_integer():
+            out.append(str(int(v)))
+        elif v is not None:
+            out += [p.strip() for p in str(v).split(",") if p.strip()]
+    return out
+
+
+def _short(text: str) -> str:
+    """Long contents by their digest."""
+    return text if len(text) <= 80 else hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def shape(leaf: str) -> str:
-    return re.sub(r"[A-Za-z]+", "a", re.sub(r"\d+", "9", leaf))[:80]
+    return re.sub(r"[A-Za-z]+", "a", re.sub(r"\d+", "9", leaf))
 
 
 def content_marks(v, field_type: str) -> list[str]:
@@ -69,7 +152,7 @@ def content_marks(v, field_type: str) -> list[str]:
         return [f"e:{k}" for k in sorted({k for x in v for k in x})]
     if isinstance(v, dict) and v and all(isinstance(x, dict) for x in v.values()):
         return [f"e:{k}" for k in sorted({k for x in v.values() for k in x})]
-    return [m for x in dict.fromkeys(leaves(v)) for m in (f"v:{x[:80]}", f"s:{shape(x)}")]
+    return [m for x in dict.fromkeys(leaves(v)) for m in (f"v:{_short(x)}", f"s:{_short(shape(x))}")]
 
 
 def words(name: str) -> list[str]:
@@ -122,20 +205,22 @@ class Standard:
         exact = [m for m in marks if m[0] == "v"]
         shapes = [m for m in marks if m[0] == "s"]
         same = sum(m in usual for m in exact) / len(exact)
-        return max(same, 0.6 * sum(usual.get(m, 0) >= 0.02 for m in shapes) / len(shapes))
+        return max(same, 0.6 * sum(usual.get(m, 0) >= TYPICAL_SHAPE for m in shapes) / len(shapes))
 
     def pair(self, unknown: dict, missing: list[str]) -> dict[str, str]:
         """Missing path -> unknown name that now holds its content; best pairs first, each used once.
 
-        A pair needs a like name, a somewhat like name with like content, or content that names the field by itself.
+        A pair needs a like name, a somewhat like name with like content, or content that names the field by itself. Which
+        of several fields it is, names decide before contents that many fields could have (numbers, flags).
         """
         found = []
         for name, v in unknown.items():
             for path in missing:
                 n, c = name_likeness(name, path.rpartition(".")[2]), self.content_likeness(v, path)
                 inner = isinstance(v, dict) and self.types[path] == "object" and c >= 0.5
-                if inner or n >= 0.55 or (n >= 0.25 and c >= 0.5) or (c >= 0.99 and (n > 0 or self.distinctive(v, path))):
-                    found.append((n + c, path, name))
+                sure = self.distinctive(v, path)
+                if inner or n >= 0.55 or (n >= 0.25 and c >= 0.5) or (c >= 0.99 and (n > 0 or sure)):
+                    found.append((n + (c if sure else 0.02 * c), path, name))
         taken: dict[str, str] = {}
         for _, path, name in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
             if path not in taken and name not in taken.values():
@@ -150,74 +235,79 @@ class Standard:
         exact = [m[2:] for m in marks if m[0] == "v"]
         return any(len(x) >= 2 and not re.fullmatch(r"\d|true|false|[\d.]*\.[\d.]*", x) for x in exact)
 
-    def compare(self, doc) -> list[tuple[str, str]]:
+    def compare(self, file: PathMap) -> tuple[list[tuple[str, str]], dict[str, str]]:
+        """The differences of a file, and for each standard field that stands somewhere the path in the file."""
         out: list[tuple[str, str]] = []
-        self._object(doc if isinstance(doc, dict) else {}, "", "", out)
-        return out
-
-    def located(self, doc) -> dict[str, object]:
-        """Standard path -> value, read under its new name where it was renamed."""
-        where: dict[str, object] = {}
-        self._object(doc if isinstance(doc, dict) else {}, "", "", [], where)
-        return where
-
-    def _object(self, obj: dict, path: str, found_path: str, out: list, where: dict | None = None) -> None:
-        known = {p.rpartition(".")[2]: p for p in self.children.get(path, ())}
-        missing = [p for n, p in known.items() if n not in obj]
-        unknown = {n: v for n, v in obj.items() if n not in known}
-        moved = self.pair(unknown, missing) if missing and unknown else {}
-        dot = f"{found_path}." if found_path else ""
-        for name, p in known.items():
-            if p in moved:
-                out.append((p, "renamed"))
-                at = moved[p]
-            elif name in obj:
-                at = name
-            else:
-                out.append((p, "removed"))
-                continue
-            v, want = obj[at], self.types[p]
-            if where is not None:
-                where[p] = v
-            got = json_type(v)
-            if got not in (want, "null") and not (want == "number" and got == "integer"):
-                out.append((p, "retyped"))
-            elif want == "object" and got == "object":
-                self._object(v, p, dot + at, out, where)
-        for name, v in unknown.items():
-            if name not in moved.values() and v is not None:
-                out.append((dot + name, "added"))
+        where: dict[str, str] = {}
+        todo = [("", "")]
+        while todo:
+            path, at = todo.pop()
+            names = file.inner.get(at, {}) if file.types[at] == "object" else {}
+            known = {p.rpartition(".")[2]: p for p in self.children.get(path, ())}
+            missing = [p for n, p in known.items() if n not in names]
+            unknown = [n for n in names if n not in known]
+            moved = self.pair({n: file.value(names[n]) for n in unknown}, missing) if missing and unknown else {}
+            for name, p in known.items():
+                if p in moved:
+                    out.append((p, "renamed"))
+                elif name not in names:
+                    out.append((p, "removed"))
+                    continue
+                where[p] = names[moved.get(p, name)]
+                got, want = file.types[where[p]], self.types[p]
+                if got not in (want, "null") and not (want == "number" and got == "integer"):
+                    out.append((p, "retyped"))
+                elif want == "object" and got == "object":
+                    todo.append((p, where[p]))
+            for name in unknown:
+                if name not in moved.values() and file.types[names[name]] != "null":
+                    out.append((names[name][1:].replace(STEP, "."), "added"))
+        return list(dict.fromkeys(out)), where
 
 
 def _files(files: DataFrame) -> DataFrame:
     cols = ["session_id", "file_kind", "raw_json"]
-    return latest_per_key(files.select("file_id", "saved_ts", *cols), ["file_id"], ["saved_ts"], cols)
+    return latest_per_key(files.select("file_id", "saved_ts", *cols), ["file_id"], ["saved_ts"], [*cols, "saved_ts"])
 
 
-def path_values(files: DataFrame, fields: DataFrame) -> DataFrame:
-    """(file_id, file_kind, field_path, json_type, mark): each standard field that stands in its own place, with raw
-    type and what its content looks like; one row a mark. ``fields`` is the bounded standard (tens of rows)."""
-    kinds = _standard(fields)
+_LISTS = "paths array<string>, types array<string>, `values` array<string>"
+
+
+def _flat(files: DataFrame) -> DataFrame:
+    """(file_id, file_kind, saved_ts, readable, paths, types, values) of held files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for fid, kind, raw in zip(pdf["file_id"], pdf["file_kind"], pdf["raw_json"]):
+            for raw in pdf["raw_json"]:
                 ok, doc = read_document(raw)
-                if not ok or kind not in kinds:
-                    continue
-                for path, want in kinds[kind].items():
-                    v = doc
-                    for step in path.split("."):
-                        v = v.get(step) if isinstance(v, dict) else None
-                    if v is not None:
-                        t = json_type(v)
-                        if t == want or (want == "number" and t == "integer"):
-                            rows += [(fid, kind, path, t, m) for m in content_marks(v, want)]
-            yield pd.DataFrame(rows, columns=["file_id", "file_kind", "field_path", "json_type", "mark"])
-
-    return files.select("file_id", "file_kind", "raw_json").mapInPandas(
-        run, "file_id bigint, file_kind string, field_path string, json_type string, mark string"
+                rows.append((ok, *(flatten(doc) if ok else ([], [], []))))
+            part = pd.DataFrame(rows, columns=["readable", "paths", "types", "values"], index=pdf.index)
+            yield pd.concat([pdf[["file_id", "file_kind", "saved_ts"]], part], axis=1)
+
+    held = files.select("file_id", "file_kind", F.col("saved_ts").cast("timestamp_ntz"), "raw_json")
+    return held.mapInPandas(run, f"file_id bigint, file_kind string, saved_ts timestamp_ntz, readable boolean, {_LISTS}")
+
+
+def path_maps(files: DataFrame) -> DataFrame:
+    """(file_id, file_kind, saved_ts, readable, entries): of each file a map from path (names joined by dots) to the type
+    and value as written. Of a repeated file_id the row with the latest saved_ts holds; unreadable texts have no entries.
+    Of two paths that read alike with dots the first stands."""
+    flat = _flat(_files(files))
+    dots = F.transform("paths", lambda p: F.translate(F.substring(p, 2, 1 << 30), STEP, "."))
+    pairs = F.arrays_zip(dots.alias("p"), F.col("types").alias("type"), F.col("values").alias("value"))
+    first = F.filter(pairs, lambda x, i: F.array_position(dots, x["p"]) == i + 1)
+    entries = F.map_from_arrays(F.transform(first, lambda x: x["p"]), F.transform(first, lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"))))
+    return flat.select("file_id", "file_kind", "saved_ts", "readable", entries.alias("entries"))
+
+
+def path_statistics(files: DataFrame) -> DataFrame:
+    """(file_kind, field_path, json_type, files, first_saved, last_saved): how many files have a path with a type, and when
+    they were saved. The document itself is '$'."""
+    rows = path_maps(files).filter("readable").select("file_kind", "saved_ts", F.explode("entries").alias("field_path", "entry"))
+    path = F.when(F.col("field_path") == "", "$").otherwise(F.col("field_path"))
+    return rows.groupBy("file_kind", path.alias("field_path"), F.col("entry.type").alias("json_type")).agg(
+        F.count("*").alias("files"), F.min("saved_ts").alias("first_saved"), F.max("saved_ts").alias("last_saved")
     )
 
 
@@ -228,34 +318,38 @@ def _standard(fields: DataFrame) -> dict[str, dict[str, str]]:
     return dict(kinds)
 
 
-def field_statistics(files: DataFrame, fields: DataFrame) -> DataFrame:
-    """Per kind and field: its most frequent content marks with their share of the files that have the field.
-
-    At most TYPICAL marks a field and class of mark, so what is sent to the driver is bounded by the standard.
-    """
+def field_contents(flat: DataFrame, fields: DataFrame) -> DataFrame:
+    """(file_kind, field_path, mark, n, share): what the content of each standard field looks like where it stands in its
+    own place with its type, and the part of those files that show it; only marks that are typical. ``fields`` is the
+    bounded standard (tens of rows)."""
     from pyspark.sql import Window as W
 
-    marks = path_values(files, fields)
+    kinds = _standard(fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for kind, p, t, v in zip(pdf["file_kind"], pdf["paths"], pdf["types"], pdf["values"]):
+                file = PathMap(p, t, v)
+                for path, want in kinds.get(kind, {}).items():
+                    at = STEP + path.replace(".", STEP)
+                    got = file.types.get(at)
+                    if got == want or (want == "number" and got == "integer"):
+                        rows += [(kind, path, m) for m in ("files", *dict.fromkeys(content_marks(file.value(at), want)))]
+            yield pd.DataFrame(rows, columns=["file_kind", "field_path", "mark"])
+
+    marks = flat.filter("readable").select("file_kind", "paths", "types", "values").mapInPandas(run, "file_kind string, field_path string, mark string")
     n = marks.groupBy("file_kind", "field_path", "mark").agg(F.count("*").alias("n"))
-    w = W.partitionBy("file_kind", "field_path", F.substring("mark", 1, 1)).orderBy(F.desc("n"), "mark")
-    most = W.partitionBy("file_kind", "field_path")
-    return (
-        n.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= TYPICAL)
-        .withColumn("share", F.col("n") / F.max("n").over(most))
-        .select("file_kind", "field_path", "mark", "n", "share")
-    )
+    of = W.partitionBy("file_kind", "field_path")
+    most = n.withColumn("share", F.col("n") / F.max(F.when(F.col("mark") == "files", F.col("n"))).over(of)).filter(f"mark <> 'files' and share >= {TYPICAL_VALUE}")
+    return most.withColumn("rank", F.row_number().over(of.orderBy(F.desc("n"), "mark"))).filter(F.col("rank") <= MARKS).drop("rank")
 
 
-def _models(files: DataFrame, fields: DataFrame) -> dict[str, Standard]:
+def _models(flat: DataFrame, fields: DataFrame) -> dict[str, Standard]:
     kinds = _standard(fields)
     typical: dict[str, dict[str, dict[str, float]]] = {k: defaultdict(dict) for k in kinds}
-    # A value seen once in the corpus is no usual content; with a few files each value counts.
-    stats = field_statistics(files, fields).collect()
-    most = max((r["n"] for r in stats), default=0)
-    for r in stats:
-        if r["mark"][0] in "ske" or r["n"] >= min(3, most):
-            typical[r["file_kind"]][r["field_path"]][r["mark"]] = r["share"]
+    for r in field_contents(flat, fields).collect():
+        typical[r["file_kind"]][r["field_path"]][r["mark"]] = r["share"]
     return {k: Standard(f, typical[k]) for k, f in kinds.items()}
 
 
@@ -266,90 +360,94 @@ def schema_drift(files: DataFrame, fields: DataFrame) -> DataFrame:
     (file_id, '$', 'unreadable'). A file whose kind the standard doesn't name gives no row. A document that is not an
     object lacks every top field. An unknown field that is null has no content and is not 'added'.
     """
-    held = _files(files)
-    models = _models(held, fields)
+    flat = _flat(_files(files))
+    models = _models(flat, fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for fid, kind, raw in zip(pdf["file_id"], pdf["file_kind"], pdf["raw_json"]):
-                ok, doc = read_document(raw)
+            for fid, kind, ok, p, t, v in zip(*[pdf[c] for c in ("file_id", "file_kind", "readable", "paths", "types", "values")]):
                 if not ok:
                     rows.append((fid, "$", "unreadable"))
                 elif kind in models:
-                    rows += [(fid, p, d) for p, d in models[kind].compare(doc)]
+                    rows += [(fid, *d) for d in models[kind].compare(PathMap(p, t, v))[0]]
             yield pd.DataFrame(rows, columns=["file_id", "field_path", "drift_kind"])
 
-    return held.select("file_id", "file_kind", "raw_json").mapInPandas(run, "file_id bigint, field_path string, drift_kind string").distinct()
+    return flat.drop("saved_ts").mapInPandas(run, "file_id bigint, field_path string, drift_kind string")
 
 
 def _column(path: str) -> str:
     return re.sub(r"\W+", "_", path)
 
 
-def _as_type(v, want: str):
-    """(value as text fit for a cast, failed). Wrapped and spelled-out scalars are unwrapped; null stays null."""
+def cast_text(t: str, v, want: str) -> str | None:
+    """What a cast to the standard type reads: scalars as written, wrappers of one scalar unwrapped, lists in any form as a
+    JSON array; content that has no such form as it is, so that its cast fails."""
     if v is None:
-        return None, False
-    if want in ("object", "array"):
-        ok = json_type(v) == want
-        if want == "array" and not ok:
-            v, ok = (leaves(v), True) if leaves(v) else (v, False)
-        return (json.dumps(v, ensure_ascii=False) if ok else None), not ok
+        return None
+    if want in ("array", "object"):
+        if want == "array" and t != "array" and leaves(v):
+            v = list(v.values()) if isinstance(v, dict) else leaves(v)
+        return json.dumps(v, ensure_ascii=False, default=str)
+    if t not in ("object", "array"):
+        return _written(v)
     flat = leaves(v)
-    if want == "string" and isinstance(v, str):
-        return v, False
-    if len(flat) != 1:
-        return None, True
-    if want in ("integer", "number"):
-        try:
-            x = float(flat[0])
-            return (str(int(x)) if want == "integer" and x.is_integer() else None if want == "integer" else repr(x)), want == "integer" and not x.is_integer()
-        except (ValueError, OverflowError):
-            return None, True
-    return flat[0], False
+    return flat[0] if len(flat) == 1 else json.dumps(v, ensure_ascii=False, default=str)
 
 
 #: JSON type of the standard -> Spark type of the consistent table.
 SPARK_TYPE = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean", "array": "string", "object": "string"}
+_JSON_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+_WHOLE = r"^-?(0|[1-9][0-9]*)(\.0+)?$"
+
+
+def typed(text: Column, got: Column, want: str) -> Column:
+    """A text as the standard type, by the grammar of JSON; null where it isn't one."""
+    if want == "integer":
+        return F.when(text.rlike(_WHOLE), F.regexp_replace(text, r"\.0+$", "")).try_cast("bigint")
+    if want == "number":
+        x = F.when(text.rlike(_JSON_NUMBER), text).try_cast("double")
+        return F.when(F.abs(x) < float("inf"), x)
+    if want == "boolean":
+        return F.when(text.isin("true", "false"), text == "true")
+    if want == "array":
+        return F.when(text.startswith("["), text)
+    return F.when(~got.isin("object", "array") | ~text.rlike(r"^[\[{]"), text)
 
 
 def consistent_table(files: DataFrame, fields: DataFrame) -> DataFrame:
     """One row a readable file: file_id, file_kind and a typed column for every standard field that isn't an object
     (dots become underscores, arrays stay JSON text), read under its new name where renamed; failed_casts lists the
-    fields whose content fits the type no more. Columns of other kinds are null."""
-    held = _files(files)
-    models = _models(held, fields)
-    wanted = {}
-    for m in models.values():
+    fields that have a value which the type can't hold. Columns of other kinds are null; of two kinds with one field
+    the type of the first by name holds."""
+    flat = _flat(_files(files))
+    models = _models(flat, fields)
+    wanted: dict[str, str] = {}
+    for _, m in sorted(models.items()):
         for p, t in m.types.items():
             if t != "object":
-                wanted.setdefault(_column(p), t)
-    names = sorted(wanted)
+                wanted.setdefault(p, t)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for fid, kind, raw in zip(pdf["file_id"], pdf["file_kind"], pdf["raw_json"]):
-                ok, doc = read_document(raw)
-                if not ok or kind not in models:
+            for fid, kind, p, t, v in zip(*[pdf[c] for c in ("file_id", "file_kind", "paths", "types", "values")]):
+                if kind not in models:
                     continue
-                m, row, failed = models[kind], {}, []
-                for p, v in m.located(doc).items():
-                    if m.types[p] != "object":
-                        row[_column(p)], bad = _as_type(v, m.types[p])
-                        failed += [p] * bad
-                rows.append((fid, kind, *[row.get(n) for n in names], sorted(failed)))
-            yield pd.DataFrame(rows, columns=["file_id", "file_kind", *names, "failed_casts"])
+                file = PathMap(p, t, v)
+                where = {f: at for f, at in models[kind].compare(file)[1].items() if models[kind].types[f] != "object"}
+                got = [file.types[at] for at in where.values()]
+                rows.append((fid, kind, list(where), got, [cast_text(x, file.value(at), wanted[f]) for (f, at), x in zip(where.items(), got)]))
+            yield pd.DataFrame(rows, columns=["file_id", "file_kind", "paths", "types", "values"])
 
-    flat = ", ".join(f"`{n}` string" for n in names)
-    raw = held.mapInPandas(run, f"file_id bigint, file_kind string{', ' + flat if flat else ''}, failed_casts array<string>")
-    return raw.select("file_id", "file_kind", *[F.expr(f"try_cast(`{n}` as {SPARK_TYPE[wanted[n]]})").alias(n) for n in names], "failed_casts")
+    placed = flat.filter("readable").select("file_id", "file_kind", "paths", "types", "values").mapInPandas(run, f"file_id bigint, file_kind string, {_LISTS}")
+    rows = placed.select("file_id", "file_kind", F.map_from_arrays("paths", F.arrays_zip("types", "values")).alias("e"))
+    parts = [(p, t, F.try_element_at("e", F.lit(p))) for p, t in sorted(wanted.items())]
+    done = [(p, typed(e["values"], e["types"], t), e["values"]) for p, t, e in parts]
+    failed = F.filter(F.array(*[F.when(raw.isNotNull() & value.isNull(), F.lit(p)) for p, value, raw in done]), lambda x: x.isNotNull()) if done else F.array().cast("array<string>")
+    return rows.select("file_id", "file_kind", *[value.cast(SPARK_TYPE[wanted[p]]).alias(_column(p)) for p, value, _ in done], failed.alias("failed_casts"))
 
 
 def drift_summary(files: DataFrame, fields: DataFrame) -> DataFrame:
     """How many files have each difference."""
     return schema_drift(files, fields).groupBy("field_path", "drift_kind").agg(F.count("*").alias("files"))
-
-
-__all__ = ["Counter", "consistent_table", "drift_summary", "field_statistics", "path_values", "schema_drift"]

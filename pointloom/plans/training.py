@@ -29,7 +29,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return drift.field_statistics(table(spark, d, "session_files"), table(spark, d, "schema_fields"))
+    return drift.path_statistics(table(spark, d, "session_files"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,6 +56,14 @@ q as (select *, lead(s) over (partition by session_id, track_id, label order by
 select session_id, track_id, label, 'period' as piece, s as start_frame, e as end_frame from q
 union all
 select session_id, track_id, label, 'gap', e + 1, ns - 1 from q where ns is not null
+""",
+    "p5_statistics": """
+with held as (select *, row_number() over (partition by file_id order by saved_ts desc nulls last, session_id desc, file_kind desc, raw_json desc) as rn from session_files),
+ok as (select file_id, file_kind, saved_ts, raw_json from held where rn = 1 and json_valid(raw_json) and not contains(raw_json, 'NaN') and not contains(raw_json, 'Infinity')),
+t as (select file_id, file_kind, saved_ts, j.fullkey, j.type from ok, lateral (select * from json_tree(raw_json)) j where not contains(j.fullkey, '['))
+select file_kind, case when fullkey = '$' then '$' else replace(substr(fullkey, 3), '"', '') end as field_path,
+  case when type in ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT') then 'integer' when type = 'DOUBLE' then 'number' when type = 'VARCHAR' then 'string' else lower(type) end as json_type,
+  count(*) as files, min(saved_ts) as first_saved, max(saved_ts) as last_saved from t group by 1, 2, 3
 """,
     "p6_found": """
 with ok as (select distinct point_id, session_id, sensor_id, x::double as x, y::double as y, z::double as z from cloud_points

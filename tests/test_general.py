@@ -183,6 +183,48 @@ def test_drift_kinds(spark):
     assert t[13]["format"] == "clip_v1" and t[14]["size_bytes"] == 28 and t[18]["box_end"] == "little" and t[28]["size_bytes"] == 28 and 22 not in t
 
 
+def test_names_decide_before_numbers_that_fit_anywhere(spark):
+    """total_points under a new name is 0, as total_dropped_points mostly is; a retyped format is 1, as format_version is."""
+    names = ["format", "format_version", "total_points", "total_dropped_points"]
+    fields = spark.createDataFrame([("meta", n, "string" if n == "format" else "integer") for n in names], "file_kind string, field_path string, json_type string")
+    good = {"format": "clip_v1", "format_version": 1, "total_points": 1_000_000, "total_dropped_points": 0}
+    texts = [json.dumps(good | {"total_points": 1_000_000 + 7 * k}) for k in range(40)]
+    texts += ['{"format": "clip_v1", "format_version": 1, "n_points": 0}', '{"doc_format": 1, "total_points": 1000001, "total_dropped_points": 0}', '{"Format": 1, "total_points": 1000001, "total_dropped_points": 0}']
+    files = spark.createDataFrame([(k, "s", "meta", None, t) for k, t in enumerate(texts)], "file_id long, session_id string, file_kind string, saved_ts timestamp, raw_json string")
+    got = {tuple(r) for r in drift.schema_drift(files, fields).collect()}
+    both = {(k, f, d) for k in (41, 42) for f, d in (("format", "renamed"), ("format", "retyped"), ("format_version", "removed"))}
+    assert got == {(40, "total_points", "renamed"), (40, "total_dropped_points", "removed")} | both
+
+
+def test_values_and_failed_casts(spark):
+    """Integers stay exact, and what a type can't hold is null and listed."""
+    names = {"t": "integer", "n": "number", "b": "boolean", "a": "array", "s": "string"}
+    fields = spark.createDataFrame([("meta", n, t) for n, t in names.items()], "file_kind string, field_path string, json_type string")
+    ok = {"t": 1764172069123456789, "n": 1.5, "b": True, "a": ["x", 1], "s": "é"}
+    texts = [
+        json.dumps(ok), '{"t": "1764172069123456789", "n": "2e3", "b": "true", "a": "x,y", "s": 1.50}', '{"t": "1_000", "n": "nan", "b": "maybe", "a": 3, "s": {"x": 1, "y": 2}}', '{"t": %d, "n": 1e999, "b": 1, "a": {}, "s": [7]}' % 10**30,
+        '{"t": 28.0, "n": null, "b": null, "a": null, "s": null}', '{"t": [5], "n": 1764172069123456789, "b": "True", "a": {"0": 1, "1": 2}, "s": ""}', "[]", "5",
+    ]
+    files = spark.createDataFrame([(k, "s", "meta", None, t) for k, t in enumerate(texts)], "file_id long, session_id string, file_kind string, saved_ts timestamp, raw_json string")
+    got = {r["file_id"]: r for r in drift.consistent_table(files, fields).collect()}
+    row = lambda k: tuple(got[k][c] for c in ("t", "n", "b", "a", "s", "failed_casts"))
+    assert row(0) == (1764172069123456789, 1.5, True, '["x", 1]', "é", []) and row(1) == (1764172069123456789, 2000.0, True, '["x", "y"]', "1.50", [])
+    assert row(2) == (None, None, None, '["3"]', None, ["b", "n", "s", "t"]) and row(3) == (None, None, None, None, "7", ["a", "b", "n", "t"])
+    assert row(4) == (28, None, None, None, None, []) and row(5) == (5, 1764172069123456789.0, None, "[1, 2]", "", ["b"])
+    assert row(6) == row(7) == (None,) * 5 + ([],)
+
+
+def test_path_maps(spark):
+    deep = '{"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": 1e3}}}}}}}, "a.b": 2, "n": 12345678901234567890123, "x": "' + "y" * 200 + '"}'
+    files = spark.createDataFrame([(1, "s", "meta", None, deep), (2, "s", "meta", None, "{"), (3, "s", "meta", None, "[1, 2.50]"), (4, "s", "meta", None, None)], "file_id long, session_id string, file_kind string, saved_ts timestamp, raw_json string")
+    got = {r["file_id"]: r for r in drift.path_maps(files).collect()}
+    e = {k: tuple(v) for k, v in got[1]["entries"].items()}
+    assert e["a.b.c.d.e.f.g.h"] == ("number", "1e3") and e["n"] == ("integer", "12345678901234567890123") and e["x"][1] == "y" * 200 and e["a.b"] == ("object", None) and e[""] == ("object", None)
+    assert not got[2]["readable"] and not got[4]["readable"] and got[2]["entries"] == {} and got[3]["entries"][""]["type"] == "array"
+    assert {(r["field_path"], r["json_type"], r["files"]) for r in drift.path_statistics(files).collect()} >= {("$", "object", 1), ("$", "array", 1), ("a.b.c.d.e.f.g.h", "number", 1)}
+    assert drift.leaves(json.loads(deep)["a"]) == ["1000"]
+
+
 POINTS = "point_id long, session_id string, sensor_id string, x float, y float, z float, key_a int, zone_id int"
 ZONES = "zone_id long, sensor_id string, x_min double, x_max double, y_min double, y_max double, z_min double, z_max double"
 
