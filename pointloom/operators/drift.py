@@ -289,6 +289,21 @@ def _flat(files: DataFrame) -> DataFrame:
     return held.mapInPandas(run, f"file_id bigint, file_kind string, saved_ts timestamp_ntz, readable boolean, {_LISTS}")
 
 
+def _from_maps(held: DataFrame, made, schema: str) -> DataFrame:
+    """``made(file_id, file_kind, map)`` rows of each held file in one pass; the map is None for an unreadable text."""
+    names = [c.split()[0].strip("`") for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for fid, kind, raw in zip(pdf["file_id"], pdf["file_kind"], pdf["raw_json"]):
+                ok, doc = read_document(raw)
+                rows += made(fid, kind, PathMap(*flatten(doc)) if ok else None)
+            yield pd.DataFrame(rows, columns=names)
+
+    return held.select("file_id", "file_kind", "raw_json").mapInPandas(run, schema)
+
+
 def path_maps(files: DataFrame) -> DataFrame:
     """(file_id, file_kind, saved_ts, readable, entries): of each file a map from path (names joined by dots) to the type
     and value as written. Of a repeated file_id the row with the latest saved_ts holds; unreadable texts have no entries.
@@ -318,7 +333,7 @@ def _standard(fields: DataFrame) -> dict[str, dict[str, str]]:
     return dict(kinds)
 
 
-def field_contents(flat: DataFrame, fields: DataFrame) -> DataFrame:
+def field_contents(held: DataFrame, fields: DataFrame) -> DataFrame:
     """(file_kind, field_path, mark, n, share): what the content of each standard field looks like where it stands in its
     own place with its type, and the part of those files that show it; only marks that are typical. ``fields`` is the
     bounded standard (tens of rows)."""
@@ -326,29 +341,26 @@ def field_contents(flat: DataFrame, fields: DataFrame) -> DataFrame:
 
     kinds = _standard(fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for kind, p, t, v in zip(pdf["file_kind"], pdf["paths"], pdf["types"], pdf["values"]):
-                file = PathMap(p, t, v)
-                for path, want in kinds.get(kind, {}).items():
-                    at = STEP + path.replace(".", STEP)
-                    got = file.types.get(at)
-                    if got == want or (want == "number" and got == "integer"):
-                        rows += [(kind, path, m) for m in ("files", *dict.fromkeys(content_marks(file.value(at), want)))]
-            yield pd.DataFrame(rows, columns=["file_kind", "field_path", "mark"])
-
-    marks = flat.filter("readable").select("file_kind", "paths", "types", "values").mapInPandas(run, "file_kind string, field_path string, mark string")
+    def marks_of(fid, kind, file: PathMap | None) -> list[tuple]:
+        rows = []
+        for path, want in kinds.get(kind, {}).items() if file else ():
+            at = STEP + path.replace(".", STEP)
+            got = file.types.get(at)
+            if got == want or (want == "number" and got == "integer"):
+                rows += [(kind, path, m) for m in ("files", *dict.fromkeys(content_marks(file.value(at), want)))]
+        return rows
+
+    marks = _from_maps(held, marks_of, "file_kind string, field_path string, mark string")
     n = marks.groupBy("file_kind", "field_path", "mark").agg(F.count("*").alias("n"))
     of = W.partitionBy("file_kind", "field_path")
     most = n.withColumn("share", F.col("n") / F.max(F.when(F.col("mark") == "files", F.col("n"))).over(of)).filter(f"mark <> 'files' and share >= {TYPICAL_VALUE}")
     return most.withColumn("rank", F.row_number().over(of.orderBy(F.desc("n"), "mark"))).filter(F.col("rank") <= MARKS).drop("rank")
 
 
-def _models(flat: DataFrame, fields: DataFrame) -> dict[str, Standard]:
+def _models(held: DataFrame, fields: DataFrame) -> dict[str, Standard]:
     kinds = _standard(fields)
     typical: dict[str, dict[str, dict[str, float]]] = {k: defaultdict(dict) for k in kinds}
-    for r in field_contents(flat, fields).collect():
+    for r in field_contents(held, fields).collect():
         typical[r["file_kind"]][r["field_path"]][r["mark"]] = r["share"]
     return {k: Standard(f, typical[k]) for k, f in kinds.items()}
 
@@ -360,20 +372,15 @@ def schema_drift(files: DataFrame, fields: DataFrame) -> DataFrame:
     (file_id, '$', 'unreadable'). A file whose kind the standard doesn't name gives no row. A document that is not an
     object lacks every top field. An unknown field that is null has no content and is not 'added'.
     """
-    flat = _flat(_files(files))
-    models = _models(flat, fields)
+    held = _files(files)
+    models = _models(held, fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for fid, kind, ok, p, t, v in zip(*[pdf[c] for c in ("file_id", "file_kind", "readable", "paths", "types", "values")]):
-                if not ok:
-                    rows.append((fid, "$", "unreadable"))
-                elif kind in models:
-                    rows += [(fid, *d) for d in models[kind].compare(PathMap(p, t, v))[0]]
-            yield pd.DataFrame(rows, columns=["file_id", "field_path", "drift_kind"])
+    def differences(fid, kind, file: PathMap | None) -> list[tuple]:
+        if file is None:
+            return [(fid, "$", "unreadable")]
+        return [(fid, *d) for d in models[kind].compare(file)[0]] if kind in models else []
 
-    return flat.drop("saved_ts").mapInPandas(run, "file_id bigint, field_path string, drift_kind string")
+    return _from_maps(held, differences, "file_id bigint, field_path string, drift_kind string")
 
 
 def _column(path: str) -> str:
@@ -420,27 +427,22 @@ def consistent_table(files: DataFrame, fields: DataFrame) -> DataFrame:
     (dots become underscores, arrays stay JSON text), read under its new name where renamed; failed_casts lists the
     fields that have a value which the type can't hold. Columns of other kinds are null; of two kinds with one field
     the type of the first by name holds."""
-    flat = _flat(_files(files))
-    models = _models(flat, fields)
+    held = _files(files)
+    models = _models(held, fields)
     wanted: dict[str, str] = {}
     for _, m in sorted(models.items()):
         for p, t in m.types.items():
             if t != "object":
                 wanted.setdefault(p, t)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for fid, kind, p, t, v in zip(*[pdf[c] for c in ("file_id", "file_kind", "paths", "types", "values")]):
-                if kind not in models:
-                    continue
-                file = PathMap(p, t, v)
-                where = {f: at for f, at in models[kind].compare(file)[1].items() if models[kind].types[f] != "object"}
-                got = [file.types[at] for at in where.values()]
-                rows.append((fid, kind, list(where), got, [cast_text(x, file.value(at), wanted[f]) for (f, at), x in zip(where.items(), got)]))
-            yield pd.DataFrame(rows, columns=["file_id", "file_kind", "paths", "types", "values"])
+    def placed_values(fid, kind, file: PathMap | None) -> list[tuple]:
+        if file is None or kind not in models:
+            return []
+        where = {f: at for f, at in models[kind].compare(file)[1].items() if models[kind].types[f] != "object"}
+        got = [file.types[at] for at in where.values()]
+        return [(fid, kind, list(where), got, [cast_text(x, file.value(at), wanted[f]) for (f, at), x in zip(where.items(), got)])]
 
-    placed = flat.filter("readable").select("file_id", "file_kind", "paths", "types", "values").mapInPandas(run, f"file_id bigint, file_kind string, {_LISTS}")
+    placed = _from_maps(held, placed_values, f"file_id bigint, file_kind string, {_LISTS}")
     rows = placed.select("file_id", "file_kind", F.map_from_arrays("paths", F.arrays_zip("types", "values")).alias("e"))
     parts = [(p, t, F.try_element_at("e", F.lit(p))) for p, t in sorted(wanted.items())]
     done = [(p, typed(e["values"], e["types"], t), e["values"]) for p, t, e in parts]
