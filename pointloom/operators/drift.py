@@ -7,6 +7,7 @@ map alone.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -62,23 +63,22 @@ def read_document(raw: str | None):
 
 def json_type(v) -> str:
     """28 is an integer, 28.0 and 1e3 are numbers: the type as written."""
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, float):
-        return "number"
-    return {int: "integer", Decimal: "integer", str: "string", list: "array", dict: "object"}[type(v)]
+    return _TYPES[type(v)]
+
+
+_TYPES = {type(None): "null", bool: "boolean", int: "integer", Decimal: "integer", _Number: "number", float: "number", str: "string", list: "array", dict: "object"}
 
 
 def _written(v) -> str | None:
     """A scalar as it is written (strings without quotes), an array as JSON; nothing for null and objects."""
+    if isinstance(v, str):
+        return str(v)
     if v is None or isinstance(v, dict):
         return None
     if isinstance(v, list):
         return json.dumps(v, ensure_ascii=False, default=str)
     if isinstance(v, bool):
-        return str(v).lower()
+        return "true" if v else "false"
     return v.text if isinstance(v, _Number) else str(v)
 
 
@@ -110,11 +110,13 @@ class PathMap:
     def value(self, path: str):
         """The content under a path, put together again."""
         t, v = self.types[path], self.values[path]
+        if t == "string":
+            return v
         if t == "object":
             return {name: self.value(p) for name, p in self.inner.get(path, {}).items()}
         if t == "array":
             return json.loads(v, parse_float=_number, parse_int=_integer)
-        return {"null": lambda _: None, "boolean": lambda x: x == "true", "integer": _integer, "number": _number, "string": str}[t](v)
+        return {"null": lambda _: None, "boolean": lambda x: x == "true", "integer": _integer, "number": _number}[t](v)
 
 
 def leaves(v) -> list[str]:
@@ -155,6 +157,12 @@ def content_marks(v, field_type: str) -> list[str]:
     return [m for x in dict.fromkeys(leaves(v)) for m in (f"v:{_short(x)}", f"s:{_short(shape(x))}")]
 
 
+@functools.lru_cache(20_000)
+def known_marks(got: str, text: str | None, want: str) -> tuple[str, ...]:
+    """The marks of a scalar or array as it is written: most contents stand in many files."""
+    return tuple(dict.fromkeys(content_marks(PathMap([""], [got], [text]).value(""), want)))
+
+
 def words(name: str) -> list[str]:
     return [w.lower() for w in _SPLIT.findall(name)]
 
@@ -347,7 +355,8 @@ def field_contents(held: DataFrame, fields: DataFrame) -> DataFrame:
             at = STEP + path.replace(".", STEP)
             got = file.types.get(at)
             if got == want or (want == "number" and got == "integer"):
-                rows += [(kind, path, m) for m in ("files", *dict.fromkeys(content_marks(file.value(at), want)))]
+                marks = content_marks(file.value(at), want) if got == "object" or len(file.values[at]) > 256 else known_marks(got, file.values[at], want)
+                rows += [(kind, path, m) for m in ("files", *dict.fromkeys(marks))]
         return rows
 
     marks = _from_maps(held, marks_of, "file_kind string, field_path string, mark string")
