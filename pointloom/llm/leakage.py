@@ -1,10 +1,11 @@
 """Evaluation texts in training text: suffix arrays over shards of the corpus, searched with every suffix of every item.
 
-Texts become words without case, accents, marks and forms (single characters in scripts without blanks). A shard is the
-documents of one Arrow batch; its suffix array sorts the positions of words that some item has. Each suffix of each item
-is located by binary search, the suffixes that share its first words are its verbatim matches, and runs of them give the
-longest matches with their places. Matches of a document and item on nearby diagonals are chained over altered words into
-pieces; the document carries the item when the pieces cover enough of it.
+Texts become words without case, accents, marks and forms (single characters in scripts without blanks). A shard is some
+millions of characters of documents; its suffix array orders the suffixes that begin with words some item has in a row, to
+their full length. Every suffix of every item narrows its stretch of the array by binary search, word by word, to the
+longest match; the common lengths of neighbours in the array then give the match with each other place of the stretch.
+Matches that go on to the left belong to a longer one. Matches of a document and item on nearby diagonals are chained over
+altered words into pieces; the document carries the item when the pieces cover enough of it.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ SEED, BRIDGE = 4, 4
 PIECE, PIECE_SINGLE, COVER = 9, 16, 0.6
 #: Part of a piece that must be verbatim: texts made from one pattern share phrases, copies differ here and there.
 DENSE = 0.7
-#: Rows of one shard (an Arrow batch of documents).
-SHARD_DOCS = 4000
-#: Items are held by every task; more words than this are refused rather than broadcast.
-MAX_ITEM_WORDS = 5_000_000
+#: Characters of the documents of one shard; a longer document is a shard of its own.
+SHARD_CHARS = 4_000_000
+#: Places of the array that are paired with item suffixes at a time.
+SLICE = 1_000_000
+#: Items are held by every task; more characters than this are refused rather than broadcast.
+MAX_ITEM_CHARS = 25_000_000
 
 _SINGLE = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff"
 _WORD = re.compile(f"[{_SINGLE}]|[^\\W_{_SINGLE}]+")
@@ -73,76 +76,153 @@ class Items:
         return len(self.words)
 
 
-def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of words other than 0, sorted by the ``depth`` words from there (0 ends a suffix).
+def _grams(words: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+    """A number for the ``seed`` words from each place (equal words, equal number)."""
+    h = np.zeros(len(at), "uint64")
+    for k in range(seed):
+        h = (h + words[at + k].astype("uint64")) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
-    Prefix doubling: ranks of 1, 2, 4, ... words, each from one sort of pairs of ranks.
+
+def suffix_array(words: np.ndarray, live: np.ndarray, deepest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places ``live`` in the order of the words from there on, and the number of words each shares with the one before
+    it. 0 ends a suffix and must stand at the end; words beyond ``deepest`` are not looked at.
+
+    Groups of equal beginnings are split by the next word until they are of one or at their end.
     """
-    live = np.flatnonzero(words)
-    rank = words.astype("int64")
-    width = 1
-    while width < depth:
-        nxt = np.zeros_like(rank)
-        nxt[:-width] = rank[width:]
-        key = rank[live] * (int(rank.max()) + 1) + nxt[live]
-        _, dense = np.unique(key, return_inverse=True)
-        rank = np.zeros_like(rank)
-        rank[live] = dense + 1
-        width *= 2
-    return live[np.argsort(rank[live], kind="stable")]
+    order = live[np.argsort(words[live], kind="stable")]
+    key = words[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = key[1:] == key[:-1]
+    lcp = np.zeros(len(order), "int64")
+    group = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    active = np.flatnonzero(same | np.append(same[1:], False))
+    depth = 1
+    while len(active):
+        at, g = order[active], group[active]
+        key = words[at + depth] if depth < deepest else np.zeros(len(at), words.dtype)
+        o = np.lexsort((key, g))
+        order[active], key = at[o], key[o]
+        joined = np.zeros(len(active), bool)
+        joined[1:] = g[1:] == g[:-1]
+        same = joined.copy()
+        same[1:] &= key[1:] == key[:-1]
+        # what parts here, or ends here, shares so many words
+        lcp[active[joined & (~same | (key == 0))]] = depth
+        group[active] = active[np.maximum.accumulate(np.where(same, 0, np.arange(len(active))))]
+        active = active[(same | np.append(same[1:], False)) & (key != 0)]
+        depth += 1
+    return order, lcp
 
 
-def _bounds(words: np.ndarray, order: np.ndarray, queries: np.ndarray, upper: bool) -> np.ndarray:
-    """Binary search of each row of ``queries`` among the suffixes: first place not less (or greater, with upper)."""
-    lo, hi = np.zeros(len(queries), "int64"), np.full(len(queries), len(order), "int64")
-    width = queries.shape[1]
-    while True:
-        live = np.flatnonzero(lo < hi)
-        if not len(live):
-            return lo
+def _narrow(column, lo: np.ndarray, hi: np.ndarray, want: np.ndarray, upper: bool) -> np.ndarray:
+    """Binary search in each stretch [lo, hi): first place whose word is not less (greater, with upper) than wanted."""
+    lo, hi = lo.copy(), hi.copy()
+    while len(live := np.flatnonzero(lo < hi)):
         mid = (lo[live] + hi[live]) >> 1
-        at = order[mid]
-        cmp = np.zeros(len(live), "int64")
-        for k in range(width):
-            d = np.sign(words[at + k].astype("int64") - queries[live, k])
-            cmp = np.where(cmp == 0, d, cmp)
-        up = cmp <= 0 if upper else cmp < 0
+        word = column(live, mid)
+        up = word <= want[live] if upper else word < want[live]
         lo[live[up]], hi[live[~up]] = mid[up] + 1, mid[~up]
+    return lo
 
 
 def matches(items: Items, docs: list[list[str]], seed: int = SEED):
-    """Arrays (doc, item, doc word, item word, length) of the longest verbatim matches of at least ``seed`` words."""
-    get, spans, parts = items.number.get, [], []
-    at = 0
+    """Arrays (doc, item, doc word, item word, length) of the longest verbatim matches of at least ``seed`` words.
+
+    The item suffixes meet the places of the array in slices, so memory is linear in items and documents however many
+    places a phrase has; suffixes of fewer than ``seed`` words can't begin a match.
+    """
+    get, spans, parts, at = items.number.get, [], [], 0
     for d in docs:
         spans.append(at)
-        parts.append(np.fromiter((get(w, 0) for w in d), "int32", len(d)))
-        parts.append(np.zeros(seed, "int32"))
+        parts += [np.fromiter((get(w, 0) for w in d), "int32", len(d)), np.zeros(seed, "int32")]
         at += len(d) + seed
     empty = tuple(np.zeros(0, "int64") for _ in range(5))
     if not at or not items.size():
         return empty
     words = np.concatenate(parts)
-    order = suffix_array(words, seed)
-    starts = np.flatnonzero(np.arange(items.size()) + seed <= items.start[items.item_of + 1])
-    if not len(starts) or not len(order):
+    bounds = np.array(spans)
+    queries = np.flatnonzero(np.arange(items.size()) + seed <= items.start[items.item_of + 1])
+    if not len(queries):
         return empty
-    queries = items.words[starts[:, None] + np.arange(seed)].astype("int64")
-    lo, hi = _bounds(words, order, queries, False), _bounds(words, order, queries, True)
-    n = hi - lo
-    q = np.repeat(starts, n)
-    p = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    doc = np.searchsorted(np.array(spans), p, "right") - 1
-    item = items.item_of[q]
-    p, q = p - np.array(spans)[doc], q - items.start[item]
-    # seeds that follow one another on one diagonal of one document and item are one longest match
+    known = np.unique(_grams(items.words, queries, seed))
+    live = np.flatnonzero(words)
+    grams = _grams(words, live, seed)
+    place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    live = live[known[place] == grams]
+    if not len(live):
+        return empty
+    order, lcp = suffix_array(words, live, int(items.length.max()))
+    # every suffix narrows its stretch word by word; first and last stretch that hold anything are kept
+    lo, hi = np.zeros(len(queries), "int64"), np.full(len(queries), len(order), "int64")
+    left, right, depth = lo.copy(), lo.copy(), np.zeros(len(queries), "int64")
+    end = items.start[items.item_of[queries] + 1]
+    alive, k = np.arange(len(queries)), 0
+    while len(alive):
+        want = items.words[queries[alive] + k]
+        column = lambda i, mid, k=k: words[order[mid] + k]
+        a = _narrow(column, lo[alive], hi[alive], want, False)
+        b = _narrow(column, a, hi[alive], want, True)
+        held = b > a
+        alive = alive[held]
+        lo[alive], hi[alive], depth[alive] = a[held], b[held], k + 1
+        k += 1
+        if k == seed:
+            left[alive], right[alive] = lo[alive], hi[alive]
+        alive = alive[queries[alive] + k < end[alive]]
+    found = np.flatnonzero(depth >= seed)
+    n = right[found] - left[found]
+    out = []
+    for part in np.split(found, np.searchsorted(np.cumsum(n), np.arange(SLICE, n.sum(), SLICE))):
+        for lo_, hi_ in _blocks(left[part], right[part]):
+            out.append(_located(items, words, order, lcp, queries[part], lo_, hi_, lo[part], hi[part], depth[part]))
+    p, q, length = (np.concatenate(x) for x in zip(*out)) if out else empty[:3]
+    doc, item = np.searchsorted(bounds, p, "right") - 1, items.item_of[q]
+    p, q = p - bounds[doc], q - items.start[item]
     o = np.lexsort((q, p - q, item, doc))
-    doc, item, p, q = doc[o], item[o], p[o], q[o]
-    first = np.ones(len(q), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (q[1:] != q[:-1] + 1)
-    head = np.flatnonzero(first)
-    length = np.diff(np.append(head, len(q))) + seed - 1
-    return doc[head], item[head], p[head], q[head], length
+    return doc[o], item[o], p[o], q[o], length[o]
+
+
+def _blocks(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The stretches as they are, or, if there are too many places in one, cut into blocks."""
+    if len(lo) and (hi - lo).sum() <= 2 * SLICE:
+        yield lo, hi
+        return
+    for cut in range(int(lo.min()) if len(lo) else 0, int(hi.max()) if len(hi) else 0, SLICE):
+        yield np.clip(cut, lo, hi), np.clip(cut + SLICE, lo, hi)
+
+
+def _located(items, words, order, lcp, q, lo, hi, best_lo, best_hi, depth):
+    """(place, item word, length) of the matches of item suffixes with the places [lo, hi) of the array that don't go on to
+    the left. Away from its longest match a suffix shares with a place the least that neighbours on the way share."""
+    n = hi - lo
+    k = np.repeat(np.arange(len(q)), n)
+    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[k]
+    p, at = order[i], q[k]
+    first = at == items.start[items.item_of[at]]
+    open_ = first | (p == 0) | (words[p - 1] != items.words[at - 1])
+    i, p, at, k = i[open_], p[open_], at[open_], k[open_]
+    length = depth[k].copy()
+    for side, step in ((i >= best_hi[k], 1), (i < best_lo[k], -1)):
+        part = np.flatnonzero(side)
+        if len(part):
+            length[part] = _least(lcp, *((best_hi[k[part]], i[part] + 1) if step > 0 else (i[part] + 1, best_lo[k[part]] + 1)))
+    return p, at, length
+
+
+def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Minimum of values[lo:hi] for many stretches, each not empty, by halving tables."""
+    size = hi - lo
+    out = np.empty(len(lo), "int64")
+    table, width = values, 1
+    while True:
+        here = np.flatnonzero((size >= width) & (size < 2 * width))
+        out[here] = np.minimum(table[lo[here]], table[hi[here] - width])
+        if not (size >= 2 * width).any():
+            return out
+        table = np.minimum(table[: len(table) - width], table[width:])
+        width *= 2
 
 
 def chain(p: list[int], q: list[int], n: list[int], bridge: int, piece: int) -> list[tuple[int, int, int, int, int]]:
@@ -187,11 +267,13 @@ def leaked_items(
     the pieces cover, the words of the longest verbatim match and the number of pieces.
 
     Null, empty and blank texts and items match nothing; items of equal words each give a row; a repeated doc_id gives
-    its rows once. Documents are searched whole, in shards of SHARD_DOCS texts; there is no shuffle.
+    its rows once. Documents are searched whole, in shards of SHARD_CHARS characters; there is no shuffle before the rows
+    found. Items of more than MAX_ITEM_CHARS characters in all are refused.
     """
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > MAX_ITEM_CHARS:
+        raise ValueError(f"{chars} characters of items; search them in blocks of at most {MAX_ITEM_CHARS}")
     held = Items([(r[0], r[1]) for r in items.select("item_id", "text").filter("item_id is not null").toLocalIterator()])
-    if held.size() > MAX_ITEM_WORDS:
-        raise ValueError(f"{held.size()} item words; search items in blocks of at most {MAX_ITEM_WORDS}")
     shared = spark.sparkContext.broadcast(held)
 
     def shard(pdf: pd.DataFrame) -> list[tuple]:
@@ -219,11 +301,19 @@ def leaked_items(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = ["doc_id", "item_id", "covered", "matched_words", "pieces"]
         held: list[pd.DataFrame] = []
+        size = 0
         for pdf in batches:
-            held.append(pdf)
-            if sum(map(len, held)) >= SHARD_DOCS:
-                yield pd.DataFrame(shard(pd.concat(held, ignore_index=True)), columns=cols)
-                held = []
+            ends = pdf["text"].str.len().cumsum().to_numpy()
+            at = 0
+            while at < len(pdf):
+                # as many documents as fill the shard, one at least
+                stop = max(at + 1, int(np.searchsorted(ends, SHARD_CHARS - size + (ends[at - 1] if at else 0), "right")))
+                held.append(pdf.iloc[at:stop])
+                size += int(ends[stop - 1] - (ends[at - 1] if at else 0))
+                at = stop
+                if at < len(pdf) or size >= SHARD_CHARS:
+                    yield pd.DataFrame(shard(pd.concat(held, ignore_index=True)), columns=cols)
+                    held, size = [], 0
         if held:
             yield pd.DataFrame(shard(pd.concat(held, ignore_index=True)), columns=cols)
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -190,7 +191,14 @@ def test_matches_are_the_longest(seed):
     vocab = [f"w{k}" for k in range(8)]
     items = leakage.Items([(k, " ".join(rng.choices(vocab, k=12))) for k in range(4)] + [(9, None), (10, " ")])
     docs = [rng.choices([*vocab, "zz"], k=60) for _ in range(5)]
-    got = set(zip(*[x.tolist() for x in leakage.matches(items, docs, 3)]))
+    many = leakage.SLICE
+    try:
+        leakage.SLICE = [many, 7][seed % 2]
+        rows = list(zip(*[x.tolist() for x in leakage.matches(items, docs, 3)]))
+    finally:
+        leakage.SLICE = many
+    got = set(rows)
+    assert len(rows) == len(got)
     want = set()
     for i, item in enumerate(items.texts):
         for d, doc in enumerate(docs):
@@ -204,6 +212,54 @@ def test_matches_are_the_longest(seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_array(seed):
+    rng = np.random.RandomState(seed)
+    words = np.append(rng.randint(0, 4, 300), [0]).astype("int32")
+    words[200:240] = words[100:140]
+    live = np.flatnonzero(words)
+    tail = lambda p: words[p : p + int(np.argmin(words[p:]))].tolist()[:25]
+    order, lcp = leakage.suffix_array(words, live, 25)
+    assert sorted(order.tolist()) == live.tolist() and [tail(p) for p in order] == sorted(tail(p) for p in live)
+    for i in range(1, len(order)):
+        a, b = tail(order[i - 1]), tail(order[i])
+        assert lcp[i] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_stock_phrase_in_all_items_and_documents():
+    """Places times suffixes are met in slices: memory stays linear, and nothing is lost."""
+    rng = random.Random(4)
+    stock = "all of the notes in this folder were read out before the hall closed".split()
+    own = [[f"i{k}w{j}" for j in range(30)] for k in range(300)]
+    items = leakage.Items([(k, " ".join(stock + w)) for k, w in enumerate(own)])
+    docs = [stock + [f"d{k}"] + stock + (own[k] if k < 300 else []) + [rng.choice(stock) for _ in range(5)] for k in range(1500)]
+    tracemalloc.start()
+    d, i, p, q, n = leakage.matches(items, docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(a, b) for a, b, c in zip(d.tolist(), i.tolist(), n.tolist()) if c > 20} == {(k, k) for k in range(300)}
+    assert len(d) == len({*zip(d.tolist(), i.tolist(), p.tolist(), q.tolist())}) >= 2 * 300 * 1500 and peak < 400_000_000
+
+
+def test_shards_by_characters(spark):
+    text = "the long evaluation passage about nine grey herons standing near the old mill was read aloud twice"
+    rows = [(k, ("filler " * (k % 7) + text + " end") if k % 3 == 0 else "nothing of that kind here at all, really not") for k in range(60)]
+    df, items = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame([(1, text)], "item_id long, text string")
+    old = leakage.SHARD_CHARS
+    try:
+        for size in (1, 300, 5_000, old):
+            leakage.SHARD_CHARS = size
+            assert {r["doc_id"] for r in leakage.leaked_items(spark, df, items).collect()} == set(range(0, 60, 3))
+    finally:
+        leakage.SHARD_CHARS = old
+    leakage.MAX_ITEM_CHARS, kept = 10, leakage.MAX_ITEM_CHARS
+    try:
+        with pytest.raises(ValueError):
+            leakage.leaked_items(spark, df, items)
+    finally:
+        leakage.MAX_ITEM_CHARS = kept
+
+
 def test_leaks(spark):
     item = "The ceiling sweep above the radiator produced 341 padded islands next to the rusty shower stall. Probe box 118 swallowed every echo behind the cushion, so the stewards restarted the tally from 7.50 today."
     zh = "工作室里编排好的倒地从第45秒开始，处于手推车最远的边缘，不过被子附近的格子仍然相连，尽管有462个倾斜的邻点。"
