@@ -1,10 +1,11 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary, in Spark's own expressions.
 
-A text falls into words by the vocabulary's pattern. The distinct words of the corpus are encoded once: a word is an
-array of byte pieces (hex), and a higher-order fold joins the neighbours of lowest rank until no pair has a rank. The rank
-map is a literal in the plan, cut into small maps by checksum so that a look-up compares a dozen keys. Words then meet
-their ids in a join, and each text's ids are put together in order. Decoding looks pieces up in a literal array and joins
-their bytes.
+A text falls into words by the vocabulary's pattern. A word is an array of byte pieces (hex), and a higher-order fold joins
+the neighbours of lowest rank until no pair has a rank. The rank map is a literal in the plan, cut into small maps by
+checksum so that a look-up compares a dozen keys. The distinct words that stand most often in the corpus are encoded once
+and put into the plan as a second such literal; the words of a text are looked up there, any other word is folded where it
+stands. So a text never leaves its row: nothing but distinct words is shuffled. Decoding looks pieces up in a literal array
+and joins their bytes.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 BUCKETS = 8192
-#: Words longer than this many bytes are merged by a heap in Python, since the fold takes the square of the length.
-FOLD_BYTES = 128
-#: Distinct words, and bytes of them, up to which the encoded words are sent to every task; beyond that both sides are
-#: shuffled by word, and adaptive execution splits the frequent ones.
-BROADCAST_WORDS, BROADCAST_BYTES = 1_000_000, 64_000_000
+#: Texts with a word longer than this many bytes are merged by a heap in Python, since the fold copies the word each step.
+FOLD_BYTES = 1024
+#: Encoded words in the plan, and bytes of them: the most frequent ones. The rest is folded in place, with the same result.
+CACHE_WORDS, CACHE_BYTES = 200_000, 8_000_000
+_NONE = 2**31 - 1
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -61,30 +62,42 @@ class RankMap:
     def rank(self, piece: Column) -> Column:
         return F.try_element_at(F.get(self.literal, (F.crc32(piece) % BUCKETS).cast("int")), piece)
 
-    def _merge_once(self, parts: Column, _: Column) -> Column:
-        n = F.size(parts)
-        ranks = F.zip_with(F.slice(parts, F.lit(1), n - 1), F.slice(parts, F.lit(2), n - 1), lambda x, y: self.rank(F.concat(x, y)))
+    def _pair(self, x: Column, y: Column) -> Column:
+        return F.coalesce(self.rank(F.concat(x, y)), F.lit(_NONE))
 
-        def join(r: Column) -> Column:
-            low = F.array_min(r)
-            at = F.array_position(r, low).cast("int")
-            merged = _bind(
-                at,
-                lambda p: F.concat(
-                    F.slice(parts, F.lit(1), p - 1), F.array(F.concat(F.get(parts, p - 1), F.get(parts, p))), F.slice(parts, p + 2, F.greatest(n - p - 1, F.lit(0)))
-                ),
-            )
-            return F.when(low.isNull(), parts).otherwise(merged)
+    def _merge_once(self, state: Column, _: Column) -> Column:
+        """Joins the first pair of lowest rank; only the ranks beside it are looked up anew. ranks[i] is that of the pieces
+        i and i + 1."""
 
-        return F.when(n < 2, parts).otherwise(_bind(ranks, join))
+        def join(low: Column, at: Column) -> Column:
+            parts, ranks = state["parts"], state["ranks"]
+            n, none = F.size(parts), F.array().cast("array<int>")
+
+            def with_piece(piece: Column) -> Column:
+                left = F.when(at > 1, F.array(self._pair(F.get(parts, at - 2), piece))).otherwise(none)
+                right = F.when(at + 1 < n, F.array(self._pair(piece, F.get(parts, at + 1)))).otherwise(none)
+                return F.struct(
+                    F.concat(F.slice(parts, F.lit(1), at - 1), F.array(piece), F.slice(parts, at + 2, F.greatest(n - at - 1, F.lit(0)))).alias("parts"),
+                    F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.greatest(n - at - 2, F.lit(0)))).alias("ranks"),
+                )
+
+            return F.when(low == _NONE, state).otherwise(_bind(F.concat(F.get(parts, at - 1), F.get(parts, at)), with_piece))
+
+        low = F.coalesce(F.array_min(state["ranks"]), F.lit(_NONE))
+        place = F.array_position(state["ranks"], low).cast("int")
+        return _bind(F.struct(low.alias("low"), place.alias("at")), lambda m: join(m["low"], m["at"]))
 
     def word_ids(self, word: Column) -> Column:
         """Ids of a word by folding ranked merges; a word that is a piece itself needs none."""
         h = F.hex(word)
-        bytes_ = F.regexp_extract_all(h, F.lit(".."), 0)
-        folded = F.aggregate(F.sequence(F.lit(1), F.size(bytes_)), bytes_, self._merge_once)
+
+        def fold(bytes_: Column) -> Column:
+            n = F.size(bytes_)
+            start = F.struct(bytes_.alias("parts"), F.zip_with(F.slice(bytes_, F.lit(1), n - 1), F.slice(bytes_, F.lit(2), n - 1), self._pair).alias("ranks"))
+            return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, self._merge_once, lambda s: F.transform(s["parts"], self.rank))
+
         whole = self.rank(h)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, self.rank))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(_bind(F.regexp_extract_all(h, F.lit(".."), 0), fold))
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -118,41 +131,69 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), 0)
 
 
-def encode_words(spark: SparkSession, words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(word, ids) of a table of distinct words (column word)."""
-    short = words.filter(F.octet_length("word") <= FOLD_BYTES).select("word", RankMap(ranks).word_ids(F.col("word")).alias("ids"))
-    shared = spark.sparkContext.broadcast(ranks)
+def _frequent(counts: DataFrame, words: int, size: int) -> Column:
+    """Which words of (word, n) to keep: those above the lowest count at which no more than ``words`` words of ``size`` bytes
+    in all are left. Counts are taken in steps of an eighth of a power of two, so few numbers come to the driver."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes")).collect()
+    least, held, weight = 1 << 30, 0, 0
+    for r in sorted(steps, key=lambda r: -r["level"]):
+        held, weight = held + r["words"], weight + r["bytes"]
+        if held > words or weight > size:
+            break
+        least = r["level"]
+    return level >= least
 
-    def long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"word": pdf["word"], "ids": [merge_word(w.encode(), shared.value) for w in pdf["word"]]})
 
-    return short.unionByName(words.filter(F.octet_length("word") > FOLD_BYTES).mapInPandas(long, "word string, ids array<int>"))
+class WordCache:
+    """Encoded words as a literal of small maps by checksum."""
 
+    def __init__(self, coded: DataFrame, n: int):
+        self.buckets = max(1, n // 4)
+        bucket = F.pmod(F.crc32("word"), F.lit(self.buckets)).cast("int")
+        maps = coded.groupBy(bucket.alias("b")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "ids")))).alias("m")).collect()
+        told = {r["b"]: r["m"] for r in maps}
+        self.literal = F.from_json(F.lit("[" + ",".join(told.get(k, "{}") for k in range(self.buckets)) + "]"), "array<map<string,array<int>>>")
 
-def encode_texts(spark: SparkSession, texts: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    def ids(self, word: Column) -> Column:
+        return F.try_element_at(F.get(self.literal, F.pmod(F.crc32(word), F.lit(self.buckets)).cast("int")), word)
+
+
+def encode_texts(
+    spark: SparkSession, texts: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, cache_words: int = CACHE_WORDS, fold_bytes: int = FOLD_BYTES
+) -> DataFrame:
     """(key, ids): the ids of every row's text, without special tokens.
 
     Null and empty texts have the empty list; blank texts the ids of their blanks. Strings that look like special tokens
-    are ordinary text. A repeated row is encoded as often as it stands there. Distinct words are encoded once and kept
-    in the checkpoint folder.
+    are ordinary text. A repeated row is encoded as often as it stands there. The distinct words of all texts are counted
+    once and kept in the checkpoint folder.
     """
     from ..core import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
     ranks = load_ranks(path)
-    rows = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    full = rows.filter("__text <> ''")
-    words = full.select(F.explode(split_words(F.col("__text"))).alias("word")).distinct()
-    coded = encode_words(spark, words, ranks).checkpoint()
-    n, size = coded.agg(F.count("*"), F.sum(F.octet_length("word") + 4 * F.size("ids"))).first()
-    told = F.broadcast(coded) if n <= BROADCAST_WORDS and (size or 0) <= BROADCAST_BYTES else coded
-    numbered = full.select(F.monotonically_increasing_id().alias("__row"), "__key", "__text")
-    parts = numbered.select("__row", "__key", F.posexplode(split_words(F.col("__text"))).alias("__at", "word"))
-    joined = parts.join(told, "word").groupBy("__row", "__key").agg(F.collect_list(F.struct("__at", "ids")).alias("x"))
-    done = joined.select(F.col("__key").alias(key), F.flatten(F.transform(F.array_sort("x"), lambda s: s["ids"])).alias("ids"))
-    none = rows.filter("__text is null or __text = ''").select(F.col("__key").alias(key), F.array().cast("array<int>").alias("ids"))
-    return done.unionByName(none)
+    known = RankMap(ranks)
+    rows = texts.select(F.col(key).alias(key), F.col(text).alias("__text"))
+    words = split_words(F.col("__text"))
+    counts = rows.filter("__text <> ''").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).checkpoint()
+    longest = counts.agg(F.max(F.octet_length("word"))).first()[0] or 0
+    often = counts.filter(_frequent(counts, cache_words, CACHE_BYTES) & (F.octet_length("word") <= fold_bytes))
+    cache = WordCache(often.select("word", known.word_ids(F.col("word")).alias("ids")), often.count())
+    none = F.array().cast("array<int>")
+    ids = F.flatten(F.transform(words, lambda w: F.coalesce(cache.ids(w), known.word_ids(w))))
+    empty = F.col("__text").isNull() | (F.col("__text") == "")
+    if longest <= fold_bytes:
+        return rows.select(key, F.when(empty, none).otherwise(ids).alias("ids"))
+    shared = spark.sparkContext.broadcast(ranks)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "ids": [[i for w in ws for i in merge_word(w.encode(), shared.value)] for ws in pdf["words"]]})
+
+    has_long = ~empty & F.exists(words, lambda w: F.octet_length(w) > fold_bytes)
+    long = rows.filter(has_long).select(key, words.alias("words"))
+    done = long.mapInPandas(merge, f"`{key}` {dict(rows.dtypes)[key]}, ids array<int>")
+    return rows.filter(~F.coalesce(has_long, F.lit(False))).select(key, F.when(empty, none).otherwise(ids).alias("ids")).unionByName(done)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:

@@ -175,11 +175,18 @@ def test_heap_merge(word):
     assert tokens.merge_word(word.encode(), ranks) == (enc._core_bpe.encode_single_piece(word.encode()) if word else [])
 
 
-def test_shuffled_words_give_the_same(spark, monkeypatch):
+def test_cached_folded_and_long_words_give_the_same(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    one = {r["doc_id"]: list(r["ids"]) for r in tokens.encode_texts(spark, df).collect()}
-    monkeypatch.setattr(tokens, "BROADCAST_WORDS", 0)
-    assert {r["doc_id"]: list(r["ids"]) for r in tokens.encode_texts(spark, df).collect()} == one
+    of = lambda **k: {r["doc_id"]: list(r["ids"]) for r in tokens.encode_texts(spark, df, **k).collect()}
+    one, enc = of(), library()
+    assert all(one[r["doc_id"]] == enc.encode_ordinary(r["text"] or "") for r in df.select("doc_id", "text").collect())
+    assert of(cache_words=0) == one and of(cache_words=300) == one and of(fold_bytes=12) == one
+
+
+def test_ids_need_no_shuffle_of_texts(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = tokens.encode_texts(spark, df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
 
 
 # ---- leakage ------------------------------------------------------------------------------------------------------
