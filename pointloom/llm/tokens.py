@@ -11,6 +11,7 @@ and joins their bytes.
 from __future__ import annotations
 
 import base64
+import copy
 import heapq
 import json
 import zlib
@@ -26,8 +27,9 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{
 BUCKETS = 8192
 #: Texts with a word longer than this many bytes are merged by a heap in Python, since the fold copies the word each step.
 FOLD_BYTES = 1024
-#: Encoded words in the plan, and bytes of them: the most frequent ones. The rest is folded in place, with the same result.
-CACHE_WORDS, CACHE_BYTES = 200_000, 8_000_000
+#: Encoded words in the plan, bytes of them, and how often a word must stand: the most frequent ones. The rest is folded in
+#: place, with the same result.
+CACHE_WORDS, CACHE_BYTES, OFTEN = 50_000, 2_000_000, 3
 _NONE = 2**31 - 1
 
 
@@ -57,10 +59,20 @@ class RankMap:
             cut[zlib.crc32(h.encode()) % BUCKETS][h] = rank
             self.pieces[rank] = h
         # a constant expression: the optimizer turns it into a literal once
-        self.literal = F.from_json(F.lit(json.dumps(cut)), "array<map<string,int>>")
+        self.table = F.from_json(F.lit(json.dumps(cut)), "array<map<string,int>>")
+
+    def within(self, use) -> Column:
+        """use(ranks) with the literal named once for all its look-ups, so that the plan holds it once."""
+
+        def bound(table: Column) -> Column:
+            named = copy.copy(self)
+            named.table = table
+            return use(named)
+
+        return _bind(self.table, bound)
 
     def rank(self, piece: Column) -> Column:
-        return F.try_element_at(F.get(self.literal, (F.crc32(piece) % BUCKETS).cast("int")), piece)
+        return F.try_element_at(F.get(self.table, (F.crc32(piece) % BUCKETS).cast("int")), piece)
 
     def _pair(self, x: Column, y: Column) -> Column:
         return F.coalesce(self.rank(F.concat(x, y)), F.lit(_NONE))
@@ -142,7 +154,7 @@ def _frequent(counts: DataFrame, words: int, size: int) -> Column:
         if held > words or weight > size:
             break
         least = r["level"]
-    return level >= least
+    return (level >= least) & (F.col("n") >= OFTEN)
 
 
 class WordCache:
@@ -178,9 +190,9 @@ def encode_texts(
     counts = rows.filter("__text <> ''").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).checkpoint()
     longest = counts.agg(F.max(F.octet_length("word"))).first()[0] or 0
     often = counts.filter(_frequent(counts, cache_words, CACHE_BYTES) & (F.octet_length("word") <= fold_bytes))
-    cache = WordCache(often.select("word", known.word_ids(F.col("word")).alias("ids")), often.count())
+    cache = WordCache(often.select("word", known.within(lambda r: r.word_ids(F.col("word"))).alias("ids")), often.count())
     none = F.array().cast("array<int>")
-    ids = F.flatten(F.transform(words, lambda w: F.coalesce(cache.ids(w), known.word_ids(w))))
+    ids = known.within(lambda r: F.flatten(F.transform(words, lambda w: F.coalesce(cache.ids(w), r.word_ids(w)))))
     empty = F.col("__text").isNull() | (F.col("__text") == "")
     if longest <= fold_bytes:
         return rows.select(key, F.when(empty, none).otherwise(ids).alias("ids"))
