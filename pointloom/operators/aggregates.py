@@ -74,14 +74,16 @@ def height_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def covariance(df: DataFrame, keys: Sequence[str], weight: Column | None = None) -> DataFrame:
-    """n, centre and the six population covariances, weighted if asked."""
-    w = weight if weight is not None else F.lit(1.0)
-    b = df.withColumn("__w", w)
-    m = b.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("__w").alias("w"), *[(F.sum(F.col("__w") * F.col(c)) / F.sum("__w")).alias(f"m{c}") for c in "xyz"])
-    j = b.join(m, list(keys)) if keys else b.crossJoin(F.broadcast(m))
-    dev = {c: F.col(c) - F.col(f"m{c}") for c in "xyz"}
+    """n, centre and the six population covariances, weighted if asked, in one pass of mergeable sums."""
     pairs = ("xx", "xy", "xz", "yy", "yz", "zz")
-    return j.groupBy(*keys).agg(F.first("n").alias("n"), *[F.first(f"m{c}").alias(f"m{c}") for c in "xyz"], *[(F.sum(F.col("__w") * dev[p[0]] * dev[p[1]]) / F.first("w")).alias(p) for p in pairs])
+    if weight is None:
+        second = [(F.var_pop(p[0]) if p[0] == p[1] else F.covar_pop(p[0], p[1])).alias(p) for p in pairs]
+        return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], *second)
+    # sensor coordinates lie within some hundred metres of the origin, so plain sums keep ten digits
+    b = df.withColumn("__w", weight)
+    w, total = F.col("__w"), F.sum("__w")
+    m = b.groupBy(*keys).agg(F.count("*").alias("n"), *[(F.sum(w * F.col(c)) / total).alias(f"m{c}") for c in "xyz"], *[(F.sum(w * F.col(p[0]) * F.col(p[1])) / total).alias(p) for p in pairs])
+    return m.withColumns({p: F.col(p) - F.col(f"m{p[0]}") * F.col(f"m{p[1]}") for p in pairs})
 
 
 def eigenvalues(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> list[Column]:
@@ -146,20 +148,42 @@ def confusion(truth: Column, said: Column) -> dict[str, Column]:
     return {"tp": tp, "fp": fp, "fn": fn, "tn": tn, "precision": p, "recall": r, "f1": 2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0))}
 
 
+def _running(g: DataFrame, score: str, cols: Sequence[str], parts: int = 256) -> DataFrame:
+    """Adds run_<c>: the sum of each column from the greatest score down to the row's, and the row before's as prev_<c>.
+
+    Scores are cut at ``parts`` quantiles; a stretch is summed in its own task, and what the stretches above it hold, one
+    row each, is added. So no task holds all scores."""
+    cuts = g.agg(F.percentile_approx(score, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    at = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]).cast("array<double>"), lambda x: x <= F.col(score)))
+    h = g.withColumn("__part", at)
+    totals = h.groupBy("__part").agg(*[F.sum(c).alias(f"__{c}") for c in cols])
+    above = W.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select("__part", *[F.coalesce(F.sum(f"__{c}").over(above), F.lit(0)).alias(f"__{c}") for c in cols])
+    own = W.partitionBy("__part").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
+    j = h.join(F.broadcast(before), "__part")
+    j = j.withColumns({f"run_{c}": F.sum(c).over(own) + F.col(f"__{c}") for c in cols})
+    return j.withColumns({f"prev_{c}": F.col(f"run_{c}") - F.col(c) for c in cols}).drop("__part", *[f"__{c}" for c in cols])
+
+
 def threshold_sweep(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """(score, tp, fp, precision, recall) at every distinct score, greatest first. Scores are counted before they are
-    ordered, so the running sums see distinct scores, not rows."""
+    """(score, tp, fp, precision, recall, step) at every distinct score, greatest first; step is the recall gained there.
+    Scores are counted before they are ordered, so the running sums see distinct scores, not rows."""
     g = df.filter(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(score).agg(F.count_if(truth).alias("pos"), F.count("*").alias("n"))
-    w = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    s = g.withColumns({"tp": F.sum("pos").over(w), "all": F.sum("n").over(w), "positives": F.sum("pos").over(every)})
-    return s.select(score, "tp", (F.col("all") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("all")).alias("precision"), (F.col("tp") / F.nullif("positives", F.lit(0))).alias("recall"))
+    s = _running(g, score, ["pos", "n"]).crossJoin(F.broadcast(g.agg(F.nullif(F.sum("pos"), F.lit(0)).alias("positives"))))
+    return s.select(
+        score, F.col("run_pos").alias("tp"), (F.col("run_n") - F.col("run_pos")).alias("fp"), (F.col("run_pos") / F.col("run_n")).alias("precision"),
+        (F.col("run_pos") / F.col("positives")).alias("recall"), (F.col("pos") / F.col("positives")).alias("step"),
+    )
 
 
 def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
-    s = threshold_sweep(df, truth, score)
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(W.orderBy(F.desc(score))), F.lit(0.0))
-    return s.withColumn("step", step).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
+    return threshold_sweep(df, truth, score).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
+
+
+def best_f1(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """(score, f1) of the threshold with the greatest F1 (ties: the greater score)."""
+    s = threshold_sweep(df, truth, score).withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)))
+    return s.agg(F.max(F.struct("f1", score)).alias("b")).select(f"b.{score}", "b.f1")
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

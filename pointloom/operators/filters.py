@@ -59,12 +59,11 @@ def cylinder(cx: float, cy: float, radius: float, low: float, high: float) -> Co
 
 
 def region_code(df: DataFrame, regions: DataFrame) -> DataFrame:
-    """Adds region: the largest zone_id of the row's sensor whose half-open box holds it, else null. The regions of a
-    sensor are few, so the equality on sensor_id does the work; left rows without one stay."""
-    inside = F.lit(True)
-    for c in "xyz":
-        inside = inside & (F.col(c) >= F.col(f"{c}_min")) & (F.col(c) < F.col(f"{c}_max"))
-    hit = df.join(regions, "sensor_id").filter(inside).groupBy("point_id").agg(F.max("zone_id").alias("region"))
+    """Adds region: the largest zone_id of the row's sensor whose half-open box holds it, else null. Points are located in
+    the regions' slabs, so no point meets all regions of its sensor."""
+    from .spatial import zone_of_points
+
+    hit = zone_of_points(df.sparkSession, df, regions).select(F.col("key_a").alias("point_id"), F.col("key_b").alias("region"))
     return df.join(hit, "point_id", "left")
 
 
@@ -112,27 +111,39 @@ def _voxels(df: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
     return df.withColumns({f"c{c}": F.floor(F.col(c) / size).cast("bigint") for c in "xyz"})
 
 
+def voxel_counts(df: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
+    """(keys, cx, cy, cz, n, support): points of each voxel, and of it and its 26 neighbours together. The sum over the
+    neighbourhood is taken axis by axis, three copies of a voxel each, instead of 27 at once."""
+    keys, cells = list(keys), ["cx", "cy", "cz"]
+    n = _voxels(df, keys, size).groupBy(*keys, *cells).agg(F.count("*").alias("n"))
+    total = n.withColumn("support", F.col("n"))
+    for c in cells:
+        # n stays with the voxel itself, support goes to both sides too
+        here = F.explode(F.array(*[F.struct((F.col(c) + k).alias("at"), (F.col("n") if k == 0 else F.lit(None).cast("bigint")).alias("n")) for k in (-1, 0, 1)]))
+        around = total.withColumn("o", here).select(*keys, *[F.col("o.at").alias(c) if x == c else x for x in cells], "support", F.col("o.n").alias("n"))
+        total = around.groupBy(*keys, *cells).agg(F.sum("support").alias("support"), F.max("n").alias("n"))
+    return total.filter("n is not null")
+
+
 def voxel_support(df: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
-    """Adds support: the points in a row's voxel and its 26 neighbours, itself included. Counts are taken per voxel
-    before anything is joined, so the join carries voxels, not points."""
+    """Adds support: the points in a row's voxel and its 26 neighbours, itself included. The join carries voxels, not
+    points."""
     keys, cells = list(keys), ["cx", "cy", "cz"]
-    p = _voxels(df, keys, size)
-    n = p.groupBy(*keys, *cells).agg(F.count("*").alias("n"))
-    offsets = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for c, v in zip("xyz", o)]) for o in NEAR_3D]))
-    around = n.withColumn("o", offsets).select(*keys, *[(F.col(f"c{c}") + F.col(f"o.d{c}")).alias(f"c{c}") for c in "xyz"], "n")
-    total = around.groupBy(*keys, *cells).agg(F.sum("n").alias("support"))
-    return p.join(total, [*keys, *cells], "left").drop(*cells)
+    return _voxels(df, keys, size).join(voxel_counts(df, keys, size).drop("n"), [*keys, *cells], "left").drop(*cells)
 
 
 def grid_support(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds supported: how many of a cell's 8 neighbours (ring, col) are at a like range: |a - b| <= max(0.05, 0.012
-    min(a, b)); edge: some neighbour jumps by over 0.2."""
+    min(a, b)); edge: some neighbour jumps by over 0.2. Each pair of neighbours is formed once and told to both."""
+    from .joins import grid_neighbours
+
     keys = list(keys)
-    offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in NEAR_2D if (a, b) != (0, 0)]))
-    other = cells.withColumn("o", offsets).select(*keys, (F.col("ring") + F.col("o.a")).alias("ring"), (F.col("col") + F.col("o.b")).alias("col"), F.col("range_m").alias("other_m"))
-    gap = F.abs(F.col("range_m") - F.col("other_m"))
-    like = gap <= F.greatest(F.lit(0.05), 0.012 * F.least("range_m", "other_m"))
-    hit = cells.join(other, [*keys, "ring", "col"]).groupBy(*keys, "ring", "col").agg(F.count_if(like).alias("supported"), F.max(gap > 0.2).alias("edge"))
+    pairs = grid_neighbours(cells.select(*keys, "ring", "col", "range_m"), keys)
+    gap = F.abs(F.col("range_m") - F.col("range_m_r"))
+    like = gap <= F.greatest(F.lit(0.05), 0.012 * F.least("range_m", "range_m_r"))
+    both = F.explode(F.array(F.struct("ring", "col"), F.struct(F.col("ring_r").alias("ring"), F.col("col_r").alias("col"))))
+    told = pairs.select(*keys, both.alias("c"), like.alias("like"), (gap > 0.2).alias("jump")).select(*keys, "c.*", "like", "jump")
+    hit = told.groupBy(*keys, "ring", "col").agg(F.count_if("like").alias("supported"), F.max("jump").alias("edge"))
     return cells.join(hit, [*keys, "ring", "col"], "left").fillna({"supported": 0, "edge": False})
 
 

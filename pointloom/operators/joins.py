@@ -31,6 +31,26 @@ def radius_join(left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Se
     return j.withColumn("dist", F.sqrt(d2)).filter(F.col("dist") <= radius)
 
 
+def radius_self_join(df: DataFrame, keys: Sequence[str], row_id: str, cols: Sequence[str], radius: float, suffix: str = "_r") -> DataFrame:
+    """Pairs of different rows of one key at most ``radius`` apart, each once, with row_id < row_id_r; dist is the distance.
+    A row meets its own cell and half of the cells around, so half the copies of ``radius_join``."""
+    import itertools
+
+    keys, n = list(keys), len(cols)
+    cells = [f"__c{i}" for i in range(n)]
+    half = [o for o in itertools.product((-1, 0, 1), repeat=n) if o >= (0,) * n]
+    offsets = F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in half]))
+    own = with_cells(df, cols, radius)
+    r = own.withColumn("__o", offsets).select(*keys, *[(F.col(c) + F.get("__o", i)).alias(c) for i, c in enumerate(cells)], (F.aggregate("__o", F.lit(0), lambda a, x: a + F.abs(x)) == 0).alias("__same"), *[F.col(c).alias(c + suffix) for c in df.columns if c not in keys])
+    a, b = F.col(row_id), F.col(row_id + suffix)
+    j = own.join(r, [*keys, *cells]).filter(~F.col("__same") | (a < b)).drop(*cells, "__same")
+    d2 = sum(((F.col(c) - F.col(c + suffix)) ** 2 for c in cols[1:]), (F.col(cols[0]) - F.col(cols[0] + suffix)) ** 2)
+    j = j.withColumn("dist", F.sqrt(d2)).filter((F.col("dist") <= radius) & (a != b))
+    pairs = [(c, c + suffix) for c in df.columns if c not in keys]
+    ordered = [F.when(a < b, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in pairs] + [F.when(a < b, F.col(y)).otherwise(F.col(x)).alias(y) for x, y in pairs]
+    return j.select(*keys, *ordered, "dist")
+
+
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str], radius: float, left_id: str, right_id: str) -> DataFrame:
     """left_id, nearest right_id within the radius (ties: the smaller id) and its distance; left rows without one keep
     null."""
@@ -85,12 +105,19 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
 
 
 def interval_join(rows: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str, width: int) -> DataFrame:
-    """Rows with each interval of their key that holds them (both ends in). Intervals are laid into bins of ``width``, so
-    the join is an equality; a row meets only the intervals of its own bin."""
+    """Rows with each interval of their key that holds them (both ends in). An interval lies in bins of ``width`` times the
+    power of two that spans it, two at most however long it is; a row meets the bins of the powers that occur (at most
+    some forty), so the join is an equality on bins of the right size."""
     keys = list(keys)
-    i = intervals.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    j = rows.withColumn("__b", F.floor(F.col(at) / width)).join(i, [*keys, "__b"])
-    return j.filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("__b")
+    span = F.col(end) - F.col(start) + 1
+    power = F.when(span > width, F.ceil(F.log2(span / width))).otherwise(0).cast("int")
+    size = lambda p: F.lit(width) * F.pow(F.lit(2.0), p)
+    good = intervals.filter(F.col(start) <= F.col(end)).withColumn("__p", power)
+    powers = sorted(r[0] for r in good.select("__p").distinct().collect())
+    i = good.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / size("__p")), F.floor(F.col(end) / size("__p")))))
+    r = rows.withColumn("__p", F.explode(F.array(*[F.lit(p) for p in powers]) if powers else F.array().cast("array<int>")))
+    j = r.withColumn("__b", F.floor(F.col(at) / size("__p"))).join(i, [*keys, "__p", "__b"])
+    return j.filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("__b", "__p")
 
 
 def csr_membership(rows: DataFrame, offsets: DataFrame, keys: Sequence[str], row: str, offset: str, count: str, frame: str) -> DataFrame:

@@ -8,16 +8,33 @@ from pyspark.sql import functions as F
 from ..core import latest_per_key, table
 
 
-def points(spark: SparkSession, d: str) -> DataFrame:
-    """Point rows in double precision, exact repeats once."""
-    p = table(spark, d, "cloud_points").distinct()
+_NUMBERS = ["frame_index", "source_row", "x", "y", "z", "intensity", "ts", "ring"]
+
+
+def point_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Point rows as delivered, in double precision: for what a repeat doesn't change, a projection or a least value."""
+    p = table(spark, d, "cloud_points")
     return p.select("point_id", "session_id", "sensor_id", "frame_index", "source_row", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "intensity", "ts")], "ring")
 
 
-def valid_points(spark: SparkSession, d: str) -> DataFrame:
+def valid_rows(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.filters import valid_row
 
-    return points(spark, d).filter(valid_row(100.0))
+    return point_rows(spark, d).filter(valid_row(100.0))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Repeats of a point_id once. Its numbers are aggregates, so the scan reads only the columns that a query uses."""
+    return rows.groupBy("point_id", "session_id", "sensor_id").agg(*[F.first(c).alias(c) for c in _NUMBERS])
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    """Point rows in double precision, repeats once."""
+    return _once(point_rows(spark, d))
+
+
+def valid_points(spark: SparkSession, d: str) -> DataFrame:
+    return _once(valid_rows(spark, d))
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +50,11 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "meta_frames").drop("recv_ts").distinct()
 
 
+def frame_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Frame index rows as delivered."""
+    return table(spark, d, "meta_frames").drop("recv_ts")
+
+
 def planes(spark: SparkSession, d: str) -> DataFrame:
     """A declared ground plane per sensor: pitch and roll in degrees, height above ground."""
     from ..operators.geometry import declared_plane
@@ -50,6 +72,8 @@ def seconds(c: str) -> Column:
 PTS = """pts as (select distinct point_id, session_id, sensor_id, frame_index, source_row, x::double as x, y::double as y, z::double as z,
   intensity::double as intensity, ts::double as ts, ring from cloud_points)"""
 OKP = PTS + """, ok as (select * from pts where isfinite(x) and isfinite(y) and isfinite(z) and not (x = 0 and y = 0 and z = 0) and x*x + y*y + z*z <= 10000)"""
+ROW = PTS.replace("select distinct point_id", "select point_id")
+OKR = OKP.replace("select distinct point_id", "select point_id")
 REC = """rec as (select session_id, track_id, frame_index, record_id, generation, stamp_sec, state, measured, height_median_m from (
   select * replace (case when not isnan(height_median_m) then height_median_m end as height_median_m),
     row_number() over (partition by session_id, track_id, frame_index order by recv_ts desc nulls last, record_id desc) as rn

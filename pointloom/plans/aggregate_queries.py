@@ -151,7 +151,7 @@ def confusion_scores(spark, d):
 @query(f"with {_SCORED}, g as (select score, count_if(truth) as pos, count(*) as n from sc group by 1), s as (select score, sum(pos) over (order by score desc) as tp, sum(n) over (order by score desc) as a, sum(pos) over () as p from g) select score, tp::bigint as tp, (a - tp)::bigint as fp, round(tp / a, 6) as precision, round(tp / nullif(p, 0), 6) as recall from s")
 def threshold_sweep(spark, d):
     s = agg.threshold_sweep(scored(spark, d), "truth", "score")
-    return s.withColumns({"precision": rnd("precision"), "recall": rnd("recall")})
+    return s.select("score", "tp", "fp", rnd("precision").alias("precision"), rnd("recall").alias("recall"))
 
 
 @query(f"with {_SCORED}, g as (select score, count_if(truth) as pos, count(*) as n from sc group by 1), s as (select score, sum(pos) over (order by score desc) as tp, sum(n) over (order by score desc) as a, sum(pos) over () as p from g), r as (select score, tp / a as pr, tp / nullif(p, 0) as rc from s) select round(sum((rc - lg) * pr), 6) as average_precision from (select *, coalesce(lag(rc) over (order by score desc), 0) as lg from r)")
@@ -159,6 +159,12 @@ def average_precision(spark, d):
     return agg.average_precision(scored(spark, d), "truth", "score").select(rnd("average_precision").alias("average_precision"))
 
 
+@query(f"with {_SCORED}, g as (select score, count_if(truth) as pos, count(*) as n from sc group by 1), s as (select score, sum(pos) over (order by score desc) as tp, sum(n) over (order by score desc) as a, sum(pos) over () as p from g), f as (select score, round(2 * tp / (a + p), 9) as f1 from s) select score, f1 from f order by f1 desc, score desc limit 1")
+def best_threshold(spark, d):
+    """The threshold with the greatest F1."""
+    return agg.best_f1(scored(spark, d), "truth", "score").select("score", rnd("f1", 9).alias("f1"))
+
+
 @query(f"""with {_SCORED}, a as (select session_id, count_if(truth) as k, count(*) as n from sc group by 1) select session_id, k, n,
  round((k/n::double + 3.841458820694124/(2*n)) / (1 + 3.841458820694124/n) - 1.959963984540054 * sqrt((k/n::double)*(1-k/n::double)/n + 3.841458820694124/(4*n*n)) / (1 + 3.841458820694124/n), 6) as low,
  round((k/n::double + 3.841458820694124/(2*n)) / (1 + 3.841458820694124/n) + 1.959963984540054 * sqrt((k/n::double)*(1-k/n::double)/n + 3.841458820694124/(4*n*n)) / (1 + 3.841458820694124/n), 6) as high from a""")

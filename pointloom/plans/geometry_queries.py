@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..core import table
 from ..operators import filters as flt
 from ..operators import geometry as geo
-from .adapters import FRM, OKP, PLN, PTS, REC, frames, planes, points, records, valid_points
+from .adapters import FRM, OKP, OKR, PLN, PTS, REC, ROW, frame_rows, frames, planes, point_rows, points, records, valid_points, valid_rows
 from .registry import query
 
 
@@ -15,31 +15,31 @@ def rnd(c, n=6):
     return F.round(c, n)
 
 
-@query(f"with {OKP} select point_id, round(sqrt(x*x+y*y+z*z), 6) as range_m, round(degrees(atan2(y, x)), 6) as azimuth_deg, round(degrees(atan2(z, sqrt(x*x+y*y))), 6) as elevation_deg from ok")
+@query(f"with {OKR} select point_id, round(sqrt(x*x+y*y+z*z), 6) as range_m, round(degrees(atan2(y, x)), 6) as azimuth_deg, round(degrees(atan2(z, sqrt(x*x+y*y))), 6) as elevation_deg from ok")
 def polar_coordinates(spark, d):
-    return geo.with_polar(valid_points(spark, d)).select("point_id", *[rnd(c).alias(c) for c in ("range_m", "azimuth_deg", "elevation_deg")])
+    return geo.with_polar(valid_rows(spark, d)).select("point_id", *[rnd(c).alias(c) for c in ("range_m", "azimuth_deg", "elevation_deg")])
 
 
-@query(f"with {OKP}, {PLN} select point_id, round(nx*x + ny*y + nz*z + d, 6) as height_m from ok join pln using (sensor_id)")
+@query(f"with {OKR}, {PLN} select point_id, round(nx*x + ny*y + nz*z + d, 6) as height_m from ok join pln using (sensor_id)")
 def height_above_plane(spark, d):
-    return valid_points(spark, d).join(planes(spark, d), "sensor_id").select("point_id", rnd(geo.plane_height()).alias("height_m"))
+    return valid_rows(spark, d).join(planes(spark, d), "sensor_id").select("point_id", rnd(geo.plane_height()).alias("height_m"))
 
 
-@query(f"""with {PTS}, k as (select *, coalesce(isfinite(x) and isfinite(y) and isfinite(z) and not (x = 0 and y = 0 and z = 0), false) as mapped, radians(3.0) as p, radians(-2.0) as r from pts)
+@query(f"""with {ROW}, k as (select *, coalesce(isfinite(x) and isfinite(y) and isfinite(z) and not (x = 0 and y = 0 and z = 0), false) as mapped, radians(3.0) as p, radians(-2.0) as r from pts)
 select point_id, mapped, case when isnan(case when mapped then cos(p)*x + sin(p)*z + 0.1 else x end) then null else round(case when mapped then cos(p)*x + sin(p)*z + 0.1 else x end, 6) end as x,
  case when mapped then round(sin(r)*sin(p)*x + cos(r)*y - sin(r)*cos(p)*z - 0.2, 6) end as y, case when mapped then round(-cos(r)*sin(p)*x + sin(r)*y + cos(r)*cos(p)*z + 2.4, 6) end as z from k""")
-def rigid_transform_points(spark, d):
+def rigid_transform_point_rows(spark, d):
     m = geo.rotation(F.radians(F.lit(3.0)), F.radians(F.lit(-2.0)))
-    p = geo.rigid_transform(points(spark, d), m, (0.1, -0.2, 2.4))
+    p = geo.rigid_transform(point_rows(spark, d), m, (0.1, -0.2, 2.4))
     return p.select("point_id", "mapped", F.when(~F.isnan("x"), rnd("x")).alias("x"), F.when(F.col("mapped"), rnd("y")).alias("y"), F.when(F.col("mapped"), rnd("z")).alias("z"))
 
 
-@query(f"with {PTS}, k as (select isfinite(x) and isfinite(y) and isfinite(z) and not (x = 0 and y = 0 and z = 0) as ok from pts) select count(*) as rows, count_if(coalesce(ok, false)) as mapped, count_if(not coalesce(ok, false)) as passed_unchanged, 0::double as worst_error from k")
+@query(f"with {ROW}, k as (select isfinite(x) and isfinite(y) and isfinite(z) and not (x = 0 and y = 0 and z = 0) as ok from pts) select count(*) as rows, count_if(coalesce(ok, false)) as mapped, count_if(not coalesce(ok, false)) as passed_unchanged, 0::double as worst_error from k")
 def transform_round_trip(spark, d):
     """Inverse after forward gives the points back to a nanometre."""
     m = geo.rotation(F.radians(F.lit(3.0)), F.radians(F.lit(-2.0)))
     t = (0.1, -0.2, 2.4)
-    p = points(spark, d).withColumns({f"{c}0": F.col(c) for c in "xyz"})
+    p = point_rows(spark, d).withColumns({f"{c}0": F.col(c) for c in "xyz"})
     back = geo.rigid_transform(geo.rigid_transform(p, m, t), m, t, inverse=True)
     err = F.when(F.col("mapped"), F.greatest(*[F.abs(F.col(c) - F.col(f"{c}0")) for c in "xyz"]))
     return back.agg(F.count("*").alias("rows"), F.count_if("mapped").alias("mapped"), F.count_if(~F.col("mapped")).alias("passed_unchanged"), (F.round(F.max(err), 9) + 0.0).alias("worst_error"))
@@ -123,10 +123,10 @@ def device_stamps(spark, d):
     return frames(spark, d).select("session_id", "frame_index", "seq", geo.stamp_ok().alias("usable"), rnd(geo.stamp_seconds()).alias("stamp_s"))
 
 
-@query(f"with {OKP} select point_id, case when z > 0 then round(420.0*x/z + 320, 6) end as u, case when z > 0 then round(420.0*y/z + 240, 6) end as v from ok")
+@query(f"with {OKR} select point_id, case when z > 0 then round(420.0*x/z + 320, 6) end as u, case when z > 0 then round(420.0*y/z + 240, 6) end as v from ok")
 def camera_pixels(spark, d):
     u, v = geo.pinhole(420.0, 420.0, 320.0, 240.0)
-    return valid_points(spark, d).select("point_id", rnd(u).alias("u"), rnd(v).alias("v"))
+    return valid_rows(spark, d).select("point_id", rnd(u).alias("u"), rnd(v).alias("v"))
 
 
 @query("""with a as (select sid, case when sid < 'cap_20260501' then '+x,-z,y' else 'x,x,-z' end as m from (select distinct sid from session_catalog))
@@ -163,9 +163,9 @@ def region_of_interest(spark, d):
     return p.groupBy("session_id").agg(F.count("*").alias("rows"), F.count_if(ok).alias("inside"), F.count_if(ok & (F.hypot("x", "y") > 3.9)).alias("on_shell"))
 
 
-@query(f"with {OKP} select point_id from ok where (x-1)*(x-1) + (y+1)*(y+1) <= 2.25 and z between -2.2 and -0.3")
+@query(f"with {OKR} select point_id from ok where (x-1)*(x-1) + (y+1)*(y+1) <= 2.25 and z between -2.2 and -0.3")
 def cylinder_crop(spark, d):
-    return valid_points(spark, d).filter(flt.cylinder(1.0, -1.0, 1.5, -2.2, -0.3)).select("point_id")
+    return valid_rows(spark, d).filter(flt.cylinder(1.0, -1.0, 1.5, -2.2, -0.3)).select("point_id")
 
 
 @query(f"""with {OKP}, hit as (select point_id, max(zone_id) as region from ok join zones using (sensor_id) where x >= x_min and x < x_max and y >= y_min and y < y_max and z >= z_min and z < z_max group by 1)
@@ -174,9 +174,9 @@ def region_codes(spark, d):
     return flt.region_code(valid_points(spark, d), table(spark, d, "zones")).groupBy("session_id", "region").agg(F.count("*").alias("points"))
 
 
-@query(f"with {OKP} select point_id from ok where abs((x-0.5)*0.8 + (y-0.5)*0.6) <= 1.05 and abs(-(x-0.5)*0.6 + (y-0.5)*0.8) <= 0.65 and abs(z+1.5) <= 1.05")
+@query(f"with {OKR} select point_id from ok where abs((x-0.5)*0.8 + (y-0.5)*0.6) <= 1.05 and abs(-(x-0.5)*0.6 + (y-0.5)*0.8) <= 0.65 and abs(z+1.5) <= 1.05")
 def oriented_box_members(spark, d):
-    return valid_points(spark, d).filter(flt.oriented_box((0.5, 0.5, -1.5), ((0.8, 0.6, 0), (-0.6, 0.8, 0), (0, 0, 1)), (1.0, 0.6, 1.0), 0.05)).select("point_id")
+    return valid_rows(spark, d).filter(flt.oriented_box((0.5, 0.5, -1.5), ((0.8, 0.6, 0), (-0.6, 0.8, 0), (0, 0, 1)), (1.0, 0.6, 1.0), 0.05)).select("point_id")
 
 
 @query(f"""with {OKP}, a as (select session_id, frame_index, count(*) as n, max(z) - min(z) as h, max(x) - min(x) as e, avg(intensity) as i from ok group by 1, 2)
@@ -200,8 +200,8 @@ o as (select session_id, cx + a as cx, cy + b as cy, cz + c as cz, n from n cros
 s as (select session_id, cx, cy, cz, sum(n) as support from o group by all)
 select session_id, count(*) as points, count_if(support >= 3) as kept from v join s using (session_id, cx, cy, cz) group by 1""")
 def isolated_point_denoise(spark, d):
-    p = flt.voxel_support(valid_points(spark, d), ["session_id"], 0.3)
-    return p.groupBy("session_id").agg(F.count("*").alias("points"), F.count_if(F.col("support") >= 3).alias("kept"))
+    v = flt.voxel_counts(valid_points(spark, d), ["session_id"], 0.3)
+    return v.groupBy("session_id").agg(F.sum("n").alias("points"), F.sum(F.when(F.col("support") >= 3, F.col("n")).otherwise(0)).alias("kept"))
 
 
 _GRID = f"""{OKP}, g as (select session_id, ring, floor((degrees(atan2(y, x)) + 180.0) / 11.25)::int as col, min(sqrt(x*x+y*y+z*z)) as range_m from ok where ring between 0 and 191 group by 1, 2, 3)"""
@@ -243,5 +243,5 @@ def low_upright_unavailable(spark, d):
 q as (select *, c / nullif(30000.0, 0) as valid, dr / 400.0 as changed from f where c >= 0)
 select session_id, frame_index, case when max(case when valid >= 0.6 and changed > 0.35 then 1 else 0 end) over (partition by session_id order by frame_index) = 1 then 'invalid' when valid < 0.6 then 'insufficient' else 'ok' end as quality from q""")
 def sticky_frame_quality(spark, d):
-    f = frames(spark, d).filter("frame_index is not null").groupBy("session_id", "frame_index").agg(F.max("count_points").alias("c"), F.max("dropped_points").alias("dr")).filter("c >= 0")
+    f = frame_rows(spark, d).filter("frame_index is not null").groupBy("session_id", "frame_index").agg(F.max("count_points").alias("c"), F.max("dropped_points").alias("dr")).filter("c >= 0")
     return flt.sticky_quality(f, ["session_id"], "frame_index", F.col("c") / 30000.0, F.col("dr") / 400.0).select("session_id", "frame_index", "quality")

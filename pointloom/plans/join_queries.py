@@ -8,7 +8,7 @@ from ..core import table
 from ..operators import geometry as geo
 from ..operators import joins as jn
 from ..operators.intervals import usable_intervals
-from .adapters import FRM, OKP, REC, frames, records, valid_points
+from .adapters import FRM, OKP, REC, frame_rows, records, valid_points
 from .geometry_queries import _GRID, grid_cells, rnd
 from .registry import query
 
@@ -57,17 +57,18 @@ def voxels(spark, d):
 def voxel_neighbour_match(spark, d):
     """Voxels whose neighbourhood has another centroid within 0.3 m (semi join)."""
     v = voxels(spark, d).withColumn("id", F.struct("cx", "cy", "cz"))
-    p = jn.radius_join(v, v, ["session_id"], ["x", "y", "z"], 0.3).filter(F.col("id") != F.col("id_r"))
+    p = jn.radius_self_join(v, ["session_id"], "id", ["x", "y", "z"], 0.3)
     p = p.filter((F.abs(F.col("cx") - F.col("cx_r")) <= 1) & (F.abs(F.col("cy") - F.col("cy_r")) <= 1) & (F.abs(F.col("cz") - F.col("cz_r")) <= 1))
-    return v.join(p.select("session_id", "id").distinct(), ["session_id", "id"], "left_semi").select("session_id", "cx", "cy", "cz")
+    p = p.select("session_id", F.explode(F.array("id", "id_r")).alias("id"))
+    return v.join(p.distinct(), ["session_id", "id"], "left_semi").select("session_id", "cx", "cy", "cz")
 
 
 @query(f"""with {_VOX} select a.session_id, a.cx as ax, a.cy as ay, a.cz as az, b.cx as bx, b.cy as by_, b.cz as bz, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), 6) as dist
 from vx a join vx b on a.session_id = b.session_id and (a.cx, a.cy, a.cz) < (b.cx, b.cy, b.cz) where (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 0.35*0.35""")
 def radius_pairs(spark, d):
-    v = voxels(spark, d)
-    p = jn.radius_join(v, v, ["session_id"], ["x", "y", "z"], 0.35).filter(F.struct("cx", "cy", "cz") < F.struct("cx_r", "cy_r", "cz_r"))
-    return p.select("session_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("cz").alias("az"), F.col("cx_r").alias("bx"), F.col("cy_r").alias("by_"), F.col("cz_r").alias("bz"), rnd("dist").alias("dist"))
+    v = voxels(spark, d).withColumn("id", F.struct("cx", "cy", "cz")).select("session_id", "id", "x", "y", "z")
+    p = jn.radius_self_join(v, ["session_id"], "id", ["x", "y", "z"], 0.35)
+    return p.select("session_id", *[F.col(f"{i}.c{c}").alias(n) for i, k in (("id", "a"), ("id_r", "b")) for c, n in zip("xyz", (f"{k}x", f"{k}y" + "_" * (k == "b"), f"{k}z"))], rnd("dist").alias("dist"))
 
 
 @query(f"""with {OKP}, a as (select * from ok where frame_index % 2 = 0), b as (select * from ok where frame_index % 2 = 1),
@@ -99,7 +100,7 @@ def _clocks(spark, d):
     from pyspark.sql import Window as W
 
     zero = lambda df: df.withColumn("t", F.col("t") - F.min("t").over(W.partitionBy("session_id")))
-    f = frames(spark, d).filter(geo.stamp_ok() & F.col("frame_index").isNotNull()).groupBy("session_id", (F.col("stamp_sec") + F.col("stamp_nanosec") / 1e9).alias("t")).agg(F.max("frame_index").alias("frame"))
+    f = frame_rows(spark, d).filter(geo.stamp_ok() & F.col("frame_index").isNotNull()).groupBy("session_id", (F.col("stamp_sec") + F.col("stamp_nanosec") / 1e9).alias("t")).agg(F.max("frame_index").alias("frame"))
     r = records(spark, d).filter("stamp_sec is not null").select("session_id", "track_id", "frame_index", F.col("stamp_sec").alias("t"))
     return zero(r), zero(f)
 
@@ -129,7 +130,7 @@ def records_in_labels(spark, d):
 p as (select point_id, session_id, source_row * 997 as row_no from ok where source_row is not null)
 select p.point_id, case when row_no < o.lo + o.n then o.frame end as frame from p asof left join (select session_id, lo, max_by(n, frame) as n, max(frame) as frame from o group by 1, 2) o on p.session_id = o.session_id and p.row_no >= o.lo""")
 def csr_rows_to_frames(spark, d):
-    o = frames(spark, d).filter("offset_points >= 0 and count_points >= 0 and frame_index is not null").groupBy("session_id", F.col("frame_index").alias("frame")).agg(F.max("offset_points").alias("lo"), F.max("count_points").alias("n"))
+    o = frame_rows(spark, d).filter("offset_points >= 0 and count_points >= 0 and frame_index is not null").groupBy("session_id", F.col("frame_index").alias("frame")).agg(F.max("offset_points").alias("lo"), F.max("count_points").alias("n"))
     p = valid_points(spark, d).filter("source_row is not null").select("point_id", "session_id", (F.col("source_row") * 997).alias("row_no"))
     return jn.csr_membership(p, o, ["session_id"], "row_no", "lo", "n", "frame").select("point_id", "frame")
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..core import table
 from ..operators import models
 from ..sources import files
-from .adapters import FRM, OKP, REC, frames, records, valid_points
+from .adapters import FRM, OKP, REC, frame_rows, records, valid_points
 from .geometry_queries import rnd
 from .registry import query
 
@@ -39,7 +38,7 @@ def frame_index_consistency(spark, d):
     """Whether offsets rise and join, and where frame numbers have holes."""
     from pyspark.sql import Window as W
 
-    f = frames(spark, d).filter("frame_index is not null").groupBy("session_id", "frame_index").agg(F.max("offset_points").alias("o"), F.max("count_points").alias("c"))
+    f = frame_rows(spark, d).filter("frame_index is not null").groupBy("session_id", "frame_index").agg(F.max("offset_points").alias("o"), F.max("count_points").alias("c"))
     w = W.partitionBy("session_id").orderBy("frame_index")
     l = f.withColumns({"po": F.lag("o").over(w), "pc": F.lag("c").over(w), "df": F.col("frame_index") - F.lag("frame_index").over(w)})
     yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
@@ -88,5 +87,3 @@ def fold_rows_kept(spark, d):
     g = r.groupBy("session_id").agg(F.count("*").alias("rows"), F.count_distinct("fold").alias("folds"))
     return g.filter("folds = 1").select("session_id", "rows")
 
-
-__all__ = ["np"]
