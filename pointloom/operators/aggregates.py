@@ -115,6 +115,22 @@ def shape_features(l1: Column, l2: Column, l3: Column) -> dict[str, Column]:
     return {"linearity": F.when(ok, (l1 - l2) / l1), "planarity": F.when(ok, (l2 - l3) / l1), "scattering": F.when(ok, l3 / l1)}
 
 
+def with_eigen(df: DataFrame, gap: float = 1.1) -> DataFrame:
+    """Adds to covariances (xx ... zz) the eigenvalues l1 >= l2 >= l3 and the unit eigenvectors of the first and last (v1x ...
+    v3z, their greatest part positive); null where the middle eigenvalue is within ``gap`` of theirs: such an axis is
+    ambiguous."""
+    a = [F.col(k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    l1, l2, l3 = eigenvalues(*a)
+    e = df.withColumns({"l1": l1, "l2": l2, "l3": l3})
+    out = {}
+    for i, clear in ((1, F.col("l1") > gap * F.col("l2")), (3, F.col("l2") > gap * F.col("l3"))):
+        v = eigenvector(*a, F.col(f"l{i}"))
+        big = F.greatest(*[F.abs(c) for c in v])
+        sign = F.when((v[0] == big) | (v[1] == big) | (v[2] == big), 1.0).otherwise(-1.0)
+        out |= {f"v{i}{k}": F.when(clear, c * sign) for k, c in zip("xyz", v)}
+    return e.withColumns(out)
+
+
 def histogram(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float, n: int) -> DataFrame:
     """(keys, bin, rows) over n equal bins of [lo, hi]; the last takes hi, the rest is left out."""
     b = F.least(F.floor((F.col(value) - lo) / ((hi - lo) / n)), F.lit(n - 1)).cast("int")
@@ -194,21 +210,29 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
 
 
 def poisson_interval(k: int, coverage: float = 0.95) -> tuple[float, float]:
-    """Exact bounds of a Poisson mean for k events, by bisection on its distribution function."""
+    """Exact bounds of a Poisson mean for k events: the means at which k or more, and k or fewer, have half the rest of the
+    probability. Newton's method on the tail sums, whose derivative is the term at the bound."""
     import math
 
-    def cdf(n: int, mean: float) -> float:
-        return sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(n + 1)) if mean > 0 else 1.0
-
-    def root(n: int, target: float) -> float:
-        lo, hi = 0.0, 10.0 + 4 * (k + 1)
-        for _ in range(200):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if cdf(n, mid) > target else (lo, mid)
-        return (lo + hi) / 2
-
-    a = (1 - coverage) / 2
-    return (0.0 if k == 0 else root(k - 1, 1 - a)), root(k, a)
+    rest = (1 - coverage) / 2
+
+    def bound(n: int, below: float) -> float:
+        # the mean m with P(N <= n) = below; its derivative in m is -P(N = n)
+        m = n + 1.0 + (math.sqrt(n + 1.0) if below < 0.5 else -math.sqrt(n + 1.0) / 2)
+        m = max(m, 0.05)
+        for _ in range(100):
+            term, total = math.exp(-m), math.exp(-m)
+            for i in range(1, n + 1):
+                term *= m / i
+                total += term
+            step = (total - below) / term
+            new = m + max(min(step, 2 + m), -m / 2)
+            if abs(new - m) <= 1e-13 * m:
+                break
+            m = new
+        return m
+
+    return (0.0 if k == 0 else bound(k - 1, 1 - rest)), bound(k, rest)
 
 
 def sampled_stride(df: DataFrame, keys: Sequence[str], order: Sequence[str], budget: int) -> DataFrame:

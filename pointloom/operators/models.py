@@ -84,8 +84,9 @@ def score(df: DataFrame, features: Sequence[str], model, classes: int) -> DataFr
 
 
 def group_folds(df: DataFrame, group: str, folds: int, seed: int = 11) -> DataFrame:
-    """Adds fold: all rows of a group in one fold, by hash."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(folds)).cast("int"))
+    """Adds fold: all rows of a group in one fold, by the digest of seed and group (the same on any engine)."""
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))), 1, 8)
+    return df.withColumn("fold", F.pmod(F.conv(digest, 16, 10).cast("bigint"), F.lit(folds)).cast("int"))
 
 
 def mean_share(df: DataFrame, keys: Sequence[str], classes: int) -> DataFrame:

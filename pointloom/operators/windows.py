@@ -219,6 +219,41 @@ def choose_with_ambiguity(df: DataFrame, keys: Sequence[str], order: Sequence[Co
     return d.filter("rank = 1").withColumn("ambiguous", F.coalesce(F.col("second") >= ratio * F.col(score), F.lit(False))).drop("rank")
 
 
+def skipped(df: DataFrame, keys: Sequence[str], order: Sequence[str], index: str) -> DataFrame:
+    """Adds skipped: how many indices are missing before each row."""
+    last = F.max(index).over(over(keys, order).rowsBetween(W.unboundedPreceding, -1))
+    return df.withColumn("skipped", F.greatest(F.coalesce(F.col(index) - last - 1, F.lit(0)), F.lit(0)).cast("bigint"))
+
+
+def bindings(df: DataFrame, keys: Sequence[str], order: Sequence[str], binding: Column) -> DataFrame:
+    """Adds binding_no, which grows with each change of the binding, and cleared: the first row of each."""
+    w = over(keys, order)
+    d = df.withColumn("__b", binding)
+    d = d.withColumn("__n", F.row_number().over(w)).withColumn("__c", (F.col("__n") > 1) & ~F.col("__b").eqNullSafe(F.lag("__b").over(w)))
+    d = d.withColumn("binding_no", F.sum(F.col("__c").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    return d.withColumn("cleared", F.col("__c") | (F.col("__n") == 1)).drop("__b", "__n", "__c")
+
+
+def monotonic(df: DataFrame, keys: Sequence[str], order: Sequence[str], seq: str, stamp: str, binding: Column) -> DataFrame:
+    """Adds status: accepted while sequence and stamp rise from row to row of a binding, dropped from the first repeat or
+    step back on until the binding changes (no reordering); null or NaN is a step back."""
+    d = bindings(df, keys, order, binding)
+    w = over([*keys, "binding_no"], order)
+    t = F.when(~F.isnan(stamp), F.col(stamp))
+    rises = F.when(F.row_number().over(w) == 1, F.col(seq).isNotNull() & t.isNotNull()).otherwise((F.col(seq) > F.lag(seq).over(w)) & (t > F.lag(t).over(w)))
+    d = d.withColumn("__bad", (~F.coalesce(rises, F.lit(False))).cast("int"))
+    broken = F.max("__bad").over(w.rowsBetween(W.unboundedPreceding, 0)) == 1
+    return d.withColumn("status", F.when(broken, "dropped").otherwise("accepted")).drop("__bad", "binding_no", "cleared")
+
+
+def warmup(df: DataFrame, keys: Sequence[str], index: str, need: int) -> DataFrame:
+    """Adds mode: training for the first ``need`` consecutive indices, then ready; a hole before that disables for good."""
+    w = over(keys, [index])
+    d = df.withColumns({"__r": F.row_number().over(w), "__hole": F.coalesce(F.col(index) != F.lag(index).over(w) + 1, F.lit(False))})
+    d = d.withColumn("__broken", F.max(F.col("__hole") & (F.col("__r") <= need + 1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return d.withColumn("mode", F.when(F.col("__broken"), "disabled").when(F.col("__r") > need, "ready").otherwise("training")).drop("__r", "__hole", "__broken")
+
+
 # ---- recursions -------------------------------------------------------------------------------------------------
 
 

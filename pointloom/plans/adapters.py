@@ -81,3 +81,27 @@ REC = """rec as (select session_id, track_id, frame_index, record_id, generation
 FRM = """frm as (select distinct session_id, frame_index, seq, stamp_sec, stamp_nanosec, bag_time_sec, offset_points, count_points, dropped_points from meta_frames)"""
 PLN = """pln0 as (select sensor_id, radians((mount_height_m - 2.0) * 10) as p, radians(mount_height_m - 2.3) as r, mount_height_m as d from sensors),
 pln as (select sensor_id, -sin(p) * cos(r) as nx, sin(r) as ny, cos(p) * cos(r) as nz, d from pln0)"""
+
+
+def eigen_sql(source: str, name: str = "eg") -> str:
+    """CTEs that add to a table of symmetric matrices (xx, xy, xz, yy, yz, zz) its eigenvalues l1 >= l2 >= l3 and the unit
+    eigenvectors of l1 and l3 (v1x ... v3z, sign open; null where the gap to l2 is small): ``name`` is the last of them."""
+    parts = [f"{name}_a as (select *, (xx+yy+zz)/3 as q_ from {source})"]
+    parts.append(f"{name}_b as (select *, sqrt(((xx-q_)**2 + (yy-q_)**2 + (zz-q_)**2 + 2*(xy*xy+xz*xz+yz*yz))/6) as p_ from {name}_a)")
+    parts.append(f"{name}_c as (select *, case when p_ > 0 then acos(greatest(least(((xx-q_)*((yy-q_)*(zz-q_)-yz*yz) - xy*(xy*(zz-q_)-yz*xz) + xz*(xy*yz-(yy-q_)*xz))/(2*p_**3), 1), -1))/3 else 0 end as f_ from {name}_b)")
+    parts.append(f"{name}_d as (select *, q_ + 2*p_*cos(f_) as l1, q_ + 2*p_*cos(f_ + 2*pi()/3) as l3 from {name}_c)")
+    parts.append(f"{name}_e as (select *, 3*q_ - l1 - l3 as l2 from {name}_d)")
+
+    def vector(l: str) -> str:
+        r = [(f"(xx-{l})", "xy", "xz"), ("xy", f"(yy-{l})", "yz"), ("xz", "yz", f"(zz-{l})")]
+        cross = lambda u, v: (f"{u[1]}*{v[2]}-{u[2]}*{v[1]}", f"{u[2]}*{v[0]}-{u[0]}*{v[2]}", f"{u[0]}*{v[1]}-{u[1]}*{v[0]}")
+        c = [cross(r[0], r[1]), cross(r[0], r[2]), cross(r[1], r[2])]
+        return "list_max([" + ", ".join(f"{{'n': ({x})**2+({y})**2+({z})**2, 'x': {x}, 'y': {y}, 'z': {z}}}" for x, y, z in c) + "])"
+
+    parts.append(f"{name}_f as (select *, {vector('l1')} as w1, {vector('l3')} as w3 from {name}_e)")
+    cols = [f"case when {ok} then {w}.{k}/sqrt({w}.n) end as v{i}{k}" for i, w, ok in ((1, "w1", "l1 > 1.1*l2 and w1.n > 0"), (3, "w3", "l2 > 1.1*l3 and w3.n > 0")) for k in "xyz"]
+    parts.append(f"{name} as (select *, {', '.join(cols)} from {name}_f)")
+    return ",\n".join(parts)
+
+
+STA = """sta as (select *, nullif(regexp_replace(regexp_replace(lower(state), '[^a-z]+', '_', 'g'), '^_+|_+$', '', 'g'), '') as plain from rec)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..core import table
 from ..operators import aggregates as agg
-from .adapters import OKP, PLN, PTS, REC, planes, points, records, valid_points
+from .adapters import OKP, PLN, PTS, REC, eigen_sql, planes, points, records, valid_points
 from .geometry_queries import _GRID, grid_cells, rnd
 from .join_queries import _VOX, voxels
 from .registry import query
@@ -69,20 +69,20 @@ def weighted_covariance(spark, d):
     return c.select("session_id", "n", *[rnd(k).alias(k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")])
 
 
-@query(f"""with {OKP}, c as (select session_id, var_pop(x) as xx, covar_pop(x, y) as xy, covar_pop(x, z) as xz, var_pop(y) as yy, covar_pop(y, z) as yz, var_pop(z) as zz from ok group by 1)
-select session_id, round(xx + yy + zz, 5) as trace, round(xx*(yy*zz-yz*yz) - xy*(xy*zz-yz*xz) + xz*(xy*yz-yy*xz), 5) as det, true as ordered, true as vector_ok from c""")
+_COV = "count(*) as n, avg(x) as mx, avg(y) as my, avg(z) as mz, var_pop(x) as xx, covar_pop(x, y) as xy, covar_pop(x, z) as xz, var_pop(y) as yy, covar_pop(y, z) as yz, var_pop(z) as zz"
+
+
+@query(f"""with {OKP}, c as (select session_id, {_COV} from ok group by 1), {eigen_sql("c")}
+select session_id, round(l1, 5) as l1, round(l2, 5) as l2, round(l3, 5) as l3, round(abs(v1x), 3) as vx, round(abs(v1y), 3) as vy, round(abs(v1z), 3) as vz, round(abs(xx*v1x + xy*v1y + xz*v1z - l1*v1x) + abs(xy*v1x + yy*v1y + yz*v1z - l1*v1y) + abs(xz*v1x + yz*v1y + zz*v1z - l1*v1z), 6) as residual from eg""")
 def principal_axes(spark, d):
-    """Eigenvalues and main axis in closed form; their sum and product are the covariance's trace and determinant, and
-    the axis satisfies A v = l v."""
+    """Eigenvalues and main axis in closed form (no axis where the next eigenvalue is within a tenth), and A v - l v."""
     c = agg.covariance(valid_points(spark, d), ["session_id"])
-    a = [F.col(k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")]
-    l1, l2, l3 = agg.eigenvalues(*a)
-    e = c.withColumns({"l1": l1, "l2": l2, "l3": l3})
-    v = agg.eigenvector(*a, F.col("l1"))
-    e = e.withColumns({"vx": v[0], "vy": v[1], "vz": v[2]})
-    av = [F.col("xx") * F.col("vx") + F.col("xy") * F.col("vy") + F.col("xz") * F.col("vz"), F.col("xz") * F.col("vx") + F.col("yz") * F.col("vy") + F.col("zz") * F.col("vz")]
-    good = (F.abs(av[0] - F.col("l1") * F.col("vx")) < 1e-6) & (F.abs(av[1] - F.col("l1") * F.col("vz")) < 1e-6)
-    return e.select("session_id", rnd(F.col("l1") + F.col("l2") + F.col("l3"), 5).alias("trace"), rnd(F.col("l1") * F.col("l2") * F.col("l3"), 5).alias("det"), ((F.col("l1") >= F.col("l2") - 1e-9) & (F.col("l2") >= F.col("l3") - 1e-9)).alias("ordered"), good.alias("vector_ok"))
+    e = agg.with_eigen(c)
+    a = {k: F.col(k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
+    v = [F.col(f"v1{k}") for k in "xyz"]
+    rows = [("xx", "xy", "xz"), ("xy", "yy", "yz"), ("xz", "yz", "zz")]
+    off = sum((F.abs(sum((a[m] * u for m, u in zip(r[1:], v[1:])), a[r[0]] * v[0]) - F.col("l1") * w) for r, w in zip(rows, v)), F.lit(0.0))
+    return e.select("session_id", *[rnd(k, 5).alias(k) for k in ("l1", "l2", "l3")], *[rnd(F.abs(u), 3).alias(f"v{k}") for k, u in zip("xyz", v)], rnd(off).alias("residual"))
 
 
 @query(f"with {OKP} select session_id, least(floor((z + 3) / 0.25), 11)::int as bin, count(*) as rows from ok where z between -3 and 0 group by 1, 2")

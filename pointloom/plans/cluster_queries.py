@@ -9,7 +9,8 @@ from ..core import table
 from ..operators import aggregates as agg
 from ..operators import clustering as cl
 from ..operators import fitting as fit
-from .adapters import OKP, REC, records, valid_points
+from .adapters import OKP, REC, eigen_sql, records, valid_points
+from .aggregate_queries import _COV
 from .geometry_queries import _GRID, grid_cells, rnd
 from .registry import query
 
@@ -119,27 +120,17 @@ def skeleton_slabs(spark, d):
     return s.select("session_id", "slab", "n", *[rnd(c).alias(c) for c in "xyz"])
 
 
-@query(f"with {OKP} select session_id, count(*) as n, round(avg(x), 6) as mx, round(avg(y), 6) as my, round(avg(z), 6) as mz, true as agree from ok where z < -1.9 group by 1 having count(*) >= 10")
+@query(f"""with {OKP}, c as (select session_id, {_COV} from ok where z < -1.9 group by 1 having count(*) >= 10), {eigen_sql("c")}
+select session_id, n, round(v3x * sign(v3z), 3) as nx, round(v3y * sign(v3z), 3) as ny, round(v3z * sign(v3z), 3) as nz, round(-(v3x*mx + v3y*my + v3z*mz) * sign(v3z), 3) as d, round(sqrt(greatest(l3, 0)), 4) as rms, round(l2 / l1, 4) as degeneracy from eg""")
 def ground_planes(spark, d):
-    """Least-squares ground plane per session from mergeable covariances, in closed form; checked against NumPy's
-    eigenvectors and SVD on the same points."""
-    p = valid_points(spark, d).filter("z < -1.9")
-    c = agg.covariance(p, ["session_id"]).filter("n >= 10")
-    a = [F.col(k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")]
-    e = c.withColumn("l3", agg.eigenvalues(*a)[2])
-    e = e.withColumns({f"n{k}": v for k, v in zip("xyz", agg.eigenvector(*a, F.col("l3")))})
-
-    def run(pdf):
-        x = pdf[["x", "y", "z"]].to_numpy("float64")
-        if len(x) < 10:
-            return []
-        n, _, _ = fit.plane_tls(x)
-        m, _ = fit.plane_svd(x)
-        return [(*map(float, n), bool(abs(abs(n @ m) - 1) < 1e-6))]
-
-    t = fit.per_group(p.select("session_id", "point_id", "x", "y", "z"), ["session_id"], ["point_id"], run, "tx double, ty double, tz double, same boolean")
-    dot = F.abs(F.col("nx") * F.col("tx") + F.col("ny") * F.col("ty") + F.col("nz") * F.col("tz"))
-    return e.join(t, "session_id").select("session_id", "n", *[rnd(f"m{k}").alias(f"m{k}") for k in "xyz"], (F.col("same") & (dot > 1 - 1e-5)).alias("agree"))
+    """Least-squares ground plane per session from mergeable covariances, in closed form: unit normal upward, offset,
+    residual and degeneracy ratio; no plane where it is not clear of the next axis."""
+    c = agg.covariance(valid_points(spark, d).filter("z < -1.9"), ["session_id"]).filter("n >= 10")
+    e = agg.with_eigen(c)
+    up = F.signum("v3z")
+    n = {k: F.col(f"v3{k}") * up for k in "xyz"}
+    off = -(n["x"] * F.col("mx") + n["y"] * F.col("my") + n["z"] * F.col("mz"))
+    return e.select("session_id", "n", *[rnd(v, 3).alias(f"n{k}") for k, v in n.items()], rnd(off, 3).alias("d"), rnd(F.sqrt(F.greatest("l3", F.lit(0.0))), 4).alias("rms"), rnd(F.col("l2") / F.col("l1"), 4).alias("degeneracy"))
 
 
 @query()
@@ -155,19 +146,28 @@ def peeled_planes(spark, d):
     return fit.per_group(p, ["session_id"], ["point_id"], run, "plane int, nx double, ny double, nz double, d double, support bigint")
 
 
-@query(f"with {OKP} select session_id, frame_index, count(*) as n, true as holds_all from ok where frame_index is not null group by 1, 2 having count(*) >= 4")
+@query(f"""with {OKP}, f as (select * from ok where frame_index is not null), c as (select session_id, frame_index, {_COV} from f group by 1, 2 having count(*) >= 6), {eigen_sql("c")},
+k as (select *, v3y*v1z - v3z*v1y as v2x, v3z*v1x - v3x*v1z as v2y, v3x*v1y - v3y*v1x as v2z from eg where v1x is not null and v3x is not null),
+p as (select k.session_id, k.frame_index, n, (x-mx)*v1x + (y-my)*v1y + (z-mz)*v1z as a, (x-mx)*v2x + (y-my)*v2y + (z-mz)*v2z as b, (x-mx)*v3x + (y-my)*v3y + (z-mz)*v3z as c, mx, my, mz, v1x, v1y, v1z, v2x, v2y, v2z, v3x, v3y, v3z from f join k on f.session_id = k.session_id and f.frame_index = k.frame_index),
+g as (select session_id, frame_index, n, (max(a)-min(a))/2 as h1, (max(b)-min(b))/2 as h2, (max(c)-min(c))/2 as h3, (max(a)+min(a))/2 as ca, (max(b)+min(b))/2 as cb, (max(c)+min(c))/2 as cc, any_value(mx) as mx, any_value(my) as my, any_value(mz) as mz, any_value(v1x) as v1x, any_value(v1y) as v1y, any_value(v1z) as v1z, any_value(v2x) as v2x, any_value(v2y) as v2y, any_value(v2z) as v2z, any_value(v3x) as v3x, any_value(v3y) as v3y, any_value(v3z) as v3z from p group by 1, 2, 3)
+select session_id, frame_index, n, round(h1, 4) as half_1, round(h2, 4) as half_2, round(h3, 4) as half_3, round(mx + ca*v1x + cb*v2x + cc*v3x, 4) as center_x, round(my + ca*v1y + cb*v2y + cc*v3y, 4) as center_y, round(mz + ca*v1z + cb*v2z + cc*v3z, 4) as center_z from g""")
 def oriented_boxes(spark, d):
-    """Oriented box of each frame's points; every point lies in it."""
+    """Oriented box of each frame's points whose axes are clear: half sizes, largest spread first, and the centre."""
 
     def run(pdf):
         x = pdf[["x", "y", "z"]].to_numpy("float64")
-        if len(x) < 4:
+        if len(x) < 6:
+            return []
+        values = np.linalg.eigvalsh(np.cov(x.T, bias=True))
+        if values[2] <= 1.1 * values[1] or values[1] <= 1.1 * values[0]:
             return []
-        c, axes, half = fit.oriented_box(x)
-        return [(len(x), bool((np.abs((x - c) @ axes.T) <= half + 1e-9).all()))]
+        c, _, half = fit.oriented_box(x)
+        return [(len(x), *map(float, half), *map(float, c))]
 
     p = valid_points(spark, d).filter("frame_index is not null").select("session_id", "frame_index", "point_id", "x", "y", "z")
-    return fit.per_group(p, ["session_id", "frame_index"], ["point_id"], run, "n bigint, holds_all boolean")
+    names = ["half_1", "half_2", "half_3", "center_x", "center_y", "center_z"]
+    got = fit.per_group(p, ["session_id", "frame_index"], ["point_id"], run, "n bigint, " + ", ".join(f"{c} double" for c in names))
+    return got.select("session_id", "frame_index", "n", *[rnd(c, 4).alias(c) for c in names])
 
 
 @query()

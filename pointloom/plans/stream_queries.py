@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..core import table
 from ..operators import windows as win
 from ..streaming import stateful as st
-from .adapters import OKP, REC, frames, records, valid_points
+from .adapters import OKP, REC, frame_rows, records, valid_points
 from .geometry_queries import rnd
 from .registry import query
 
@@ -17,41 +17,56 @@ _O = "partition by session_id, track_id order by frame_index"
 
 @query(f"with {REC}, s as (select session_id, track_id, frame_index, frame_index - lag(frame_index) over ({_O}) - 1 as g from rec) select session_id, track_id, frame_index, greatest(coalesce(g, 0), 0)::bigint as skipped from s")
 def skipped_inputs(spark, d):
-    r = records(spark, d).select(*KEY, "frame_index")
-    return win.fold_rows(r, KEY, ["frame_index"], ["frame_index"], st.skipped_step, [("skipped", "bigint")])
+    return win.skipped(records(spark, d).select(*KEY, "frame_index"), KEY, ["frame_index"], "frame_index")
 
 
 @query(f"with {REC}, s as (select session_id, track_id, frame_index, case when lag(generation) over w is distinct from generation and lag(frame_index) over w is not null then 1 else 0 end as c, lag(frame_index) over w is null as f from rec window w as ({_O})) select session_id, track_id, frame_index, sum(c) over ({_O})::int as binding_no, c = 1 or f as cleared from s")
 def binding_generations(spark, d):
-    r = records(spark, d).select(*KEY, "frame_index", F.coalesce("generation", F.lit(-1)).alias("generation"))
-    return win.fold_rows(r, KEY, ["frame_index"], ["generation"], st.generation_step, [("binding_no", "int"), ("cleared", "boolean")]).drop("generation")
+    r = records(spark, d).select(*KEY, "frame_index", "generation")
+    return win.bindings(r, KEY, ["frame_index"], F.col("generation")).drop("generation")
 
 
-@query()
+@query(f"""with p as (select session_id, track_id, frame_index, case when not isnan(stamp_sec) then stamp_sec end as t, generation, recv_ts, record_id from posture_frames where track_id is not null and frame_index is not null),
+c as (select *, case when row_number() over w > 1 and lag(generation) over w is distinct from generation then 1 else 0 end as c from p window w as (partition by session_id, track_id order by recv_ts nulls first, record_id)),
+b as (select *, sum(c) over (partition by session_id, track_id order by recv_ts nulls first, record_id) as no from c),
+v as (select *, case when row_number() over w = 1 then t is null else not coalesce(frame_index > lag(frame_index) over w and t > lag(t) over w, false) end as bad from b window w as (partition by session_id, track_id, no order by recv_ts nulls first, record_id)),
+s as (select session_id, track_id, case when max(bad::int) over (partition by session_id, track_id, no order by recv_ts nulls first, record_id) = 1 then 'dropped' else 'accepted' end as status from v)
+select session_id, track_id, status, count(*) as rows from s group by all""")
 def monotonic_inputs(spark, d):
     """Arrival order by recv_ts: accepted until a sequence or stamp steps back, then dropped until the binding changes."""
-    p = table(spark, d, "posture_frames").filter("track_id is not null and frame_index is not null").select(*KEY, "frame_index", "stamp_sec", F.coalesce("generation", F.lit(-1)).alias("generation"), "recv_ts", "record_id")
-    r = win.fold_rows(p, KEY, ["recv_ts", "record_id"], ["frame_index", "stamp_sec", "generation"], st.monotonic_step, [("status", "string")])
+    p = table(spark, d, "posture_frames").filter("track_id is not null and frame_index is not null").select(*KEY, "frame_index", "stamp_sec", "generation", "recv_ts", "record_id")
+    r = win.monotonic(p, KEY, ["recv_ts", "record_id"], "frame_index", "stamp_sec", F.col("generation"))
     return r.groupBy(*KEY, "status").agg(F.count("*").alias("rows"))
 
 
-@query()
+@query(f"""with f as (select distinct session_id, frame_index from meta_frames where frame_index is not null), r as (select *, row_number() over w as rn, coalesce(frame_index <> lag(frame_index) over w + 1, false) as hole from f window w as (partition by session_id order by frame_index)),
+h as (select session_id, min(rn) as h from r where hole and rn <= 11 group by 1) select r.session_id, frame_index, case when rn >= h then 'disabled' when rn > 10 then 'ready' else 'training' end as mode from r left join h using (session_id)""")
 def warmup_modes(spark, d):
-    f = frames(spark, d).filter("frame_index is not null").select("session_id", "frame_index").distinct()
-    return win.fold_rows(f, ["session_id"], ["frame_index"], ["frame_index"], st.warmup_step(10), [("mode", "string")])
+    f = frame_rows(spark, d).filter("frame_index is not null").select("session_id", "frame_index").distinct()
+    return win.warmup(f, ["session_id"], "frame_index", 10)
 
 
-@query()
+@query(f"""with recursive {OKP}, c as (select session_id, (ring // 16)::int as band, floor((degrees(atan2(y, x)) + 180.0) / 45.0)::int as az, frame_index, avg(sqrt(x*x+y*y+z*z)) as r, count(*) >= 3 as frozen from ok where ring between 0 and 191 and frame_index is not null group by 1, 2, 3, 4),
+o as (select *, row_number() over (partition by session_id, band, az order by frame_index) as rn from c),
+e as (select session_id, band, az, frame_index, rn, r as mean, false as foreground from o where rn = 1
+ union all select o.session_id, o.band, o.az, o.frame_index, o.rn, case when o.frozen or abs(o.r - e.mean) > 0.6 then e.mean else e.mean + 0.1 * (o.r - e.mean) end, abs(o.r - e.mean) > 0.6 from e join o on o.session_id = e.session_id and o.band = e.band and o.az = e.az and o.rn = e.rn + 1)
+select session_id, band, az, frame_index, round(mean, 6) as mean, foreground from e""")
 def background_adaptation(spark, d):
-    """Slow mean of each direction cell; cells that stand out are left alone."""
+    """Slow mean of each direction cell; cells that stand out, and those frozen for holding several returns, are left
+    alone."""
     p = valid_points(spark, d).filter("ring between 0 and 191 and frame_index is not null")
     az = F.floor((F.degrees(F.atan2("y", "x")) + 180.0) / 45.0).cast("int")
-    c = p.groupBy("session_id", F.floor(F.col("ring") / 16).cast("int").alias("band"), az.alias("az"), "frame_index").agg(F.avg(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("r")).withColumn("frozen", F.lit(False))
+    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    c = p.groupBy("session_id", F.floor(F.col("ring") / 16).cast("int").alias("band"), az.alias("az"), "frame_index").agg(F.avg(r).alias("r"), (F.count("*") >= 3).alias("frozen"))
     b = win.fold_rows(c, ["session_id", "band", "az"], ["frame_index"], ["r", "frozen"], st.background_step(0.1, 0.6), [("mean", "double"), ("foreground", "boolean")])
     return b.select("session_id", "band", "az", "frame_index", rnd("mean").alias("mean"), "foreground")
 
 
-@query()
+@query(f"""with recursive {OKP}, v as (select distinct session_id, floor(x/0.5)::bigint as cx, floor(y/0.5)::bigint as cy, floor(z/0.5)::bigint as cz, frame_index::double as t from ok where frame_index is not null),
+o as (select *, row_number() over (partition by session_id, cx, cy, cz order by t) as rn, count(*) over (partition by session_id, cx, cy, cz) as n from v),
+e as (select session_id, cx, cy, cz, rn, n, t, 1.0::double as heat, 1 as hits from o where rn = 1
+ union all select o.session_id, o.cx, o.cy, o.cz, o.rn, o.n, o.t, e.heat * exp(-(o.t - e.t) / 8.0) + 1, case when o.t - e.t <= 8.0 then e.hits + 1 else 1 end from e join o on o.session_id = e.session_id and o.cx = e.cx and o.cy = e.cy and o.cz = e.cz and o.rn = e.rn + 1)
+select session_id, cx, cy, cz, t, round(heat, 6) as heat, case when hits >= 2 and heat >= 1.2 then 'HOT' when heat >= 0.5 then 'GHOST' else 'COLD' end as label from e where rn = n""")
 def freshness_map(spark, d):
     """Heat and label of each half-metre voxel at its last hit."""
     v = valid_points(spark, d).filter("frame_index is not null").select("session_id", *[F.floor(F.col(c) / 0.5).cast("bigint").alias(f"c{c}") for c in "xyz"], F.col("frame_index").cast("double").alias("t")).distinct()
@@ -60,7 +75,22 @@ def freshness_map(spark, d):
     return h.groupBy(*k).agg(F.max(F.struct("t", "heat", "label")).alias("m")).select(*k, F.col("m.t").alias("t"), rnd("m.heat").alias("heat"), F.col("m.label").alias("label"))
 
 
-@query()
+@query(f"""with recursive {REC}, o as (select session_id, track_id, frame_index, case when not isnan(stamp_sec) then stamp_sec end as t, height_median_m as z, row_number() over ({_O}) as rn from rec),
+k as (select session_id, track_id, frame_index, rn, case when t is not null then z end as x, case when t is not null and z is not null then 0.0::double end as v, 0.0064::double as a, 0.0::double as b, 1.0::double as c, t as last, 0 as missed, z is not null and t is not null as live,
+  case when t is not null then z end as height, case when t is not null and z is not null then 0.0::double end as rate, case when t is null then 'invalid' else 'start' end as status from o where rn = 1
+ union all select session_id, track_id, frame_index, rn,
+  case when t is null then x when not live then z when ok then px + pa / (pa + 0.0064) * (z - px) when missed >= 8 then z else px end,
+  case when t is null then v when not live then 0.0 when ok then v + pb / (pa + 0.0064) * (z - px) when missed >= 8 then 0.0 else v end,
+  case when t is null then a when not live then 0.0064 when ok then pa * (1 - pa / (pa + 0.0064)) when missed >= 8 then 0.0064 else pa end,
+  case when t is null then b when not live then 0.0 when ok then pb * (1 - pa / (pa + 0.0064)) when missed >= 8 then 0.0 else pb end,
+  case when t is null then c when not live then 1.0 when ok then pc - pb / (pa + 0.0064) * pb when missed >= 8 then 1.0 else pc end,
+  coalesce(t, last), case when t is null then missed when not live or ok or missed >= 8 then 0 else missed + 1 end, case when t is null then live when not live or (not ok and missed >= 8) then z is not null else true end,
+  case when t is null then null when not live then z when ok then px + pa / (pa + 0.0064) * (z - px) when missed >= 8 then z else px end,
+  case when t is null then null when not live then case when z is not null then 0.0 end when ok then v + pb / (pa + 0.0064) * (z - px) when missed >= 8 then null else v end,
+  case when t is null then 'invalid' when not live then 'start' when ok then 'update' when missed >= 8 then 'restart' else 'coast' end
+ from (select *, coalesce((z - px) ** 2 <= 16 * (pa + 0.0064), false) as ok from (select *, x + v * dt as px, a + dt * (2 * b + dt * c) + dt ** 4 / 4 as pa, b + dt * c + dt ** 3 / 2 as pb, c + dt * dt as pc from
+  (select o.session_id, o.track_id, o.frame_index, o.rn, o.t, o.z, k.x, k.v, k.a, k.b, k.c, k.last, k.missed, k.live, greatest(0, o.t - k.last) as dt from k join o on o.session_id = k.session_id and o.track_id = k.track_id and o.rn = k.rn + 1))))
+select session_id, track_id, frame_index, round(height, 5) as height, round(rate, 5) as rate, status from k""")
 def kalman_heights(spark, d):
     r = records(spark, d).select(*KEY, "frame_index", "stamp_sec", "height_median_m")
     k = win.fold_rows(r, KEY, ["frame_index"], ["stamp_sec", "height_median_m"], st.KalmanTrack(1.0, 0.08, 4.0, 8), [("height", "double"), ("rate", "double"), ("status", "string")])
@@ -89,7 +119,12 @@ class _lists:
         return self.step(state, t, list(xs) if xs is not None else [], list(ys) if ys is not None else [])
 
 
-@query()
+@query(f"""with recursive {REC}, o as (select session_id, track_id, frame_index, case when not isnan(stamp_sec) then stamp_sec end as t, height_median_m as v, row_number() over ({_O}) as rn from rec),
+e as (select session_id, track_id, frame_index, rn, case when v is not null then t end as last, case when t is not null then v end as lev, null::double as since, 'acquire' as mode from o where rn = 1
+ union all select session_id, track_id, frame_index, rn, case when skip then last else t end, case when skip then lev when lev is null then v when far and held < 0.6 then lev when far then v else lev + least(greatest(v - lev, -0.5 * dt), 0.5 * dt) end,
+  case when skip then since when lev is not null and far and held < 0.6 then coalesce(since, t) end, case when skip then case when lev is null then 'acquire' else 'hold' end when lev is null then 'acquire' when far and held < 0.6 then 'hold' when far then 'recover' else 'stable' end
+ from (select o.session_id, o.track_id, o.frame_index, o.rn, o.t, o.v, e.last, e.lev, e.since, o.t is null or o.v is null as skip, abs(o.v - e.lev) > 0.4 as far, o.t - coalesce(e.since, o.t) as held, greatest(0, o.t - e.last) as dt from e join o on o.session_id = e.session_id and o.track_id = e.track_id and o.rn = e.rn + 1))
+select session_id, track_id, frame_index, round(lev, 5) as level, mode from e""")
 def level_follow(spark, d):
     r = records(spark, d).select(*KEY, "frame_index", "stamp_sec", "height_median_m")
     k = win.fold_rows(r, KEY, ["frame_index"], ["stamp_sec", "height_median_m"], st.follow_step(0.4, 0.5, 0.6), [("level", "double"), ("mode", "string")])

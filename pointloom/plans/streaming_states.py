@@ -7,6 +7,6 @@ from pyspark.sql import functions as F
 
 
 def plain_state(state: Column) -> Column:
-    """Lower case with blanks and dashes as underscores; null for blank."""
-    s = F.regexp_replace(F.lower(F.trim(state)), "[\\s.-]+", "_")
+    """Lower-case letters, other characters between them as one underscore; null without a letter."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(state), "[^a-z]+", "_"), "^_+|_+$", "")
     return F.when(s != "", s)

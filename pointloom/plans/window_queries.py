@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..core import table
 from ..operators import windows as win
-from .adapters import FRM, OKP, REC, frames, records, seconds, valid_points
+from .adapters import FRM, OKP, REC, STA, frame_rows, frames, records, seconds, valid_points
 from .geometry_queries import rnd
 from .registry import query
 
@@ -82,16 +82,27 @@ def exponential_means(spark, d):
     return win.fold_rows(r, KEY, ["frame_index"], ["height_median_m"], win.ema_step(0.3), [("ema", "double")]).select(*KEY, "frame_index", rnd("ema", 9).alias("ema"))
 
 
-@query()
+@query(f"""with recursive {REC}, o as (select session_id, track_id, frame_index, case when not isnan(stamp_sec) then stamp_sec end as t, height_median_m as v, row_number() over ({_O}) as rn from rec),
+e as (select session_id, track_id, frame_index, rn, case when v is not null then t end as t0, case when t is not null then v end as m, case when t is not null then v end as l, v as tr, case when v is null then 1 else 0 end as missed from o where rn = 1
+ union all select session_id, track_id, frame_index, rn, case when v is null or t is null then t0 when m is null or t > t0 then t else t0 end, case when v is null or t is null then m when m is null then v when t > t0 then m + (1 - exp(-(t - t0) / 0.5)) * (v - m) else m end,
+  case when v is null or t is null then l when l is null then v when t > t0 then l + least(greatest(v - l, -0.8 * (t - t0)), 0.8 * (t - t0)) else l end,
+  case when v is null then case when missed + 1 >= 3 then null else tr end when tr is null or abs(v - tr) > 0.5 then v else tr + 0.3 * (v - tr) end, case when v is null then missed + 1 else 0 end
+ from (select o.session_id, o.track_id, o.frame_index, o.rn, o.t, o.v, e.t0, e.m, e.l, e.tr, e.missed from e join o on o.session_id = e.session_id and o.track_id = e.track_id and o.rn = e.rn + 1))
+select session_id, track_id, frame_index, round(m, 9) as ema, round(l, 9) as limited, round(tr, 9) as tracked from e""")
 def irregular_means_and_slew(spark, d):
     r = records(spark, d).select(*KEY, "frame_index", "stamp_sec", "height_median_m")
     e = win.fold_rows(r, KEY, ["frame_index"], ["stamp_sec", "height_median_m"], win.irregular_ema_step(0.5), [("ema", "double")])
     s = win.fold_rows(e, KEY, ["frame_index"], ["stamp_sec", "height_median_m"], win.slew_step(0.8), [("limited", "double")])
     j = win.fold_rows(s, KEY, ["frame_index"], ["height_median_m"], win.jump_ema_step(0.3, 0.5, 3), [("tracked", "double")])
-    return j.select(*KEY, "frame_index", *[rnd(c, 5).alias(c) for c in ("ema", "limited", "tracked")])
+    return j.select(*KEY, "frame_index", *[rnd(c, 9).alias(c) for c in ("ema", "limited", "tracked")])
 
 
-@query()
+@query(f"""with recursive {REC}, {STA}, o as (select session_id, track_id, frame_index, case when not isnan(stamp_sec) then stamp_sec end as t, plain as p, row_number() over ({_O}) as rn from sta),
+e as (select session_id, track_id, frame_index, rn, p, null::varchar as held, case when t is not null then p end as cand, case when t is not null and p is not null then t end as since, t as last from o where rn = 1
+ union all select session_id, track_id, frame_index, rn, p, case when done then c1 else held end, case when back or done then null else c1 end, case when back or done then null else s1 end, coalesce(t, last)
+ from (select *, coalesce(not back and c1 is not null and t - s1 >= case when c1 = 'lying' then 1.5 else 0.2 end, false) as done from (select *, case when p is null or p is not distinct from held then null else p end as c1, case when p is null or p is not distinct from held then null when p is distinct from cand then t else since end as s1
+ from (select o.session_id, o.track_id, o.frame_index, o.rn, o.t, o.p, e.held, e.cand, e.since, e.last, o.t is null or coalesce(o.t < e.last, false) as back from e join o on o.session_id = e.session_id and o.track_id = e.track_id and o.rn = e.rn + 1))))
+select session_id, track_id, frame_index, p as posture, held from e""")
 def dwell_postures(spark, d):
     from .streaming_states import plain_state
 
@@ -113,7 +124,7 @@ _FT = f"""{FRM}, ft as (select session_id, frame_index, max(stamp_sec + stamp_na
 def frame_times(spark, d):
     from ..operators.geometry import stamp_ok
 
-    f = frames(spark, d).filter(stamp_ok() & (F.col("count_points") >= 0) & F.col("frame_index").isNotNull())
+    f = frame_rows(spark, d).filter(stamp_ok() & (F.col("count_points") >= 0) & F.col("frame_index").isNotNull())
     return f.groupBy("session_id", "frame_index").agg(F.max(F.col("stamp_sec") + F.col("stamp_nanosec") / 1e9).alias("t"), F.max("count_points").alias("c"))
 
 

@@ -168,10 +168,11 @@ def freshness_step(tau: float, hot: float, cold: float):
 
 class Tracks:
     """Several tracks of one source: nearest candidate within a gate, birth after ``birth`` hits, explicit ambiguity,
-    expiry ``lost`` seconds after the last hit, ids never used again. At most ``most`` tracks are held."""
+    expiry ``lost`` seconds after the last hit, ids never used again. As many tracks are held as were seen within that
+    time."""
 
-    def __init__(self, gate: float, birth: int, lost: float, margin: float, most: int = 64):
-        self.gate, self.birth, self.lost, self.margin, self.most = gate, birth, lost, margin, most
+    def __init__(self, gate: float, birth: int, lost: float, margin: float):
+        self.gate, self.birth, self.lost, self.margin = gate, birth, lost, margin
 
     def __call__(self, state, t, xs, ys):
         tracks, next_id = state or ({}, 1)
@@ -197,7 +198,7 @@ class Tracks:
                     out.append(i)
         for j, (a, b) in enumerate(cand):
             near_any = any(math.hypot(a - tr[0], b - tr[1]) <= self.gate for tr in tracks.values())
-            if j not in used and not near_any and len(tracks) < self.most:
+            if j not in used and not near_any:
                 tracks[next_id] = (a, b, t, 1, 0.0, 0.0)
                 next_id += 1
         return (tracks, next_id), (sorted(out), len(tracks))
@@ -278,6 +279,6 @@ def motion_gate_step(frames: int, move: float, window_s: float):
         n += 1
         far = max(math.hypot(x - a, y - b) for _, a, b in hist)
         got = got or (n >= frames and far >= move)
-        return (hist[-256:], n, got), (got,)
+        return (hist, n, got), (got,)
 
     return step
