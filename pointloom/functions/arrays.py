@@ -43,3 +43,8 @@ def argmin(a: Column) -> Column:
 
 def argmax(a: Column) -> Column:
     return F.nullif(F.array_position(a, F.array_max(a)), F.lit(0)) - 1
+
+
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where the plan would otherwise repeat its expression."""
+    return F.get(F.transform(F.array(value), use), 0)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
+
 
 def nearest_return(df: DataFrame, cell: Sequence[str], dist: str, row: str) -> DataFrame:
     """The nearest row of each cell (ties: the smaller row number) with the number of rows it beat."""
@@ -120,15 +122,26 @@ def with_eigen(df: DataFrame, gap: float = 1.1) -> DataFrame:
     v3z, their greatest part positive); null where the middle eigenvalue is within ``gap`` of theirs: such an axis is
     ambiguous."""
     a = [F.col(k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")]
-    l1, l2, l3 = eigenvalues(*a)
-    e = df.withColumns({"l1": l1, "l2": l2, "l3": l3})
-    out = {}
-    for i, clear in ((1, F.col("l1") > gap * F.col("l2")), (3, F.col("l2") > gap * F.col("l3"))):
-        v = eigenvector(*a, F.col(f"l{i}"))
-        big = F.greatest(*[F.abs(c) for c in v])
-        sign = F.when((v[0] == big) | (v[1] == big) | (v[2] == big), 1.0).otherwise(-1.0)
-        out |= {f"v{i}{k}": F.when(clear, c * sign) for k, c in zip("xyz", v)}
-    return e.withColumns(out)
+
+    def system(l: Column) -> Column:
+        parts = [l["l1"].alias("l1"), l["l2"].alias("l2"), l["l3"].alias("l3")]
+        for i, clear in ((1, l["l1"] > gap * l["l2"]), (3, l["l2"] > gap * l["l3"])):
+            x, y, z = eigenvector(*a, l[f"l{i}"])
+            axis = bind(F.struct(x.alias("x"), y.alias("y"), z.alias("z")), _positive)
+            parts.append(F.when(clear, axis).alias(f"v{i}"))
+        return F.struct(*parts)
+
+    values = F.struct(*[v.alias(f"l{i}") for i, v in enumerate(eigenvalues(*a), 1)])
+    e = df.withColumn("__e", bind(values, system))
+    cols = {f"l{i}": F.col(f"__e.l{i}") for i in (1, 2, 3)} | {f"v{i}{k}": F.col(f"__e.v{i}.{k}") for i in (1, 3) for k in "xyz"}
+    return e.withColumns(cols).drop("__e")
+
+
+def _positive(v: Column) -> Column:
+    """The vector or its opposite, so that its greatest part is positive."""
+    big = F.greatest(*[F.abs(v[k]) for k in "xyz"])
+    sign = F.when((v["x"] == big) | (v["y"] == big) | (v["z"] == big), 1.0).otherwise(-1.0)
+    return F.struct(*[(v[k] * sign).alias(k) for k in "xyz"])
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float, n: int) -> DataFrame:
