@@ -144,6 +144,17 @@ def _positive(v: Column) -> Column:
     return F.struct(*[(v[k] * sign).alias(k) for k in "xyz"])
 
 
+def vertical_plane(covariances: DataFrame, name: str) -> DataFrame:
+    """(session_id, <name>x, <name>y, <name>z, <name>d): unit upward plane of the least-squares height over x and y, from centres
+    and covariances; none where the points lie on a line."""
+    xx, xy, xz, yy, yz = (F.col(k) for k in ("xx", "xy", "xz", "yy", "yz"))
+    det = xx * yy - xy * xy
+    s = covariances.filter(det > 1e-9).select("session_id", "mx", "my", "mz", ((xz * yy - yz * xy) / det).alias("p"), ((yz * xx - xz * xy) / det).alias("q"))
+    p, q = F.col("p"), F.col("q")
+    n = F.sqrt(1 + p * p + q * q)
+    return s.select("session_id", (-p / n).alias(f"{name}x"), (-q / n).alias(f"{name}y"), (1 / n).alias(f"{name}z"), ((p * F.col("mx") + q * F.col("my") - F.col("mz")) / n).alias(f"{name}d"))
+
+
 def histogram(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float, n: int) -> DataFrame:
     """(keys, bin, rows) over n equal bins of [lo, hi]; the last takes hi, the rest is left out."""
     b = F.least(F.floor((F.col(value) - lo) / ((hi - lo) / n)), F.lit(n - 1)).cast("int")

@@ -127,6 +127,61 @@ def decayed(f: Column, dt: Column, tau: float) -> Column:
     return f * F.exp(-dt / tau)
 
 
+def decayed_linear(f: Column, dt: Column, tau: float) -> Column:
+    return F.greatest(F.lit(0.0), f - dt / tau)
+
+
+def heat_rgb(f: Column) -> tuple[Column, Column, Column]:
+    """Red, green and blue of a heat between 0 and 1."""
+    t = F.least(F.greatest(f, F.lit(0.0)), F.lit(1.0))
+    return F.sqrt(t), 0.85 * t * t, 0.55 * t * t * t
+
+
+def weighted_score(parts: Sequence[tuple[float, Column]]) -> Column:
+    """Sum of weighted ramps; a missing one adds nothing."""
+    return sum((w * F.coalesce(c, F.lit(0.0)) for w, c in parts[1:]), parts[0][0] * F.coalesce(parts[0][1], F.lit(0.0)))
+
+
+def shape_scalars() -> dict[str, tuple[Column, int]]:
+    """Ratios of a block of cells (cells, rows_, cols_, med, r2, sx, sy, sz), each with the digits it is good for."""
+    n, area = F.col("cells"), F.col("sx") * F.col("sy")
+    return {
+        "fill_ratio": (n / (F.col("rows_") * F.col("cols_")), 6), "aspect": (F.col("cols_") / F.col("rows_"), 6), "range_squared_sum": (F.col("r2"), 4),
+        "elongation": (F.greatest("sx", "sy") / F.greatest(F.least("sx", "sy"), F.lit(1e-6)), 4), "points_per_m2": (n / F.greatest(area, F.lit(1e-6)), 2),
+        "compensated_count": (n / F.greatest(F.col("med") * F.col("med"), F.lit(1e-6)), 4), "height_over_footprint": (F.when(area > 1e-9, F.col("sz") / F.sqrt(area)), 4),
+    }
+
+
+class Camera:
+    """Pin-hole camera at a place with unit axes forward, right and up; pixels count from the upper left corner."""
+
+    def __init__(self, at: Sequence[float], forward: Sequence[float], right: Sequence[float], up: Sequence[float], focal: float, width: float, height: float):
+        self.at, self.axes, self.focal, self.mid = at, (forward, right, up), focal, (width / 2, height / 2)
+
+    def pixel(self, x: str, y: str, z: str) -> tuple[Column, Column]:
+        """u, v of a point ahead of the camera, else null."""
+        d = [F.col(c) - float(a) for c, a in zip((x, y, z), self.at)]
+        f, r, u = (d[0] * a[0] + d[1] * a[1] + d[2] * a[2] for a in self.axes)
+        ahead = F.when(f > 1e-9, f)
+        return self.mid[0] + self.focal * r / ahead, self.mid[1] - self.focal * u / ahead
+
+    def ray(self, u: Column, v: Column) -> list[Column]:
+        """Unit direction through a pixel."""
+        a, b = (u - self.mid[0]) / self.focal, (self.mid[1] - v) / self.focal
+        d = [F.lit(float(f)) + a * float(r) + b * float(t) for f, r, t in zip(*self.axes)]
+        n = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+        return [c / n for c in d]
+
+
+def nominal_model(df: DataFrame, pitch: str, height: str) -> DataFrame:
+    """Adds the turning part (r00, r02, r20, r22), the shift tz and model_id of a levelling model declared by pitch down in
+    ten-thousandths of a degree and height in millimetres. Rows beyond 90 degrees or outside 0 to 50 m have no model."""
+    ok = df.filter(F.col(pitch).between(-900_000, 900_000) & F.col(height).between(0, 50_000))
+    a = F.radians(F.col(pitch) / 10000.0)
+    name = F.sha2(F.concat(F.lit("nominal;pitch="), F.col(pitch).cast("string"), F.lit(";height="), F.col(height).cast("string")), 256)
+    return ok.withColumns({"r00": F.cos(a), "r02": F.sin(a), "r20": -F.sin(a), "r22": F.cos(a), "tz": F.col(height) / 1000.0, "model_id": name})
+
+
 def selection_score(n: Column, dist: Column) -> Column:
     """Rises with points, falls with distance."""
     return F.log1p(n) / F.greatest(F.lit(0.5), dist)

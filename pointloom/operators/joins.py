@@ -60,6 +60,13 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], cols:
     return left.select(left_id).distinct().join(best, left_id, "left")
 
 
+def k_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str], radius: float, row_id: str, k: int) -> DataFrame:
+    """(row_id, k, row_id_r, dist): the k nearest right rows of each left row within the radius, ties by the smaller id."""
+    pairs = radius_join(left.select(*keys, row_id, *cols), right.select(*keys, row_id, *cols), keys, cols, radius)
+    w = W.partitionBy(row_id).orderBy("dist", f"{row_id}_r")
+    return pairs.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k).select(row_id, "k", f"{row_id}_r", "dist")
+
+
 def band_lookup(df: DataFrame, grid: DataFrame, tol: float) -> DataFrame:
     """Each row's direction cell: the grid column of its ring whose azimuth is nearest within ``tol`` degrees (ties: the
     smaller column). Three buckets of tol wide hold every candidate; rows without one keep null."""

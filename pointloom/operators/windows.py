@@ -219,6 +219,19 @@ def choose_with_ambiguity(df: DataFrame, keys: Sequence[str], order: Sequence[Co
     return d.filter("rank = 1").withColumn("ambiguous", F.coalesce(F.col("second") >= ratio * F.col(score), F.lit(False))).drop("rank")
 
 
+def strict_duration(df: DataFrame, keys: Sequence[str], order: str, time: str, inside: str, binding: Column, max_gap: float) -> DataFrame:
+    """Adds duration_s: seconds that ``inside`` has held without a missing index, a step of none or over ``max_gap`` seconds,
+    or another binding; 0 where it doesn't hold."""
+    w = over(keys, [order])
+    d = df.withColumn("__b", binding)
+    step = F.col(time) - F.lag(time).over(w)
+    on = F.coalesce(F.lag(inside).over(w), F.lit(False)) & (F.col(order) == F.lag(order).over(w) + 1) & F.col("__b").eqNullSafe(F.lag("__b").over(w)) & F.coalesce((step > 0) & (step <= max_gap), F.lit(False))
+    d = d.withColumn("__cut", (~(F.col(inside) & on)).cast("int"))
+    d = d.withColumn("__run", F.sum("__cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    since = F.min(time).over(W.partitionBy(*keys, "__run"))
+    return d.withColumn("duration_s", F.when(F.col(inside), F.col(time) - since).otherwise(0.0)).drop("__b", "__cut", "__run")
+
+
 def skipped(df: DataFrame, keys: Sequence[str], order: Sequence[str], index: str) -> DataFrame:
     """Adds skipped: how many indices are missing before each row."""
     last = F.max(index).over(over(keys, order).rowsBetween(W.unboundedPreceding, -1))
