@@ -11,7 +11,7 @@ itself between its messages. The result equals one uncut pass, and no task ever
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,101 +80,136 @@ def _predict(l, v, a, b, c, dt):
 
 
 def _combine(e, f):
-    """The filtering element of e followed by f; an element is (A, b, C, eta, J)."""
+    """The filtering elements of e followed by f, many at once; an element is (A, b, C, eta, J) with vectors as columns."""
     a1, b1, c1, h1, j1 = e
     a2, b2, c2, h2, j2 = f
     eye = np.eye(2)
     d = np.linalg.inv(eye + c1 @ j2)
     g = np.linalg.inv(eye + j2 @ c1)
-    return (a2 @ d @ a1, a2 @ d @ (b1 + c1 @ h2) + b2, a2 @ d @ c1 @ a2.T + c2, a1.T @ g @ (h2 - j2 @ b1) + h1, a1.T @ g @ j2 @ a1 + j1)
+    t1, t2 = a1.swapaxes(-1, -2), a2.swapaxes(-1, -2)
+    return (a2 @ d @ a1, a2 @ d @ (b1 + c1 @ h2) + b2, a2 @ d @ c1 @ t2 + c2, t1 @ g @ (h2 - j2 @ b1) + h1, t1 @ g @ j2 @ a1 + j1)
 
 
-def _step(dt: float, y: float | None, r: float):
-    f = np.array([[1.0, dt], [0.0, 1.0]])
+def _steps(dt: np.ndarray, y: np.ndarray, r: np.ndarray):
+    """Elements of steps of ``dt`` seconds, each with a reading y of variance r at its end (an infinite one: none)."""
+    n = len(dt)
+    zero, one = np.zeros(n), np.ones(n)
+    f = np.stack([np.stack([one, dt], -1), np.stack([zero, one], -1)], -2)
     _, _, a, b, c = _predict(0.0, 0.0, 0.0, 0.0, 0.0, dt)
-    q = np.array([[a, b], [b, c]])
-    if y is None:
-        return f, np.zeros(2), q, np.zeros(2), np.zeros((2, 2))
-    h = np.array([1.0, 0.0])
+    q = np.stack([np.stack([a, b], -1), np.stack([b, c], -1)], -2)
     s = a + r
-    k = q @ h / s
-    ikh = np.eye(2) - np.outer(k, h)
-    fh = f.T @ h
-    return ikh @ f, k * y, ikh @ q, fh * y / s, np.outer(fh, fh) / s
+    k = np.stack([a / s, b / s], -1)[..., None]
+    h = np.array([[1.0, 0.0]])
+    ikh = np.eye(2) - k @ h
+    fh = f.swapaxes(-1, -2) @ h.T
+    return ikh @ f, k * y[:, None, None], ikh @ q, fh * (y / s)[:, None, None], fh @ fh.swapaxes(-1, -2) / s[:, None, None]
 
 
 def _fold_chunk(ts, ys, ns, length: float):
-    """The element of a chunk that runs from 0 to ``length`` seconds."""
-    e, at = _step(0.0, None, 1.0), 0.0
-    for t, y, n in zip(ts, ys, ns):
-        e, at = _combine(e, _step(t - at, y, 1.0 / n)), t
-    return _combine(e, _step(length - at, None, 1.0))
-
-
-def _smooth_chunk(ts, ys, ns, slots: int, length: float, forward, backward):
-    """Smoothed level and its deviation at the centre of each slot of one chunk."""
-    nodes = sorted([(t, 0, y, n) for t, y, n in zip(ts, ys, ns)] + [((k + 0.5) * SLOT_SEC, 1, k, 0) for k in range(slots)])
-    l, v, a, b, c = forward
-    at, kept = 0.0, []
-    for t, kind, y, n in nodes:
-        l, v, a, b, c = pre = _predict(l, v, a, b, c, t - at)
-        at = t
-        if kind == 0:
-            s = a + 1.0 / n
-            k0, k1, z = a / s, b / s, y - l
-            l, v, a, b, c = l + k0 * z, v + k1 * z, a * (1 - k0), b * (1 - k0), c - k1 * b
-        kept.append((t, kind, y, pre, (l, v, a, b, c)))
-    end = _predict(l, v, a, b, c, length - at)
-    h0, h1, j00, j01, j11 = backward
-    l, v, a, b, c = end
+    """The element of a chunk that runs from 0 to ``length`` seconds: its steps are combined in pairs, pairs of pairs, ..."""
+    at = np.concatenate([[0.0], ts, [length]])
+    e = _steps(np.diff(at), np.append(ys, 0.0), np.append(1.0 / np.asarray(ns, "float64"), np.inf))
+    while len(e[0]) > 1:
+        n = len(e[0]) // 2 * 2
+        pairs = _combine([x[0:n:2] for x in e], [x[1:n:2] for x in e])
+        e = [np.concatenate([p, x[n:]]) for p, x in zip(pairs, e)]
+    a, b, c, h, j = (x[0] for x in e)
+    return a, b[:, 0], c, h[:, 0], j
+
+
+#: Nodes (readings and grid times) that are smoothed side by side.
+NODES = 1_000_000
+
+
+def _smooth_lanes(lane, ts, ys, ns, slots, forward, backward):
+    """Smoothed level and its deviation at the centres of all slots of several chunks, lane by lane.
+
+    lane, ts, ys, ns: the readings of all lanes; slots: slots of each lane; forward, backward: a row of messages each. All
+    lanes take a step at once, the longest first, so Python's cost is that of the longest lane.
+    """
+    lanes = len(slots)
+    slot_lane = np.repeat(np.arange(lanes), slots)
+    slot = np.arange(len(slot_lane)) - np.repeat(np.cumsum(slots) - slots, slots)
+    where = np.concatenate([lane, slot_lane])
+    t = np.concatenate([ts, (slot + 0.5) * SLOT_SEC])
+    kind = np.concatenate([np.zeros(len(lane), "int8"), np.ones(len(slot), "int8")])
+    size = np.bincount(where, minlength=lanes)
+    rank = np.empty(lanes, "int64")
+    longest = np.argsort(-size, kind="stable")
+    rank[longest] = np.arange(lanes)
+    order = np.lexsort((kind, t, rank[where]))
+    size = size[longest]
+    col = rank[where][order]
+    row = np.arange(len(order)) - (np.cumsum(size) - size)[col]
+    depth = int(size[0]) if lanes else 0
+    time, seen = np.zeros((depth, lanes)), np.zeros((depth, lanes), bool)
+    value, noise, target = np.zeros((depth, lanes)), np.ones((depth, lanes)), np.full((depth, lanes), -1)
+    time[row, col], seen[row, col] = t[order], kind[order] == 0
+    value[row, col] = np.concatenate([ys, np.zeros(len(slot))])[order]
+    noise[row, col] = np.concatenate([1.0 / np.asarray(ns, "float64"), np.ones(len(slot))])[order]
+    target[row, col] = np.concatenate([np.full(len(lane), -1), np.arange(len(slot))])[order]
+    live = np.searchsorted(-size, -np.arange(depth), "left")
+    state, at = forward[longest].T.copy(), np.zeros(lanes)
+    before, after = np.zeros((depth, 5, lanes)), np.zeros((depth, 5, lanes))
+    for k in range(depth):
+        m = live[k]
+        l, v, a, b, c = before[k, :, :m] = np.stack(_predict(*state[:, :m], time[k, :m] - at[:m]))
+        s = a + noise[k, :m]
+        z = np.where(seen[k, :m], value[k, :m] - l, 0.0)
+        k0, k1 = np.where(seen[k, :m], a / s, 0.0), np.where(seen[k, :m], b / s, 0.0)
+        after[k, :, :m] = state[:, :m] = np.stack([l + k0 * z, v + k1 * z, a * (1 - k0), b * (1 - k0), c - k1 * b])
+        at[:m] = time[k, :m]
+    length = slots[longest] * SLOT_SEC
+    nxt = np.stack(_predict(*state, length - at))
+    l, v, a, b, c = nxt
+    h0, h1, j00, j01, j11 = backward[longest].T
     # posterior of the end state: precision P^-1 + J, by (I + P J)^-1 P
     m00, m01, m10, m11 = 1 + a * j00 + b * j01, a * j01 + b * j11, b * j00 + c * j01, 1 + b * j01 + c * j11
     det = m00 * m11 - m01 * m10
     u0, u1 = l + a * h0 + b * h1, v + b * h0 + c * h1
-    sl, sv = (m11 * u0 - m01 * u1) / det, (m00 * u1 - m10 * u0) / det
-    sa, sb, sc = (m11 * a - m01 * b) / det, (m11 * b - m01 * c) / det, (m00 * c - m10 * b) / det
-    value, dev = np.empty(slots), np.empty(slots)
-    nxt_t, nxt = length, end
-    for t, kind, y, pre, post in reversed(kept):
-        l, v, a, b, c = post
-        dt = nxt_t - t
-        pl, pv, pa, pb, pc = nxt
+    smooth = np.stack([(m11 * u0 - m01 * u1) / det, (m00 * u1 - m10 * u0) / det, (m11 * a - m01 * b) / det, (m11 * b - m01 * c) / det, (m00 * c - m10 * b) / det])
+    at = length
+    out, dev = np.empty(len(slot)), np.empty(len(slot))
+    for k in range(depth - 1, -1, -1):
+        m = live[k]
+        l, v, a, b, c = after[k, :, :m]
+        pl, pv, pa, pb, pc = nxt[:, :m]
+        dt = at[:m] - time[k, :m]
         # gain G = P F' (predicted P)^-1
         f0, f1, f2, f3 = a + b * dt, b, b + c * dt, c
         det = pa * pc - pb * pb
-        if det > 0:
-            g00, g01, g10, g11 = (f0 * pc - f1 * pb) / det, (f1 * pa - f0 * pb) / det, (f2 * pc - f3 * pb) / det, (f3 * pa - f2 * pb) / det
-        else:
-            g00, g01, g10, g11 = 1.0, 0.0, 0.0, 1.0
-        dl, dv, da, db, dc = sl - pl, sv - pv, sa - pa, sb - pb, sc - pc
-        sl, sv = l + g00 * dl + g01 * dv, v + g10 * dl + g11 * dv
+        ok = det > 0
+        det = np.where(ok, det, 1.0)
+        g00, g01 = np.where(ok, (f0 * pc - f1 * pb) / det, 1.0), np.where(ok, (f1 * pa - f0 * pb) / det, 0.0)
+        g10, g11 = np.where(ok, (f2 * pc - f3 * pb) / det, 0.0), np.where(ok, (f3 * pa - f2 * pb) / det, 1.0)
+        dl, dv, da, db, dc = smooth[:, :m] - nxt[:, :m]
         x00, x01, x10, x11 = g00 * da + g01 * db, g00 * db + g01 * dc, g10 * da + g11 * db, g10 * db + g11 * dc
-        sa, sb, sc = a + x00 * g00 + x01 * g01, b + x00 * g10 + x01 * g11, c + x10 * g10 + x11 * g11
-        if kind == 1:
-            value[y], dev[y] = sl, math.sqrt(max(sa, 0.0))
-        nxt_t, nxt = t, pre
-    return value, dev
+        smooth[:, :m] = np.stack([l + g00 * dl + g01 * dv, v + g10 * dl + g11 * dv, a + x00 * g00 + x01 * g01, b + x00 * g10 + x01 * g11, c + x10 * g10 + x11 * g11])
+        grid = np.flatnonzero(~seen[k, :m])
+        out[target[k, grid]], dev[target[k, grid]] = smooth[0, grid], np.sqrt(np.maximum(smooth[2, grid], 0.0))
+        nxt[:, :m], at[:m] = before[k, :, :m], time[k, :m]
+    return out, dev
 
 
 _START = (0.0, 0.0, PRIOR[0], 0.0, PRIOR[1])
 _NONE = (0.0,) * 5
 
 
-def _observations(pdf: pd.DataFrame, lo: int, hi: int, chunk: int):
-    first, mean, scale = int(pdf["first"].iat[lo]), pdf["mean"].iat[lo], pdf["scale"].iat[lo]
-    rows = pdf.iloc[lo:hi]
-    rows = rows[rows["n"] > 0]
-    at = rows["slot_no"].to_numpy("int64") - first - chunk * CHUNK
-    return at, (at * SLOT_SEC + rows["t"].to_numpy()).tolist(), ((rows["y"].to_numpy() - mean) / scale).tolist(), rows["n"].tolist()
+def _observations(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Of the rows that hold readings: row, slot within the chunk, seconds from the chunk's start, scaled value, count."""
+    row = np.flatnonzero((pdf["n"] > 0).to_numpy())
+    r = pdf.iloc[row]
+    at = (r["slot_no"].to_numpy("float64") - r["first"].to_numpy("float64")).astype("int64") - r["chunk"].to_numpy("int64") * CHUNK
+    return row, at, at * SLOT_SEC + r["t"].to_numpy("float64"), ((r["y"] - r["mean"]) / r["scale"]).to_numpy("float64"), r["n"].to_numpy("int64")
 
 
 def _elements(pdf: pd.DataFrame) -> pd.DataFrame:
     cuts, out = group_starts(pdf, ["session_id", "chunk"]), []
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        chunk = int(pdf["chunk"].iat[lo])
-        _, ts, ys, ns = _observations(pdf, lo, hi, chunk)
-        a, b, c, h, j = _fold_chunk(ts, ys, ns, CHUNK * SLOT_SEC)
-        out.append((pdf["session_id"].iat[lo], chunk, *a.ravel(), *b, c[0, 0], c[0, 1], c[1, 1], *h, j[0, 0], j[0, 1], j[1, 1]))
+    row, _, ts, ys, ns = _observations(pdf)
+    at = np.searchsorted(row, cuts)
+    for lo, x, y in zip(cuts[:-1], at[:-1], at[1:]):
+        a, b, c, h, j = _fold_chunk(ts[x:y], ys[x:y], ns[x:y], CHUNK * SLOT_SEC)
+        out.append((pdf["session_id"].iat[lo], int(pdf["chunk"].iat[lo]), *a.ravel(), *b, c[0, 0], c[0, 1], c[1, 1], *h, j[0, 0], j[0, 1], j[1, 1]))
     return pd.DataFrame(out, columns=["session_id", "chunk", *_ELEMENT])
 
 
@@ -201,28 +236,38 @@ def _messages(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["session_id", "chunk", *_MSG])
 
 
-def _smoothed(pdf: pd.DataFrame) -> pd.DataFrame:
-    cuts, parts = group_starts(pdf, ["session_id", "chunk"]), []
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        chunk = int(pdf["chunk"].iat[lo])
-        first, last = int(pdf["first"].iat[lo]), int(pdf["last"].iat[lo])
-        start = first + chunk * CHUNK
-        slots = min(CHUNK, last - start + 1)
-        at, ts, ys, ns = _observations(pdf, lo, hi, chunk)
-        forward, backward = _START, _NONE
-        if last - first >= CHUNK:
-            known = pdf[_MSG].iloc[lo:hi].dropna().to_numpy()[0].tolist()
-            forward, backward = tuple(known[:5]), tuple(known[5:])
-        value, dev = _smooth_chunk(ts, ys, ns, slots, slots * SLOT_SEC, forward, backward)
-        n = np.zeros(slots, "int64")
-        n[at] = ns
-        mean, scale = pdf["mean"].iat[lo], pdf["scale"].iat[lo]
-        parts.append(
-            pd.DataFrame(
-                {"session_id": pdf["session_id"].iat[lo], "slot_no": np.arange(start, start + slots), "value": value * scale + mean, "sd": dev * scale, "missing": n == 0, "readings": n}
-            )
-        )
-    return pd.concat(parts, ignore_index=True)
+def _smoothed(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    cuts = group_starts(pdf, ["session_id", "chunk"])
+    head = pdf.iloc[cuts[:-1]]
+    start = head["first"].to_numpy("int64") + head["chunk"].to_numpy("int64") * CHUNK
+    slots = np.minimum(CHUNK, head["last"].to_numpy("int64") - start + 1)
+    # messages stand in one row of a chunk, if its source is longer than one
+    lane_of = np.repeat(np.arange(len(start)), np.diff(cuts))
+    forward, backward = np.tile(np.array(_START), (len(start), 1)), np.zeros((len(start), 5))
+    told = np.flatnonzero(pdf[_MSG[0]].notna().to_numpy())
+    known = pdf[_MSG].iloc[told].to_numpy("float64")
+    forward[lane_of[told]], backward[lane_of[told]] = known[:, :5], known[:, 5:]
+    row, at, ts, ys, ns = _observations(pdf)
+    lane = lane_of[row]
+    size = slots + np.bincount(lane, minlength=len(slots))
+    # side by side as many chunks of like length as fit
+    by_size = np.argsort(-size, kind="stable")
+    lo = 0
+    while lo < len(by_size):
+        hi = lo + max(1, NODES // int(size[by_size[lo]]))
+        some = by_size[lo:hi]
+        lo = hi
+        place = np.full(len(slots), -1)
+        place[some] = np.arange(len(some))
+        mine = place[lane] >= 0
+        here = place[lane[mine]]
+        value, dev = _smooth_lanes(here, ts[mine], ys[mine], ns[mine], slots[some], forward[some], backward[some])
+        n = np.zeros(len(value), "int64")
+        n[(np.cumsum(slots[some]) - slots[some])[here] + at[mine]] = ns[mine]
+        long = np.repeat(some, slots[some])
+        mean, scale = head["mean"].to_numpy("float64")[long], head["scale"].to_numpy("float64")[long]
+        first = np.repeat(start[some] - (np.cumsum(slots[some]) - slots[some]), slots[some])
+        yield pd.DataFrame({"session_id": head["session_id"].to_numpy()[long], "slot_no": first + np.arange(len(long)), "value": value * scale + mean, "sd": dev * scale, "missing": n == 0, "readings": n})
 
 
 def regular_grid(meta: DataFrame) -> DataFrame:

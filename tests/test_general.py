@@ -91,9 +91,14 @@ def dense_smoother(slots, readings):
 def test_smoother_matches_dense_solution():
     rng = np.random.RandomState(1)
     readings = [(k * 0.5 + 0.1 + 0.2 * rng.rand(), float(rng.randn() + k * 0.3), int(rng.randint(1, 4))) for k in (0, 1, 2, 6, 7, 12)]
-    v, d = regular_grid._smooth_chunk(*map(list, zip(*readings)), 13, 6.5, regular_grid._START, regular_grid._NONE)
-    want = dense_smoother(13, readings)
-    assert np.allclose(v, [want[k][0] for k in range(13)], atol=1e-4) and np.allclose(d, [want[k][1] for k in range(13)], atol=1e-4)
+    # two lanes of different length side by side
+    some = readings[:3]
+    t, y, n = (np.array(x) for x in zip(*readings, *some))
+    lane = np.array([0] * len(readings) + [1] * len(some))
+    v, d = regular_grid._smooth_lanes(lane, t, y, n, np.array([13, 5]), np.tile(regular_grid._START, (2, 1)), np.zeros((2, 5)))
+    for at, slots, r in ((0, 13, readings), (13, 5, some)):
+        want = dense_smoother(slots, r)
+        assert np.allclose(v[at : at + slots], [want[k][0] for k in range(slots)], atol=1e-4) and np.allclose(d[at : at + slots], [want[k][1] for k in range(slots)], atol=1e-4)
 
 
 def test_grid_chunks_give_the_uncut_result(spark, monkeypatch):
@@ -131,7 +136,7 @@ def _regrid(pdf, chunk):
             every = pd.concat([marked, r.drop(columns="v")]).sort_values(["chunk", "slot_no"], na_position="first", ignore_index=True)
         else:
             every = r.drop(columns="v").assign(**{c: np.nan for c in regular_grid._MSG})
-        out.append(regular_grid._smoothed(every.reset_index(drop=True)))
+        out += list(regular_grid._smoothed(every.reset_index(drop=True)))
     return pd.concat(out)
 
 
