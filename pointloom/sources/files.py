@@ -6,7 +6,6 @@ import hashlib
 import io
 import json
 import os
-import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -15,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: The 28-byte little-endian point record.
 POINT_RECORD = np.dtype({"names": ["x", "y", "z", "intensity", "ring", "ts"], "formats": ["<f4", "<f4", "<f4", "<f4", "<u2", "<f4"], "offsets": [0, 4, 8, 12, 16, 20], "itemsize": 28})
@@ -46,80 +44,41 @@ def decode_wire(data: bytes, fields: list[tuple[str, int, int]], step: int, big_
     return pd.DataFrame({n: a[n].astype(a[n].dtype.newbyteorder("=")) for n in t.names})
 
 
-def parse_wire(raw: bytes, max_bytes: int = 64 << 20) -> pd.DataFrame:
-    """A length-checked wire message: counts and texts as u32 + bytes: fields (name, offset u32, type u8), row step u32,
-    data. Anything short, long or left over is an error."""
-    if len(raw) > max_bytes:
-        raise ValueError("message too long")
-    at = 0
-
-    def take(n: int) -> bytes:
-        nonlocal at
-        if n < 0 or at + n > len(raw):
-            raise ValueError("message ends early")
-        at += n
-        return raw[at - n : at]
-
-    def u32() -> int:
-        return struct.unpack("<I", take(4))[0]
-
-    count = u32()
-    if count > 64:
-        raise ValueError("too many fields")
-    fields = [(take(u32()).decode("utf-8"), u32(), take(1)[0]) for _ in range(count)]
-    step = u32()
-    data = take(u32())
-    if at != len(raw):
-        raise ValueError("bytes left over")
-    return decode_wire(data, fields, step)
-
-
-class _Slice(InputPartition):
-    def __init__(self, folder: str, lo: int, hi: int):
-        self.folder, self.lo, self.hi = folder, lo, hi
-
-
-class SessionPoints(DataSource):
-    """spark.read.format("session_points").load(root): point rows of every session folder (meta.json + points.bin) under
-    root. One partition per ``frames`` frames, read by offset and count, so a session of any length is split."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "session_points"
-
-    def schema(self) -> str:
-        return POINT_SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _SessionReader(self.options["path"], int(self.options.get("frames", "512")))
-
-
-class _SessionReader(DataSourceReader):
-    def __init__(self, root: str, frames: int):
-        self.root, self.frames = root, frames
-
-    def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for name in sorted(os.listdir(self.root)):
-            folder = os.path.join(self.root, name)
-            if os.path.isfile(os.path.join(folder, "meta.json")):
-                with open(os.path.join(folder, "meta.json")) as f:
-                    n = len(json.load(f)["frames"])
-                out += [_Slice(folder, k, min(k + self.frames, n)) for k in range(0, n, self.frames)]
-        return out or [_Slice("", 0, 0)]
-
-    def read(self, part: _Slice) -> Iterator[tuple]:
-        if not part.folder:
-            return
-        with open(os.path.join(part.folder, "meta.json")) as f:
-            meta = json.load(f)
-        with open(os.path.join(part.folder, "points.bin"), "rb") as f:
-            for k in range(part.lo, part.hi):
-                frame = meta["frames"][k]
-                f.seek(frame["offset_points"] * POINT_RECORD.itemsize)
-                rows = decode_points(f.read(frame["count_points"] * POINT_RECORD.itemsize))
-                for r, p in enumerate(rows.itertuples(index=False)):
-                    yield (meta["session_id"], k, frame["offset_points"] + r, *[float(v) for v in p[:4]], int(p.ring), float(p.ts))
+def read_sessions(spark: SparkSession, root: str, frames: int = 512) -> DataFrame:
+    """Point rows of every session folder (meta.json + points.bin) under root.
+
+    The meta files are read and cut into slices of ``frames`` frames by tasks; each slice then reads its own bytes of
+    points.bin through pyarrow's file systems, so a session of any length is split and nothing is opened by the driver.
+    """
+    metas = spark.read.option("wholetext", True).text(f"{root}/*/meta.json").select(F.input_file_name().alias("path"), "value")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["value"]):
+                meta = json.loads(text)
+                for k in range(0, len(meta["frames"]), frames):
+                    some = meta["frames"][k : k + frames]
+                    rows.append((path.rsplit("/", 1)[0], meta["session_id"], k, [f["offset_points"] for f in some], [f["count_points"] for f in some]))
+            yield pd.DataFrame(rows, columns=["folder", "session_id", "first", "offsets", "counts"])
+
+    slices = metas.mapInPandas(cut, "folder string, session_id string, first int, offsets array<bigint>, counts array<bigint>")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        size = POINT_RECORD.itemsize
+        for pdf in batches:
+            for folder, sid, first, offsets, counts in zip(*[pdf[c] for c in ("folder", "session_id", "first", "offsets", "counts")]):
+                system, name = fs.FileSystem.from_uri(folder + "/points.bin")
+                with system.open_input_file(name) as f:
+                    for k, (at, n) in enumerate(zip(offsets, counts)):
+                        p = decode_points(f.read_at(int(n) * size, int(at) * size))
+                        if len(p) != n:
+                            raise ValueError(f"frame {first + k} of {sid} ends early")
+                        yield p.assign(session_id=sid, frame_index=first + k, source_row=np.arange(at, at + n))[[c.split()[0] for c in POINT_SCHEMA.split(", ")]]
+
+    return slices.repartition(F.xxhash64("folder", "first")).mapInPandas(read, POINT_SCHEMA)
 
 
 def write_session(folder: str, session_id: str, frames: list[pd.DataFrame]) -> None:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.operators import aggregates, clustering, fitting, geometry, models, windows
-from pointloom.sources import files
+from pointloom.sources import bags, files
 from pointloom.streaming import stateful
 
 
@@ -139,28 +139,106 @@ def frame(n, k):
     return pd.DataFrame({"x": np.arange(n) + k, "y": 1.0, "z": 2.0, "intensity": 3.0, "ring": np.arange(n) % 5, "ts": 0.5}).astype("float64")
 
 
-def test_sessions_and_wire(spark, tmp_path):
-    import struct
-
+def test_sessions_and_layouts(spark, tmp_path):
     a = frame(4, 0)
     a.loc[1, "x"] = np.nan
-    files.write_session(str(tmp_path / "s1"), "s1", [a, frame(3, 10), frame(0, 0)])
-    spark.dataSource.register(files.SessionPoints)
-    got = spark.read.format("session_points").option("frames", "1").load(str(tmp_path)).orderBy("source_row").toPandas()
-    assert got["x"].tolist() == [0, 2, 3, 10, 11, 12] and got["frame_index"].tolist() == [0, 0, 0, 1, 1, 1] and got["session_id"].eq("s1").all()
+    files.write_session(str(tmp_path / "s 1"), "s1", [a, frame(3, 10), frame(0, 0)])
+    files.write_session(str(tmp_path / "s2"), "s2", [])
+    for n in (1, 512):
+        got = files.read_sessions(spark, str(tmp_path), n).orderBy("source_row").toPandas()
+        assert got["x"].tolist() == [0, 2, 3, 10, 11, 12] and got["frame_index"].tolist() == [0, 0, 0, 1, 1, 1] and got["session_id"].eq("s1").all()
     with pytest.raises(FileExistsError):
-        files.write_session(str(tmp_path / "s1"), "s1", [])
-    data = b"".join(struct.pack("<fH", v, 7) for v in (1.0, float("nan")))
-    msg = struct.pack("<I", 2) + b"".join(struct.pack("<I", len(n)) + n + struct.pack("<I", o) + bytes([k]) for n, o, k in ((b"x", 0, 7), (b"ring", 4, 4))) + struct.pack("<I", 6) + struct.pack("<I", len(data)) + data
-    w = files.parse_wire(msg)
-    assert len(w) == 2 and w["ring"].tolist() == [7, 7] and np.isnan(w["x"][1])
-    for bad in (msg[:-1], msg + b"x"):
-        with pytest.raises(ValueError):
-            files.parse_wire(bad)
+        files.write_session(str(tmp_path / "s 1"), "s1", [])
     with pytest.raises(ValueError):
         files.decode_wire(b"1234", [("a", 0, 7), ("b", 2, 4)], 4)
 
 
+FIELDS = [("x", 0, 7), ("y", 4, 7), ("z", 8, 7), ("intensity", 12, 7), ("ring", 16, 4), ("timestamp", 18, 8)]
+
+
+def cloud_message(rows, seq=3, stamp=(7, 500_000_000), pad=0, fields=FIELDS, tail=b"\x01"):
+    import struct
+
+    text = lambda t: struct.pack("<I", len(t)) + t.encode()
+    data = b"".join(struct.pack("<ffffHd", *r) for r in rows) + b"\0" * pad
+    out = struct.pack("<III", seq, *stamp) + text("lidar") + struct.pack("<II", 1, len(rows)) + struct.pack("<I", len(fields))
+    out += b"".join(text(n) + struct.pack("<IBI", o, k, 1) for n, o, k in fields)
+    return out + struct.pack("<?III", False, 26, 26 * len(rows) + pad, len(data)) + data + tail
+
+
+def bag_file(path, chunks, closed=True):
+    """A bag of format 2.0: chunks are lists of (connection, topic, type, seconds, data) with a compression each."""
+    import bz2
+    import struct
+
+    def record(head, data):
+        h = b"".join(struct.pack("<I", len(k) + 1 + len(v)) + k + b"=" + v for k, v in head.items())
+        return struct.pack("<I", len(h)) + h + struct.pack("<I", len(data)) + data
+
+    def connection(k, topic, typ):
+        inner = b"".join(struct.pack("<I", len(n) + 1 + len(v)) + n + b"=" + v for n, v in ((b"topic", topic.encode()), (b"type", typ.encode()), (b"md5sum", b"*"), (b"message_definition", b"")))
+        return record({b"op": b"\x07", b"conn": struct.pack("<I", k), b"topic": topic.encode()}, inner)
+
+    body, places, known, base = b"", [], {}, len(b"#ROSBAG V2.0\n") + 4096
+    for kind, messages in chunks:
+        inner = b""
+        for k, topic, typ, t, data in messages:
+            if k not in known:
+                inner += connection(k, topic, typ)
+                known[k] = (topic, typ)
+            sec = int(t)
+            inner += record({b"op": b"\x02", b"conn": struct.pack("<I", k), b"time": struct.pack("<II", sec, round((t - sec) * 1e9))}, data)
+        places.append(base + len(body))
+        packed = bz2.compress(inner) if kind == "bz2" else inner
+        body += record({b"op": b"\x05", b"compression": kind.encode(), b"size": struct.pack("<I", len(inner))}, packed)
+        body += record({b"op": b"\x04", b"ver": struct.pack("<I", 1), b"conn": struct.pack("<I", 0), b"count": struct.pack("<I", 0)}, b"")
+    index = base + len(body) if closed else 0
+    head = {b"op": b"\x03", b"index_pos": struct.pack("<Q", index), b"conn_count": struct.pack("<I", len(known)), b"chunk_count": struct.pack("<I", len(places))}
+    h = record(head, b"")
+    h = record(head, b" " * (4096 - len(h)))
+    tail = b"".join(connection(k, *v) for k, v in known.items()) + b"".join(record({b"op": b"\x06", b"ver": struct.pack("<I", 1), b"chunk_pos": struct.pack("<Q", p), b"start_time": b"\0" * 8, b"end_time": b"\0" * 8, b"count": struct.pack("<I", 0)}, b"") for p in places)
+    path.write_bytes(b"#ROSBAG V2.0\n" + h + body + (tail if closed else b"\x10\0\0\0half"))
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_bag_to_session(spark, tmp_path, closed):
+    row = lambda k, x=None: (float(k) if x is None else x, 1.0, 2.0, 3.0, k % 7, 0.25)
+    pc = "sensor_msgs/PointCloud2"
+    clouds = [cloud_message([row(k), row(k + 1), row(k, float("nan"))][: 3 if k else 0], seq=10 + k, pad=4 * (k == 2)) for k in range(5)]
+    chunks = [
+        ("none", [(0, "/points", pc, 5.5, clouds[2]), (1, "/imu", "sensor_msgs/Imu", 5.1, b"i" * 40), (0, "/points", pc, 5.25, clouds[1])]),
+        ("bz2", [(2, "/other", pc, 6.0, cloud_message([row(9)])), (1, "/imu", "sensor_msgs/Imu", 6.1, b"j"), (0, "/points", pc, 6.5, clouds[3])]),
+        ("none", [(0, "/points", pc, 4.0, clouds[0]), (0, "/points", pc, 7.0, clouds[4])]),
+    ]
+    path = tmp_path / "r.bag"
+    bag_file(path, chunks, closed)
+    spark.dataSource.register(bags.RosBag)
+    for n in ("1", "16"):
+        m = spark.read.format("rosbag").option("chunks", n).load(str(path))
+        assert m.count() == 8 and bags.busiest_topic(m) == "/points"
+        f = bags.extract_frames(m, "s1")
+        got = f.orderBy("frame_index").toPandas()
+        assert got["seq"].tolist() == [10, 11, 12, 13, 14] and got["count_points"].tolist() == [0, 2, 2, 2, 2] and got["dropped_points"].tolist() == [0, 1, 1, 1, 1]
+        assert got["offset_points"].tolist() == [0, 0, 2, 4, 6] and got["bag_time_sec"].tolist() == [4.0, 5.25, 5.5, 6.5, 7.0] and got["stamp_nanosec"].eq(500_000_000).all()
+        p = bags.frame_points(f).orderBy("source_row").toPandas()
+        assert p["source_row"].tolist() == list(range(8)) and p["x"].tolist() == [1, 2, 2, 3, 3, 4, 4, 5] and p["ring"].tolist() == [1, 2, 2, 3, 3, 4, 4, 5] and p["ts"].eq(0.25).all()
+    assert bags.extract_frames(m.limit(0), "s1").count() == 0
+
+
+def test_cloud_messages_are_bounded():
+    good = cloud_message([(1.0, 2.0, float("inf"), 4.0, 5, 6.0), (1.0, 2.0, 3.0, 4.0, 5, 6.0)])
+    c = bags.parse_cloud(good)
+    assert (c.seq, c.sec, c.nanosec, c.frame_id, c.width, c.dense) == (3, 7, 500_000_000, "lidar", 2, True)
+    assert len(c.rows()) == 2 and np.isinf(c.rows()["z"][0]) and bags.pack_points(c)[1:] == (1, 1)
+    for bad in (good[:-1], good + b"x", good[:40], b"", cloud_message([], stamp=(1, 1_000_000_000)), good[:12] + b"\xff" * 4 + good[16:]):
+        with pytest.raises(ValueError):
+            bags.parse_cloud(bad)
+    with pytest.raises(ValueError):
+        bags.pack_points(bags.parse_cloud(cloud_message([(1.0, 2.0, 3.0, 4.0, 5, 6.0)], fields=FIELDS[:3])))
+    with pytest.raises(ValueError):
+        bags.parse_cloud(cloud_message([(1.0, 2.0, 3.0, 4.0, 5, 6.0)], fields=[("x", 0, 99)]))
+
+
 def test_archives_documents_and_seals(spark, tmp_path):
     import zipfile
 
