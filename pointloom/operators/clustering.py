@@ -211,6 +211,30 @@ def closure(pairs: DataFrame) -> DataFrame:
     return connected_components(e).select(F.substring("node", 1, 1).alias("side"), F.expr("substring(node, 3)").alias("id"), F.col("component").alias("block"))
 
 
+def axis_nodes(points: DataFrame, keys: Sequence[str], slabs: Sequence[tuple[str, float, float]], support: int, least_span: float, least: int) -> DataFrame:
+    """(keys, node, n, x, y, z, joined_to): skeleton of each key's points. Slabs (name, from, to) are shares of the stretch
+    between the 2nd and 98th percentile along the main axis; a node is the median of a slab with enough points, joined to
+    the next slab's node if that is there. No node where the axis is ambiguous, short or the points are few."""
+    from pyspark.sql import Window as W
+
+    from .aggregates import covariance, with_eigen
+
+    keys = list(keys)
+    axis = with_eigen(covariance(points, keys).filter(F.col("n") >= least)).filter("v1x is not null").select(*keys, "v1x", "v1y", "v1z")
+    mid = points.groupBy(*keys).agg(*[F.percentile(c, 0.5).alias(f"c{c}") for c in "xyz"])
+    u = sum(((F.col(c) - F.col(f"c{c}")) * F.col(f"v1{c}") for c in "yz"), (F.col("x") - F.col("cx")) * F.col("v1x"))
+    l = points.join(axis.join(mid, keys), keys).withColumn("__u", u)
+    ends = l.groupBy(*keys).agg(F.percentile("__u", [0.02, 0.98]).alias("__q")).filter(F.get("__q", 1) - F.get("__q", 0) >= least_span)
+    f = (F.col("__u") - F.get("__q", 0)) / (F.get("__q", 1) - F.get("__q", 0))
+    k = F.lit(None).cast("int")
+    for i, (_, a, b) in reversed(list(enumerate(slabs))):
+        k = F.when((f >= a) & (f < b), i).otherwise(k)
+    g = l.join(ends, keys).withColumn("__k", k).filter("__k is not null").groupBy(*keys, "__k").agg(F.count("*").alias("n"), *[F.percentile(c, 0.5).alias(c) for c in "xyz"]).filter(F.col("n") >= support)
+    names = F.array(*[F.lit(s[0]) for s in slabs])
+    nxt = F.lead("__k").over(W.partitionBy(*keys).orderBy("__k"))
+    return g.withColumn("joined_to", F.when(nxt == F.col("__k") + 1, F.get(names, nxt))).withColumn("node", F.get(names, F.col("__k"))).drop("__k")
+
+
 def slab_nodes(points: DataFrame, keys: Sequence[str], axis: Column, slabs: int, support: int) -> DataFrame:
     """Skeleton: per key the points cut into equal slabs along an axis; the median of each slab with enough points."""
     from pyspark.sql import Window as W

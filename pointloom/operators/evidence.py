@@ -240,3 +240,22 @@ def envelope_reason(now: DataFrame, envelope: DataFrame, keys: Sequence[str], ta
         .otherwise("new")
     )
     return j.withColumn("reason", reason).drop("around", "__tau")
+
+
+def first_failing(gates: Sequence[tuple[str, Column]], passed: str) -> Column:
+    """Name of the first gate whose condition holds (null counts as not holding), else ``passed``."""
+    out = F.when(F.coalesce(gates[0][1], F.lit(False)), gates[0][0])
+    for name, fails in gates[1:]:
+        out = out.when(F.coalesce(fails, F.lit(False)), name)
+    return out.otherwise(passed)
+
+
+def suspended(df: DataFrame, keys: Sequence[str], region: str, residual: str, least: int, tol: float, need: int) -> DataFrame:
+    """(keys, passed, seen, trusted, height_m): a region passes with ``least`` rows whose median absolute residual is within
+    ``tol``; the median height is given only where ``need`` regions pass, never refitted."""
+    keys = list(keys)
+    r = df.groupBy(*keys, region).agg(F.count("*").alias("n"), F.percentile(F.abs(residual), 0.5).alias("m"))
+    s = r.groupBy(*keys).agg(F.count_if((F.col("n") >= least) & (F.col("m") <= tol)).alias("passed"), F.count("*").alias("seen"))
+    h = df.groupBy(*keys).agg(F.percentile(residual, 0.5).alias("h"))
+    j = s.join(h, keys).withColumn("trusted", F.col("passed") >= need)
+    return j.select(*keys, "passed", "seen", "trusted", F.when(F.col("trusted"), F.col("h")).alias("height_m"))

@@ -244,3 +244,214 @@ def match_alarms(events: Sequence[tuple[int, float, float]], alarms: Sequence[fl
         else:
             out.append((t, inside[0][1] if inside else None, "duplicate" if inside else "false"))
     return out
+
+
+def match_alarms_scored(events, alarms, negatives) -> list[tuple[float, int | None, str]]:
+    """As match_alarms, but an alarm outside every event is 'false' only within a stretch known to be quiet (negatives: from,
+    to, the end open); elsewhere it is 'unscored'."""
+    return [(t, i, o if o != "false" or any(a <= t < b for a, b in negatives) else "unscored") for t, i, o in match_alarms(events, alarms)]
+
+
+def spread_blocks(proposals: Sequence[tuple]) -> set:
+    """Tracks that are blocked among (track, candidate) proposals: whoever shares a candidate, and everyone who is tied to
+    those through candidates, to the fixpoint."""
+    owners: dict = {}
+    wants: dict = {}
+    for t, c in proposals:
+        owners.setdefault(c, set()).add(t)
+        wants.setdefault(t, set()).add(c)
+    todo = [t for c, who in owners.items() if len(who) > 1 for t in who]
+    blocked: set = set()
+    while todo:
+        t = todo.pop()
+        if t not in blocked:
+            blocked.add(t)
+            todo += [o for c in wants[t] for o in owners[c] if o not in blocked]
+    return blocked
+
+
+def spread_four(p: np.ndarray) -> tuple[list[int], float]:
+    """Four points whose least distance from one another is greatest, and that distance: tried out up to 24 points, beyond
+    that the farthest from the middle and then ever the one farthest from those chosen."""
+    import itertools
+
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) if len(p) <= 24 else None
+    if d is not None:
+        best = max(itertools.combinations(range(len(p)), 4), key=lambda c: (min(d[a, b] for a, b in itertools.combinations(c, 2)), tuple(-k for k in c)))
+        return list(best), float(min(d[a, b] for a, b in itertools.combinations(best, 2)))
+    chosen = [int(np.linalg.norm(p - p.mean(0), axis=1).argmax())]
+    near = np.linalg.norm(p - p[chosen[0]], axis=1)
+    while len(chosen) < 4:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, np.linalg.norm(p - p[chosen[-1]], axis=1))
+    return chosen, float(min(np.linalg.norm(p[a] - p[b]) for a, b in itertools.combinations(chosen, 2)))
+
+
+def measured_gap(a: np.ndarray, b: np.ndarray) -> float:
+    """Least distance between two point sets, a block of rows at a time."""
+    best = np.inf
+    for lo in range(0, len(a), 256):
+        best = min(best, float(((a[lo : lo + 256, None] - b[None]) ** 2).sum(2).min()))
+    return float(np.sqrt(best))
+
+
+def gap_graph(fragments: Sequence[np.ndarray], most: float) -> tuple[float, list[int]]:
+    """The largest edge of the least spanning tree over the measured gaps between fragments, and each fragment's component
+    when gaps up to ``most`` hold together."""
+    n = len(fragments)
+    gap = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i + 1, n):
+            gap[i, j] = gap[j, i] = measured_gap(fragments[i], fragments[j])
+    label, edges, largest, joined = list(range(n)), sorted((gap[i, j], i, j) for i in range(n) for j in range(i + 1, n)), 0.0, list(range(n))
+    for g, i, j in edges:
+        if joined[i] != joined[j]:
+            largest = max(largest, float(g))
+            old, new = joined[j], joined[i]
+            joined = [new if x == old else x for x in joined]
+        if g <= most and label[i] != label[j]:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    return largest, label
+
+
+def merge_measured(points: np.ndarray, label: np.ndarray, links: Sequence[tuple[float, int, int]], plane: np.ndarray, growth: float = 3.0, max_height: float = 2.2, max_span: float = 1.0) -> np.ndarray:
+    """Component of each label after merging along measured links (distance, label, label), nearest first. A merge stands
+    only if the union has at most ``growth`` times its largest original member's points, no point above ``max_height`` of the
+    plane (unit normal and offset) and a diagonal in the plane of at most ``max_span``."""
+    n = plane[:3]
+    seed = np.array([0.0, 0.0, 1.0]) if abs(n[2]) < 0.9 else np.array([0.0, 1.0, 0.0])
+    u = np.cross(n, seed)
+    u /= np.linalg.norm(u)
+    flat = np.stack([points @ u, points @ np.cross(n, u)], 1)
+    height = points @ n + plane[3]
+    count = int(label.max()) + 1 if len(label) else 0
+    owner = np.arange(count)
+    size = np.bincount(label, minlength=count)
+    for _, a, b in sorted(links):
+        x, y = owner[a], owner[b]
+        if x == y:
+            continue
+        inside = np.isin(owner[label], (x, y))
+        most = size[np.isin(owner, (x, y))].max()
+        if inside.sum() > growth * most or height[inside].max() > max_height or np.linalg.norm(np.ptp(flat[inside], axis=0)) > max_span:
+            continue
+        owner[np.isin(owner, (x, y))] = min(x, y)
+    return owner
+
+
+def surface_normals(p: np.ndarray, radius: float, least: int = 4) -> np.ndarray:
+    """Unit normal of each point from its neighbours within the radius; NaN with fewer than ``least``."""
+    from .clustering import radius_graph
+
+    a, b = radius_graph(p, radius)
+    i, j = np.concatenate([a, b, np.arange(len(p))]), np.concatenate([b, a, np.arange(len(p))])
+    n = np.bincount(i, minlength=len(p)).astype("float64")
+    mean = np.stack([np.bincount(i, p[j, k], len(p)) for k in range(3)], 1) / n[:, None]
+    d = p[j] - mean[i]
+    cov = np.stack([np.stack([np.bincount(i, d[:, r] * d[:, c], len(p)) for c in range(3)], 1) for r in range(3)], 1)
+    out = np.linalg.eigh(cov)[1][:, :, 0]
+    out[n < least] = np.nan
+    return out
+
+
+def icp_to_planes(a: np.ndarray, b: np.ndarray, radius: float, schedule: Sequence[tuple[float, float, int]] = ((0.3, 0.7, 20), (0.15, 0.6, 20), (0.08, 0.6, 20)), least: int = 30) -> tuple[np.ndarray, np.ndarray, float]:
+    """R, t that take a onto the surfaces of b, and the root mean square distance to them. schedule: (reach, part of the pairs
+    with the smallest residual that is kept, rounds); each round solves the linearised rigid motion of its pairs. The
+    nearest points come from cells, so no table of all pairs is formed."""
+    normal = surface_normals(b, radius)
+    r, t, rms = np.eye(3), np.zeros(3), float("nan")
+    for reach, part, rounds in schedule:
+        for _ in range(rounds):
+            q = a @ r.T + t
+            i, j = nearest_by_cells(q, b, reach)
+            ok = ~np.isnan(normal[j, 0])
+            i, j = i[ok], j[ok]
+            if len(i) < least:
+                break
+            res = ((q[i] - b[j]) * normal[j]).sum(1)
+            keep = np.argsort(np.abs(res), kind="stable")[: max(least, int(len(res) * part))]
+            i, j, res = i[keep], j[keep], res[keep]
+            rms = float(np.sqrt((res**2).mean()))
+            rows = np.concatenate([np.cross(q[i], normal[j]), normal[j]], 1)
+            x = np.linalg.lstsq(rows, -res, rcond=None)[0]
+            angle = np.linalg.norm(x[:3])
+            k = x[:3] / angle if angle > 0 else x[:3]
+            m = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
+            turn = np.eye(3) + np.sin(angle) * m + (1 - np.cos(angle)) * m @ m
+            r, t = turn @ r, turn @ t + x[3:]
+            if angle < 1e-6 and np.linalg.norm(x[3:]) < 1e-6:
+                break
+    return r, t, rms
+
+
+def nearest_by_cells(a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of a, nearest row of b) for the points of a with one within ``reach``; memory grows with neighbours, not a x b."""
+    import itertools
+
+    low = np.minimum(a.min(0), b.min(0)) if len(a) and len(b) else np.zeros(3)
+    ca, cb = (np.floor((p - low) / reach).astype("int64") + 1 for p in (a, b))
+    span = np.maximum(ca.max(0, initial=0), cb.max(0, initial=0)) + 2
+    code = lambda c: (c[:, 0] * span[1] + c[:, 1]) * span[2] + c[:, 2]
+    key = code(cb)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    best, who = np.full(len(a), np.inf), np.full(len(a), -1)
+    for o in itertools.product((-1, 0, 1), repeat=3):
+        want = code(ca + o)
+        lo, hi = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
+        for k in range(int((hi - lo).max(initial=0))):
+            live = np.flatnonzero(lo + k < hi)
+            j = order[lo[live] + k]
+            d = ((a[live] - b[j]) ** 2).sum(1)
+            better = d < best[live]
+            best[live[better]], who[live[better]] = d[better], j[better]
+    ok = np.flatnonzero(best <= reach * reach)
+    return ok, who[ok]
+
+
+def declared_plane_search(p: np.ndarray, tol: float = 0.05, rounds: int = 1500, seed: int = 7, most: int = 5, above: float = 0.3) -> tuple[tuple[np.ndarray, float] | None, dict[str, int]]:
+    """The ground among the planes of a cloud, and what became of every draw: separation, area, support, duplicate, kept.
+
+    Seeded triples are screened in this order; the best planes by support that aren't near one another are refined five times
+    on the points beside them, and the one with the largest part of the points above it is the ground."""
+    count = dict.fromkeys(("separation", "area", "support", "duplicate", "kept"), 0)
+    rng = np.random.RandomState(seed)
+    found = []
+    for _ in range(rounds if len(p) >= 3 else 0):
+        a, b, c = p[rng.choice(len(p), 3, replace=False)]
+        cross = np.cross(b - a, c - a)
+        size = np.linalg.norm(cross)
+        if min(np.linalg.norm(b - a), np.linalg.norm(c - a), np.linalg.norm(c - b)) < tol:
+            count["separation"] += 1
+        elif size < 2 * tol * tol:
+            count["area"] += 1
+        else:
+            n = cross / size
+            d = -float(n @ a)
+            support = int((np.abs(p @ n + d) < tol).sum())
+            if support < max(10, len(p) // 100):
+                count["support"] += 1
+            else:
+                found.append((support, n * (1 if d >= 0 else -1), abs(d)))
+    kept: list[tuple[int, np.ndarray, float]] = []
+    for s, n, d in sorted(found, key=lambda x: (-x[0], x[2])):
+        if len(kept) >= most or any(abs(n @ m) > 0.99 and abs(d - e) < tol for _, m, e in kept):
+            count["duplicate"] += 1
+        else:
+            kept.append((s, n, d))
+            count["kept"] += 1
+    best = None
+    for _, n, d in kept:
+        for _ in range(5):
+            near = p[np.abs(p @ n + d) < 1.6 * tol]
+            if len(near) < 10:
+                break
+            m, e = plane_svd(near)
+            m, e = (m, e) if m @ n >= 0 else (-m, -e)
+            n, d = m, e
+        n, d = (n, d) if d >= 0 else (-n, -d)
+        share = float((p @ n + d > above).mean())
+        if best is None or share > best[0]:
+            best = (share, n, d)
+    return ((best[1], best[2]) if best else None), count

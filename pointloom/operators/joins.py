@@ -135,11 +135,15 @@ def csr_membership(rows: DataFrame, offsets: DataFrame, keys: Sequence[str], row
     return j.select(*rows.columns, F.when(inside, F.col(f"m.{frame}")).alias(frame))
 
 
-def gated_association(tracks: DataFrame, candidates: DataFrame, keys: Sequence[str], gate: float, margin: float) -> DataFrame:
+def gated_association(tracks: DataFrame, candidates: DataFrame, keys: Sequence[str], gate: float, margin: float, size: tuple[str, float] | None = None) -> DataFrame:
     """(keys, track_id, candidate_id, dist, status): nearest candidate of each track within the gate. 'ambiguous' if the
-    second nearest is within ``margin`` or two tracks want one candidate - nobody gets it then; 'unmatched' without any."""
+    second nearest is within ``margin`` or two tracks want one candidate - nobody gets it then; 'unmatched' without any.
+    size (column, ratio): the two sides may differ in it by that ratio at most."""
     keys = list(keys)
     pairs = radius_join(tracks, candidates, keys, ["x", "y"], gate)
+    if size:
+        a, b = F.col(size[0]), F.col(f"{size[0]}_r")
+        pairs = pairs.filter(F.greatest(a, b) / F.least(a, b) <= size[1])
     w = W.partitionBy(*keys, "track_id").orderBy("dist", "candidate_id_r")
     near = pairs.select(*keys, "track_id", "candidate_id_r", "dist", F.row_number().over(w).alias("rn"), (F.lead("dist").over(w) - F.col("dist")).alias("lead")).filter("rn = 1")
     rivals = F.count("*").over(W.partitionBy(*keys, "candidate_id_r"))
@@ -161,6 +165,20 @@ def overlap_links(cells: DataFrame, keys: Sequence[str], frame: str, member: str
     return link.withColumns({"merge": F.count("*").over(W.partitionBy(*keys, frame, member)) > 1, "split": F.count("*").over(W.partitionBy(*keys, frame, "was")) > 1})
 
 
+def touching_links(cells: DataFrame, keys: Sequence[str], frame: str, member: str, share: float) -> DataFrame:
+    """(keys, frame, member, was, overlap, overlapping): members of consecutive frames that have cells in common or side by
+    side; overlap is the common part of the smaller one. cells: keys, frame, member, cx, cy, distinct. The earlier frame's
+    cells are copied to their eight neighbours."""
+    keys = list(keys)
+    size = cells.groupBy(*keys, frame, member).agg(F.count("*").alias("n"))
+    around = F.explode(_offsets(2))
+    past = cells.withColumn("__o", around).select(*keys, (F.col(frame) + 1).alias(frame), F.col(member).alias("was"), (F.col("cx") + F.get("__o", 0)).alias("cx"), (F.col("cy") + F.get("__o", 1)).alias("cy"), ((F.get("__o", 0) == 0) & (F.get("__o", 1) == 0)).alias("__same"))
+    both = cells.join(past, [*keys, frame, "cx", "cy"]).groupBy(*keys, frame, member, "was").agg(F.count_if("__same").alias("common"))
+    sized = both.join(size, [*keys, frame, member]).join(size.select(*keys, (F.col(frame) + 1).alias(frame), F.col(member).alias("was"), F.col("n").alias("was_n")), [*keys, frame, "was"])
+    o = F.col("common") / F.least("n", "was_n")
+    return sized.select(*keys, frame, member, "was", o.alias("overlap"), (o >= share).alias("overlapping"))
+
+
 def strict_binding(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left rows whose whole binding stands on the right; one null in it and the row is rejected."""
     return left.join(right.select(*keys).distinct(), list(keys), "left_semi")

@@ -219,6 +219,31 @@ def choose_with_ambiguity(df: DataFrame, keys: Sequence[str], order: Sequence[Co
     return d.filter("rank = 1").withColumn("ambiguous", F.coalesce(F.col("second") >= ratio * F.col(score), F.lit(False))).drop("rank")
 
 
+def stale_spans(df: DataFrame, keys: Sequence[str], order: str, time: str, ttl: float) -> DataFrame:
+    """(keys, rows, expiries, unknown_s): how often no row came within ``ttl`` seconds (the end counts as one), and for how
+    long between rows the state was unknown."""
+    gap = F.lead(time).over(over(keys, [order])) - F.col(time)
+    d = df.withColumn("__g", gap)
+    late = F.col("__g").isNull() | (F.col("__g") > ttl)
+    return d.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(late).alias("expiries"), F.sum(F.when(F.col("__g") > ttl, F.col("__g") - ttl).otherwise(0.0)).alias("unknown_s"))
+
+
+def first_stretch(df: DataFrame, keys: Sequence[str], index: str, length: int) -> DataFrame:
+    """(keys, first): where the first stretch of ``length`` indices in a row begins."""
+    d = df.withColumn("__run", F.col(index) - F.row_number().over(over(keys, [index])))
+    g = d.groupBy(*keys, "__run").agg(F.min(index).alias("first"), F.count("*").alias("n")).filter(F.col("n") >= length)
+    return g.groupBy(*keys).agg(F.min("first").alias("first"))
+
+
+def reset_epochs(df: DataFrame, keys: Sequence[str], order: str, binding: Column) -> DataFrame:
+    """Adds reset_now (another binding, or a missing index) and epoch, the resets so far."""
+    w = over(keys, [order])
+    d = df.withColumn("__b", binding)
+    again = (F.row_number().over(w) > 1) & (~F.col("__b").eqNullSafe(F.lag("__b").over(w)) | (F.col(order) != F.lag(order).over(w) + 1))
+    d = d.withColumn("reset_now", F.coalesce(again, F.lit(False)))
+    return d.withColumn("epoch", F.sum(F.col("reset_now").cast("bigint")).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__b")
+
+
 def strict_duration(df: DataFrame, keys: Sequence[str], order: str, time: str, inside: str, binding: Column, max_gap: float) -> DataFrame:
     """Adds duration_s: seconds that ``inside`` has held without a missing index, a step of none or over ``max_gap`` seconds,
     or another binding; 0 where it doesn't hold."""
