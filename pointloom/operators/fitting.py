@@ -116,9 +116,13 @@ def icp(a: np.ndarray, b: np.ndarray, rounds: int = 12, sample: int = 192, trim:
     r, t, err = np.eye(3), np.zeros(3), float("inf")
     for _ in range(rounds):
         q = a @ r.T + t
-        d = ((q[:, None] - b[None]) ** 2).sum(2)
-        near = d.argmin(1)
-        best = d[np.arange(len(q)), near]
+        best, near = np.full(len(q), np.inf), np.zeros(len(q), int)
+        for lo in range(0, len(b), 16384):  # a block of b at a time
+            d = ((q[:, None] - b[None, lo : lo + 16384]) ** 2).sum(2)
+            k = d.argmin(1)
+            new_best = d[np.arange(len(q)), k]
+            better = new_best < best
+            best[better], near[better] = new_best[better], k[better] + lo
         keep = best <= np.quantile(best, trim)
         r, t = rigid_fit(a[keep], b[near[keep]])
         new = float(np.sqrt(best[keep].mean()))

@@ -106,3 +106,75 @@ def random_forest(train: DataFrame, features: Sequence[str], label: str, trees:
 
     v = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     return v, RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(v.transform(train))
+
+
+def logistic(df: DataFrame, features: Sequence[str], label: str, ridge: float = 1e-6, rounds: int = 25) -> np.ndarray:
+    """Coefficients (constant first) of a logistic regression by Newton's method: each round is one aggregate of sums that
+    merge, (features + 1) squared numbers large, whatever the rows. Rows with a null or NaN take no part."""
+    k = len(features) + 1
+    rows = df.select(F.col(label).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in features]).dropna()
+    x = [F.lit(1.0), *[F.col(c) for c in features]]
+    b = np.zeros(k)
+    for _ in range(rounds):
+        eta = sum((float(w) * c for w, c in zip(b[1:], x[1:])), F.lit(float(b[0])))
+        p = 1 / (1 + F.exp(-eta))
+        d = rows.withColumn("__p", p)
+        w = F.col("__p") * (1 - F.col("__p"))
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        got = d.agg(*[F.sum((F.col("__y") - F.col("__p")) * x[i]) for i in range(k)], *[F.sum(w * x[i] * x[j]) for i, j in pairs]).first()
+        if got[0] is None:
+            return b
+        g, h = np.array(got[:k]) - ridge * b, np.eye(k) * ridge
+        for (i, j), v in zip(pairs, got[k:]):
+            h[i, j] += v
+            h[j, i] = h[i, j]
+        step = np.linalg.solve(h, g)
+        b = b + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return b
+
+
+class Layers:
+    """Inference of a small network: normalised inputs through dense layers with rectifiers, one output as a probability."""
+
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: Sequence[np.ndarray], biases: Sequence[np.ndarray]):
+        if (scale <= 0).any() or any(w.shape[0] != len(b) for w, b in zip(weights, biases)) or any(v.shape[1] != w.shape[0] for w, v in zip(weights, weights[1:])):
+            raise ValueError("layers don't fit together")
+        self.mean, self.scale, self.weights, self.biases = mean, scale, weights, biases
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """(rows, 2): shares of the two classes."""
+        h = (x - self.mean) / self.scale
+        for k, (w, b) in enumerate(zip(self.weights, self.biases)):
+            h = h @ w.T + b
+            if k < len(self.weights) - 1:
+                h = np.maximum(h, 0)
+        z = np.exp(-np.abs(h[:, 0]))
+        p = np.where(h[:, 0] >= 0, 1 / (1 + z), z / (1 + z))
+        return np.column_stack([1 - p, p])
+
+
+class Gru:
+    """Inference of a gated recurrent unit over a sequence, its last state through a linear layer to class shares."""
+
+    def __init__(self, w: np.ndarray, u: np.ndarray, b: np.ndarray, out: np.ndarray, out_b: np.ndarray):
+        self.w, self.u, self.b, self.out, self.out_b, self.size = w, u, b, out, out_b, u.shape[1]
+
+    def step(self, h: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Gates in the order update, reset, candidate."""
+        n = self.size
+        sig = lambda a: 1 / (1 + np.exp(-a))
+        a, c = x @ self.w.T + self.b, h @ self.u.T
+        z, r = sig(a[..., :n] + c[..., :n]), sig(a[..., n : 2 * n] + c[..., n : 2 * n])
+        new = np.tanh(a[..., 2 * n :] + r * c[..., 2 * n :])
+        return z * h + (1 - z) * new
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """(sequences, time, features) -> (sequences, classes)."""
+        h = np.zeros((len(x), self.size))
+        for k in range(x.shape[1]):
+            h = self.step(h, x[:, k])
+        e = h @ self.out.T + self.out_b
+        e = np.exp(e - e.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)

@@ -438,6 +438,40 @@ class Hmm:
         return path[::-1]
 
 
+class SemiMarkov:
+    """Online filter over states with explicit durations: staying t seconds has probability exp(-(t / scale)^shape), and a
+    stay ends at ``longest`` seconds. Groups of probability keep the time their stay began, so no frame rate is assumed."""
+
+    def __init__(self, start: np.ndarray, leave: np.ndarray, scale: np.ndarray, shape: np.ndarray, longest: float, step: float = 0.05):
+        if not np.allclose(leave.sum(1), 1) or np.diag(leave).any():
+            raise ValueError("leaving probabilities of a state add up to one, without itself")
+        self.start, self.leave, self.scale, self.shape, self.longest, self.step = start / start.sum(), leave, scale[:, None], shape[:, None], longest, step
+
+    def __call__(self, state, t, likelihood):
+        """Step: (state, t, likelihood of each state) -> (state, (probabilities,)). A time that doesn't rise, or is missing,
+        leaves all as it is."""
+        if t is None or likelihood is None:
+            return state, (None if state is None else state[0].sum(1),)
+        e = np.maximum(np.asarray(likelihood, "float64"), 1e-300)
+        if state is None:
+            mass, began = (self.start * e)[:, None], np.array([t])
+        else:
+            mass, began, last = state
+            if t <= last:
+                return state, (mass.sum(1),)
+            grid = np.linspace(last, t, int(np.ceil((t - last) / self.step)) + 1)
+            for a, b in zip(grid[:-1], grid[1:]):
+                stay = np.exp(((a - began) / self.scale) ** self.shape - ((b - began) / self.scale) ** self.shape)
+                stay[:, b - began >= self.longest] = 0.0
+                moved = (mass * (1 - stay)).sum(1) @ self.leave
+                mass, began = np.column_stack([mass * stay, moved]), np.append(began, b)
+                keep = mass.sum(0) > 1e-12
+                mass, began = mass[:, keep], began[keep]
+            mass = mass * e[:, None]
+        mass = mass / mass.sum()
+        return (mass, began, t), (mass.sum(1),)
+
+
 def transition_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, states: Sequence[str], smooth: float) -> DataFrame:
     """(from_state, to_state, n, probability) with additive smoothing over all pairs of states."""
     p = df.select(*keys, *order, F.lag(state).over(over(keys, order)).alias("from_state"), F.col(state).alias("to_state"))

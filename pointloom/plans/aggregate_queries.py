@@ -252,13 +252,6 @@ def set_operations(spark, d):
     return out
 
 
-@query(f"""with {PTS}, s as (select session_id, string_agg(point_id::varchar, ',' order by point_id) as ids, count(*) as n, count_if(coalesce(x = 0 and y = 0 and z = 0, false)) as zeros from pts group by 1) select session_id, n, zeros, sha256(ids) as digest from s""")
-def content_addressed_domains(spark, d):
-    """Row-id digest, size and zero rows of each session's point set."""
-    g = points(spark, d).groupBy("session_id").agg(F.array_sort(F.collect_list("point_id")).alias("ids"), F.count("*").alias("n"), F.count_if(F.coalesce((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0), F.lit(False))).alias("zeros"))
-    return g.select("session_id", "n", "zeros", F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("digest"))
-
-
 @query(f"""with {OKP}, {PLN}, b as (select zone_id, z.sensor_id, x_min, x_max, y_min, y_max, z_min, z_max from zones z), s as (select session_id, max(sensor_id) as sensor_id from ok group by 1),
 f as (select session_id, frame_index from ok where frame_index is not null group by 1, 2), k as (select f.session_id, f.frame_index, b.zone_id from f join s using (session_id) join b using (sensor_id)),
 h as (select ok.session_id, frame_index, zone_id, count(*) as n, median(z) as med from ok join b using (sensor_id) where x >= x_min and x < x_max and y >= y_min and y < y_max and z >= z_min and z < z_max group by 1, 2, 3)

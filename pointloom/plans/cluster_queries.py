@@ -113,13 +113,6 @@ def best_tile_shifts(spark, d):
     return cl.best_shift(now, past, ["session_id"], 2.5).withColumn("score", rnd("score", 3))
 
 
-@query(f"""with {OKP}, s as (select *, min(z) over (partition by session_id) as lo, max(z) over (partition by session_id) as hi from ok), g as (select session_id, coalesce(least(floor((z-lo)/nullif(hi-lo, 0)*8), 7), 0)::bigint as slab, count(*) as n, median(x) as x, median(y) as y, median(z) as z from s group by 1, 2)
-select session_id, slab, n, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from g where n >= 6""")
-def skeleton_slabs(spark, d):
-    s = cl.slab_nodes(valid_points(spark, d), ["session_id"], F.col("z"), 8, 6)
-    return s.select("session_id", "slab", "n", *[rnd(c).alias(c) for c in "xyz"])
-
-
 @query(f"""with {OKP}, c as (select session_id, {_COV} from ok where z < -1.9 group by 1 having count(*) >= 10), {eigen_sql("c")}
 select session_id, n, round(v3x * sign(v3z), 3) as nx, round(v3y * sign(v3z), 3) as ny, round(v3z * sign(v3z), 3) as nz, round(-(v3x*mx + v3y*my + v3z*mz) * sign(v3z), 3) as d, round(sqrt(greatest(l3, 0)), 4) as rms, round(l2 / l1, 4) as degeneracy from eg""")
 def ground_planes(spark, d):
@@ -187,22 +180,21 @@ def registered_halves(spark, d):
 
 @query()
 def merged_fragments(spark, d):
-    """Fragments of a frame merged under height, span and growth limits, with the longest gap of their spanning tree."""
+    """Fragments of each frame merged along measured gaps under limits of growth, height and span: the component of every
+    point, with the largest edge of the fragments' least spanning tree."""
 
     def run(pdf):
         x = pdf[["x", "y", "z"]].to_numpy("float64")
         lab = cl.single_link(0.8)(x)
-        n = lab.max() + 1
-        boxes = np.array([np.concatenate([x[lab == k].min(0), x[lab == k].max(0)]) for k in range(n)])
-        mid = (boxes[:, :3] + boxes[:, 3:]) / 2
-        a, b = cl.radius_graph(mid, 1.5)
-        links = [(float(np.linalg.norm(mid[i] - mid[j])), int(i), int(j)) for i, j in zip(a, b)]
-        m = fit.merge_constrained(boxes, np.bincount(lab).tolist(), links, 2.2, 1.6, 3.0)
-        pick = fit.spread_subset(mid, 4)
-        return [(int(n), int(m.max() + 1), round(fit.largest_gap(mid), 5), len(pick))]
+        parts = [x[lab == k] for k in range(int(lab.max()) + 1)]
+        largest, _ = fit.gap_graph(parts, 1.5)
+        links = [(g, i, j) for i in range(len(parts)) for j in range(i + 1, len(parts)) if (g := fit.measured_gap(parts[i], parts[j])) <= 1.5]
+        owner = fit.merge_measured(x, lab, links, np.array([0.0, 0.0, 1.0, 2.4]), max_span=3.0)
+        merged = cl.compact(owner)
+        return [(int(p), int(f), int(merged[f]), round(largest, 5)) for p, f in zip(pdf["point_id"], lab)]
 
     p = valid_points(spark, d).filter("frame_index is not null").select("session_id", "frame_index", "point_id", "x", "y", "z")
-    return fit.per_group(p, ["session_id", "frame_index"], ["point_id"], run, "fragments int, merged int, largest_gap double, spread int")
+    return fit.per_group(p, ["session_id", "frame_index"], ["point_id"], run, "point_id bigint, fragment int, component int, largest_gap double")
 
 
 @query()
@@ -236,20 +228,12 @@ def alarm_matching(spark, d):
     low = records(spark, d).withColumn("low", F.coalesce(F.col("height_median_m") <= 0.4, F.lit(False))).select("session_id", "track_id", "frame_index", "low")
     al = transitions(low, ["session_id", "track_id"], ["frame_index"], "low").filter("to_state").select("session_id", "track_id", F.lit(1).alias("kind"), F.col("frame_index").cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
 
+    quiet = usable_intervals(table(spark, d, "label_intervals")).filter("label in ('upright', 'sitting')")
+    quiet = quiet.select("session_id", "track_id", F.lit(2).alias("kind"), F.col("start_frame").cast("double").alias("a"), (F.col("end_frame") + 1).cast("double").alias("b"))
+
     def run(pdf):
-        ev = pdf[pdf["kind"] == 0]
-        got = fit.match_alarms([(k, a, b) for k, (a, b) in enumerate(zip(ev["a"], ev["b"]))], pdf.loc[pdf["kind"] == 1, "a"].tolist())
+        ev, no = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 2]
+        got = fit.match_alarms_scored([(k, a, b) for k, (a, b) in enumerate(zip(ev["a"], ev["b"]))], pdf.loc[pdf["kind"] == 1, "a"].tolist(), list(zip(no["a"], no["b"])))
         return [(int(t), i, o) for t, i, o in got]
 
-    return fit.per_group(e.unionByName(al), ["session_id", "track_id"], ["kind", "a", "b"], run, "alarm_frame int, event int, outcome string")
-
-
-@query(f"with {REC}, h as (select session_id, track_id, generation % 3 as est, avg(height_median_m) as v from rec where height_median_m is not null group by 1, 2, 3), p as (select a.session_id, a.track_id, abs(a.v - b.v) as g from h a join h b on a.session_id = b.session_id and a.track_id = b.track_id and a.est < b.est), n as (select session_id, track_id, count(*) as n from h group by 1, 2), q as (select n.session_id, n.track_id, n, coalesce(count_if(g <= 0.05), 0) as good from n left join p using (session_id, track_id) group by 1, 2, 3) select session_id, track_id, n as estimators, good as agreeing, case when n >= 2 and good = n * (n - 1) / 2 then 'GOOD' when good > 0 then 'DEGRADED' else 'BAD' end as consensus from q")
-def estimator_consensus(spark, d):
-    """Pairwise agreement of up to three estimates: all agree, some, none."""
-    h = records(spark, d).filter("height_median_m is not null").groupBy("session_id", "track_id", (F.col("generation") % 3).alias("est")).agg(F.avg("height_median_m").alias("v"))
-    k = ["session_id", "track_id"]
-    p = h.join(h.select(*k, F.col("est").alias("est_r"), F.col("v").alias("v_r")), k).filter("est < est_r").groupBy(*k).agg(F.count_if(F.abs(F.col("v") - F.col("v_r")) <= 0.05).alias("good"))
-    q = h.groupBy(*k).agg(F.count("*").alias("n")).join(p, k, "left").fillna(0, ["good"])
-    c = F.when((F.col("n") >= 2) & (F.col("good") == F.col("n") * (F.col("n") - 1) / 2), "GOOD").when(F.col("good") > 0, "DEGRADED").otherwise("BAD")
-    return q.select(*k, F.col("n").alias("estimators"), F.col("good").alias("agreeing"), c.alias("consensus"))
+    return fit.per_group(e.unionByName(al).unionByName(quiet), ["session_id", "track_id"], ["kind", "a", "b"], run, "alarm_frame int, event int, outcome string")

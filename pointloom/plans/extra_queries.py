@@ -28,15 +28,6 @@ def foreground_cells(spark, d):
     return j.select("session_id", "ring", "col", fore.alias("foreground"), (F.col("range_m") - F.col("q98") < -0.15).alias("nearer"))
 
 
-@query(f"""with {_VOX}, e as (select cx, cy, cz, count(*) as seen from vx group by 1, 2, 3) select vx.session_id, case when e.seen >= 3 then 'background' when vx.n >= 2 then 'cluster' else 'stray' end as reason, count(*) as voxels, sum(vx.n)::bigint as points from vx left join e using (cx, cy, cz) group by 1, 2""")
-def envelope_reasons(spark, d):
-    """Voxels against an envelope of what other sessions hold there, each with its reason."""
-    v = voxels(spark, d)
-    e = v.groupBy("cx", "cy", "cz").agg(F.count("*").alias("seen"))
-    r = F.when(F.col("seen") >= 3, "background").when(F.col("n") >= 2, "cluster").otherwise("stray")
-    return v.join(e, ["cx", "cy", "cz"], "left").groupBy("session_id", r.alias("reason")).agg(F.count("*").alias("voxels"), F.sum("n").alias("points"))
-
-
 @query(f"""with {OKP}, t as (select point_id, session_id, case when ring is null then null else ring % 3 = 0 end as truth, z < -1.5 as said from ok) select session_id, count_if(said) as predicted, count_if(said and truth is null) as unlabelled,
  case when count_if(said and truth is null) > 0 then null else round(count_if(said and truth) / nullif(count_if(said), 0)::double, 6) end as purity, round(count_if(said and truth) / nullif(count_if(truth), 0)::double, 6) as recall from t group by 1""")
 def membership_purity(spark, d):
@@ -84,14 +75,6 @@ def running_sums(spark, d):
     return t.select("session_id", "track_id", "packet", rnd(F.element_at(c, -1)).alias("total"), F.size("a").cast("bigint").alias("n"))
 
 
-@query(f"with {REC}, w as (select session_id, track_id, count(*) as n, avg(height_median_m) as h, count_if(height_median_m <= 0.6) as lo, min(case when height_median_m <= 0.6 then frame_index end) as f, min(case when height_median_m >= 1.0 then frame_index end) as u from rec group by 1, 2) select session_id, track_id, case when h is null then 'NO_VALID_FRAME' when u is null then 'NEVER_UPRIGHT' when lo = 0 then 'NEVER_LOW' when f < u then 'LOW_FIRST' when n < 20 then 'TOO_SHORT' else 'OK' end as gate from w")
-def admission_gate(spark, d):
-    h = F.col("height_median_m")
-    w = records(spark, d).groupBy("session_id", "track_id").agg(F.count("*").alias("n"), F.avg(h).alias("h"), F.count_if(h <= 0.6).alias("lo"), F.min(F.when(h <= 0.6, F.col("frame_index"))).alias("f"), F.min(F.when(h >= 1.0, F.col("frame_index"))).alias("u"))
-    g = F.when(F.col("h").isNull(), "NO_VALID_FRAME").when(F.col("u").isNull(), "NEVER_UPRIGHT").when(F.col("lo") == 0, "NEVER_LOW").when(F.col("f") < F.col("u"), "LOW_FIRST").when(F.col("n") < 20, "TOO_SHORT").otherwise("OK")
-    return w.select("session_id", "track_id", g.alias("gate"))
-
-
 @query(f"""with {OKP}, p as (select session_id, frame_index, point_id, x, y from ok where frame_index is not null), h as (select a.session_id, a.frame_index as f0, a.point_id, a.x, a.y, b.x - a.x as vx, b.y - a.y as vy from p a join p b on a.session_id = b.session_id and b.frame_index = a.frame_index + 1 where (a.x-b.x)**2 + (a.y-b.y)**2 between 0.01 and 0.04),
 k as (select h.session_id, h.point_id, h.f0, h.vx, h.vy, count(distinct c.frame_index) as hits from h join p c on c.session_id = h.session_id and c.frame_index between h.f0 + 2 and h.f0 + 5 and (h.x + h.vx * (c.frame_index - h.f0) - c.x)**2 + (h.y + h.vy * (c.frame_index - h.f0) - c.y)**2 <= 0.01 group by 1, 2, 3, 4, 5)
 select session_id, count(*) as supported, max(hits) as best from k group by 1""")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core import table
 from ..operators import windows as win
 from ..streaming import stateful as st
+from ..streaming import trackers as tr
 from .adapters import OKP, REC, frame_rows, records, valid_points
 from .geometry_queries import rnd
 from .registry import query
@@ -136,3 +138,96 @@ def latest_wins(spark, d):
     """What a queue of one would hand over after the whole batch: the newest frame and how many it replaced."""
     f = valid_points(spark, d).filter("frame_index is not null").select("session_id", "frame_index", F.lit(1).alias("one")).distinct()
     return st.latest_per_batch(f, ["session_id"], "frame_index").select("session_id", "frame_index", "overwritten")
+
+
+def _centres(spark, d):
+    """Cluster centres of each frame with at least two points, as arrays in the order of their cells."""
+    p = valid_points(spark, d).filter("frame_index is not null")
+    c = p.groupBy("session_id", "frame_index", F.floor("x").alias("cx"), F.floor("y").alias("cy")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), (F.max("z") + 2.4).alias("h"), F.count("*").alias("n")).filter("n >= 2")
+    f = c.groupBy("session_id", "frame_index").agg(F.sort_array(F.collect_list(F.struct("cx", "cy", "x", "y", "h", "n"))).alias("c"))
+    take = lambda k: F.transform("c", lambda s: s[k])
+    return f.select("session_id", "frame_index", (F.col("frame_index") * 0.1).alias("t"), take("x").alias("xs"), take("y").alias("ys"), F.transform("c", lambda s: s["cx"] * 1000 + s["cy"]).alias("ids"), take("h").alias("hs"), F.transform("c", lambda s: s["n"] >= 3).alias("fresh"))
+
+
+@query()
+def target_lock(spark, d):
+    """The first centre of a session is picked, then followed; picked again whenever it was lost or ambiguous for 20 frames."""
+    f = _centres(spark, d).withColumn("pick", F.when(F.col("frame_index") % 20 == 0, 0)).withColumn("epoch", F.floor(F.col("frame_index") / 1000))
+    r = win.fold_rows(f, ["session_id"], ["frame_index"], ["t", "epoch", "pick", "xs", "ys"], tr.TargetLock(0.5, 0.05, 2.0, 1.5), [("status", "string"), ("x", "double"), ("y", "double"), ("predicted", "boolean"), ("generation", "int")])
+    return r.select("session_id", "frame_index", "status", rnd("x").alias("x"), rnd("y").alias("y"), "predicted", "generation")
+
+
+@query()
+def acquired_targets(spark, d):
+    f = _centres(spark, d)
+    r = win.fold_rows(f, ["session_id"], ["frame_index"], ["t", "ids", "xs", "ys", "hs"], tr.Acquisition(7, 0.8, 2.6, 0.05, 1.2), [("chosen", "bigint"), ("reason", "string")])
+    return r.select("session_id", "frame_index", "chosen", "reason")
+
+
+@query()
+def anchor_memory(spark, d):
+    f = _centres(spark, d)
+    r = win.fold_rows(f, ["session_id"], ["frame_index"], ["t", "frame_index", "xs", "ys", "fresh"], tr.Anchors(0.6, 3.0, 30, 2), [("held", "int"), ("confirmed", "array<int>")])
+    return r.select("session_id", "frame_index", "held", F.size("confirmed").alias("confirmed"))
+
+
+@query()
+def tracked_centroids(spark, d):
+    """Six-number Kalman filter over the centroid of each frame."""
+    p = valid_points(spark, d).filter("frame_index is not null").groupBy("session_id", "frame_index").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"]).withColumn("t", F.col("frame_index") * 0.1)
+    out = [("x", "double"), ("y", "double"), ("z", "double"), ("speed", "double"), ("status", "string")]
+    r = win.fold_rows(p, ["session_id"], ["frame_index"], ["t", "mx", "my", "mz"], tr.KalmanPoint(), out)
+    return r.select("session_id", "frame_index", *[rnd(c, 5).alias(c) for c in ("x", "y", "z", "speed")], "status")
+
+
+@query()
+def fall_episodes(spark, d):
+    """Episodes of each track from its heights, postures and descent rates."""
+    h = F.col("height_median_m")
+    r = win.finite_velocity(records(spark, d), KEY, "stamp_sec", "frame_index", "height_median_m", 5.0)
+    posture = F.when(h >= 1.2, "standing").when(h <= 0.45, "lying").when(h <= 0.9, "sitting").otherwise("unknown")
+    r = r.select(*KEY, "frame_index", "stamp_sec", F.coalesce("measured", F.lit(False)).alias("seen"), h.alias("h"), posture.alias("posture"), (-F.col("velocity")).alias("rate"), F.lit(None).cast("double").alias("base"))
+    out = [("state", "string"), ("reason", "string"), ("event", "int")]
+    return win.fold_rows(r, KEY, ["frame_index"], ["stamp_sec", "track_id", "seen", "h", "posture", "rate", "base"], tr.Episode(), out).select(*KEY, "frame_index", "state", "reason")
+
+
+@query()
+def stance_baselines(spark, d):
+    h = F.col("height_median_m")
+    r = records(spark, d).select(*KEY, "frame_index", "stamp_sec", h.alias("h"), F.when(h >= 1.0, "standing").when(h.isNull(), "unknown").otherwise("low").alias("posture"))
+    out = [("status", "string"), ("baseline", "double"), ("reason", "string")]
+    return win.fold_rows(r, KEY, ["frame_index"], ["stamp_sec", "track_id", "h", "posture"], tr.StanceBaseline(2.0, 0.6, 0.4), out).select(*KEY, "frame_index", "status", "baseline", "reason")
+
+
+@query()
+def regions_of_interest(spark, d):
+    f = target_lock(spark, d).withColumn("t", F.col("frame_index") * 0.1).withColumn("extent", F.lit(0.8))
+    f = f.withColumnsRenamed({"x": "px", "y": "py"})
+    out = [("roi", "string"), ("x", "double"), ("y", "double"), ("radius", "double")]
+    r = win.fold_rows(f, ["session_id"], ["frame_index"], ["t", "status", "px", "py", "extent"], tr.RegionOfInterest(0.5, 3.0, 1.0, 0.3, 3.0), out)
+    return r.select("session_id", "frame_index", "roi", *[rnd(c, 5).alias(c) for c in ("x", "y", "radius")])
+
+
+@query()
+def command_answers(spark, d):
+    """Catalogue listings as commands: repeats of a request are replays or conflicts, late and foreign ones are refused."""
+    c = table(spark, d, "session_catalog").filter("sid is not null and listed_ts is not null")
+    c = c.select("sensor_id", F.col("sid").alias("request"), F.coalesce(F.col("frame_count").cast("string"), F.lit("")).alias("payload"), (F.unix_micros(F.col("listed_ts").cast("timestamp")) / 1e6).alias("receive"), F.coalesce("session_role", F.lit("none")).alias("action")).distinct()
+    c = c.withColumns({"session": F.lit("s"), "schema": F.lit(1), "epoch": F.lit(0), "version": (F.row_number().over(W.partitionBy("sensor_id").orderBy("receive", "request", "payload")) - 1).cast("int")})
+    gate = tr.CommandGate("s", 1, ("development", "review", "training", "test", "none"), 86_400.0 * 400)
+    return win.fold_rows(c, ["sensor_id"], ["receive", "request", "payload"], ["request", "payload", "receive", "action", "session", "schema", "epoch", "version"], gate, [("answer", "string")]).select("sensor_id", "request", "payload", "answer")
+
+
+@query()
+def semi_markov_states(spark, d):
+    """Online probabilities of upright and low with explicit durations, from heights."""
+    import numpy as np
+
+    r = records(spark, d).filter("stamp_sec is not null and not isnan(stamp_sec)")
+    h = F.coalesce("height_median_m", F.lit(0.9))
+    up = F.exp(-((h - 1.4) ** 2) / 0.18)
+    low = F.exp(-((h - 0.4) ** 2) / 0.18)
+    r = r.select(*KEY, "frame_index", "stamp_sec", F.array(up + 0.02, low + 0.02).alias("like"))
+    m = win.SemiMarkov(np.array([0.8, 0.2]), np.array([[0.0, 1.0], [1.0, 0.0]]), np.array([20.0, 6.0]), np.array([1.3, 1.3]), 60.0, 0.5)
+    k = win.fold_rows(r, KEY, ["frame_index"], ["stamp_sec", "like"], m, [("p", "array<double>")])
+    return k.select(*KEY, "frame_index", rnd(F.get("p", 1), 5).alias("low_probability"))
