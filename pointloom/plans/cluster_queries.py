@@ -81,8 +81,9 @@ def density_clusters(spark, d):
     return fit.per_group(p.select("g", "point_id", "x", "y", "z"), ["g"], ["point_id"], run, "points bigint, core bigint, noise bigint")
 
 
-@query()
+@query(_recursive(_FR.replace("ed as (", "ed0 as (") + ", co as (select a.g, a.id as a, b.id as b from nd a join nd b on a.g = b.g and (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 2.56), ed as (select ed0.* from ed0 join co using (g, a, b))", "", "select g, count(distinct root) as clusters from comp group by 1"))
 def coarse_fine_clusters(spark, d):
+    """Clusters at 1.6 m, each split again at 0.8 m."""
     p = _frames(spark, d)
     return cl.group_clusters(p, ["g"], "point_id", cl.coarse_then_fine(1.6, 0.8)).groupBy("g").agg(F.count_distinct("cluster").alias("clusters"))
 

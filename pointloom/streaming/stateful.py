@@ -19,12 +19,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.intervals import IntervalMap
 
 
-def stream_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], step: Callable, out: Sequence[tuple[str, str]]) -> DataFrame:
-    """The streaming form of fold_rows: append mode, every row comes out with its values."""
+def stream_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], step: Callable, out: Sequence[tuple[str, str]], idle_ms: int | None = None
+) -> DataFrame:
+    """The streaming form of fold_rows: append mode, every row comes out with its values. With ``idle_ms`` the state of a key
+    without rows for so long (processing time) is dropped, and the key starts over if it comes back."""
     keys, order, names = list(keys), list(order), [n for n, _ in out]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` {k}" for n, k in out])
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = pickle.loads(state.get[0]) if state.exists else None
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
         rows = []
@@ -32,9 +38,11 @@ def stream_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs
             held, got = step(held, *[None if v is None or (isinstance(v, float) and v != v) else v for v in values])
             rows.append(got)
         state.update((pickle.dumps(held),))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pdf.assign(**{n: pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(names)})
 
-    return df.groupBy(*keys).applyInPandasWithState(run, schema, "held binary", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(*keys).applyInPandasWithState(run, schema, "held binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def stream_intervals(df: DataFrame, entity: Sequence[str], start: str, end: str) -> DataFrame:
