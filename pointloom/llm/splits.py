@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import BLANKS, ensure_checkpoint_dir
 
-#: Words that name nobody and nothing, spelled without marks.
+#: Words that name nobody and nothing, spelled without marks. A corpus with others hands in its own list.
 NOBODY = ["", "unknown", "none", "null", "nil", "nan", "na", "tbd", "tba", "anon", "anonymous", "notrecorded", "pending", "missing", "empty", "undefined", "notavailable", "notapplicable", "nobody", "noname", "unnamed", "todo", "test", "unspecified", "redacted"]
 #: Components above this share of all frames are placed first, largest first; there are at most 1/share of them.
 HEAVY_SHARE = 0.002
@@ -21,16 +22,20 @@ def _letters(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.translate(c, wide, thin)), f"{BLANKS}|[^\\p{{L}}\\p{{N}}]", "")
 
 
-def spelled(c: Column, prefix: str) -> Column:
+def spelled(c: Column, prefix: str, nobody: Sequence[str] = NOBODY) -> Column:
     """A name without case, blanks and marks; a leading word of what it is (subject, author, sha256) falls away. Null
     where it names nobody: null, blank, marks alone, a word for nothing, only zeros."""
     bare = F.regexp_replace(_letters(c), f"^(?:{prefix})(?=.)", "")
     plain = F.regexp_replace(_letters(c), f"^(?:{prefix})$", "")
     named = F.when(plain == "", "").otherwise(bare)
-    return F.when(named.isin(NOBODY) | named.rlike("^0+$"), None).otherwise(named)
+    return F.when(named.isin(list(nobody)) | named.rlike("^0+$"), None).otherwise(named)
 
 
-def session_links(catalog: DataFrame) -> DataFrame:
+#: Words that may stand before a subject, an author or a digest without being part of it.
+PREFIXES = {"subject": "subject|subj|sub(?=s?\\d)", "author": "author|auth(?=[a-z]+\\d)", "source_bag_sha256": "sha256|sha(?=[0-9a-f]{64})"}
+
+
+def session_links(catalog: DataFrame, nobody: Sequence[str] = NOBODY, prefixes: Mapping[str, str] = PREFIXES) -> DataFrame:
     """(sid, token): the subjects, authors and source bags of each sid, spelling aside; a sid listed twice has those of
     both rows. Rows without sid are left out."""
     return (
@@ -38,11 +43,7 @@ def session_links(catalog: DataFrame) -> DataFrame:
         .select(
             "sid",
             F.explode(
-                F.array(
-                    F.concat(F.lit("s:"), spelled(F.col("subject"), "subject|subj|sub(?=s?\\d)")),
-                    F.concat(F.lit("a:"), spelled(F.col("author"), "author|auth(?=[a-z]+\\d)")),
-                    F.concat(F.lit("b:"), spelled(F.col("source_bag_sha256"), "sha256|sha(?=[0-9a-f]{64})")),
-                )
+                F.array(*[F.concat(F.lit(f"{c[0]}:"), spelled(F.col(c), p, nobody)) for c, p in prefixes.items()])
             ).alias("token"),
         )
         .filter("token is not null")
@@ -57,7 +58,8 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     that smallest node to every member; after O(log n) rounds each node holds its component's smallest and the smallest
     holds all. A cluster is never gathered in one task: its minimum is a partial aggregate, its rows meet that minimum
     in a join that adaptive execution may split. Every round is checkpointed in the shared folder; two sums tell the
-    driver whether anything changed. Self-loops keep a node without neighbours; null ends are left out.
+    driver whether anything changed; more than ``max_rounds`` rounds (far beyond the logarithm of any graph) are an error.
+    Self-loops keep a node without neighbours; null ends are left out.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -79,10 +81,10 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return clusters.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
 
 
-def session_components(catalog: DataFrame) -> DataFrame:
+def session_components(catalog: DataFrame, nobody: Sequence[str] = NOBODY) -> DataFrame:
     """(sid, component) of every sid. A token is a star from its smallest sid, so one that a third of the sessions share
     gives as many edges as sessions, not their square."""
-    links = session_links(catalog)
+    links = session_links(catalog, nobody)
     star = links.groupBy("token").agg(F.min("sid").alias("hub"))
     edges = links.join(star, "token").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
     alone = catalog.filter("sid is not null").select(F.col("sid").alias("a"), F.col("sid").alias("b")).distinct()

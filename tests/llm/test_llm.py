@@ -120,6 +120,8 @@ def test_names_and_splits(spark):
     ]
     c = spark.createDataFrame(rows, CATALOG)
     assert {tuple(r) for r in splits.session_components(c).collect()} == {("s1", "s1"), ("s2", "s1"), ("s3", "s1"), ("s4", "s1"), ("s5", "s5"), ("s6", "s6")}
+    own = {tuple(r) for r in splits.session_components(c, nobody=["", "tbd", "na"]).collect()}
+    assert ("s6", "s5") in own  # "not recorded" is a name where the list doesn't have it
     meta = spark.createDataFrame([("s1", k % 5, "r") for k in range(20)], "session_id string, frame_index int, recv string")
     t = spark.createDataFrame([("train", 0.8), ("test", 0.2), (None, 0.5)], "split_name string, split_share double")
     got = {r["sid"]: r for r in splits.session_splits(c, meta, t).collect()}
@@ -127,6 +129,15 @@ def test_names_and_splits(spark):
     assert splits.session_splits(spark.createDataFrame([], CATALOG), meta, t).count() == 0
 
 
+def test_split_shares_of_the_tables(spark):
+    got = queries.p2_splits(spark, PATH).cache()
+    total = got.agg(F.sum("frames")).first()[0]
+    want = {r[0]: r[1] for r in spark.read.parquet(f"{PATH}/split_targets.parquet").select("split_name", "split_share").collect()}
+    have = {r[0]: r[1] / total for r in got.groupBy("split_name").agg(F.sum("frames")).collect()}
+    assert max(abs(have.get(n, 0) - w / sum(want.values())) for n, w in want.items()) < 0.1
+    assert got.groupBy("component").agg(F.count_distinct("split_name").alias("n")).filter("n > 1").count() == 0
+
+
 def test_split_shares(spark):
     s = spark.range(30_000).selectExpr("cast(id as string) as sid", "case when id < 9000 then 'hot' else cast(id div 3 as string) end as component", "id % 100 as frames")
     t = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, split_share double")
