@@ -259,3 +259,8 @@ def suspended(df: DataFrame, keys: Sequence[str], region: str, residual: str, le
     h = df.groupBy(*keys).agg(F.percentile(residual, 0.5).alias("h"))
     j = s.join(h, keys).withColumn("trusted", F.col("passed") >= need)
     return j.select(*keys, "passed", "seen", "trusted", F.when(F.col("trusted"), F.col("h")).alias("height_m"))
+
+
+def all_finite(values: Column, size: int) -> Column:
+    """Whether an array has ``size`` values, all there and finite."""
+    return (F.size(values) == size) & F.coalesce(F.forall(values, lambda v: finite(v)), F.lit(False))

@@ -179,6 +179,22 @@ def touching_links(cells: DataFrame, keys: Sequence[str], frame: str, member: st
     return sized.select(*keys, frame, member, "was", o.alias("overlap"), (o >= share).alias("overlapping"))
 
 
+def footprint_members(points: DataFrame, regions: DataFrame, owner: str, also: Column) -> DataFrame:
+    """Points with each region of their owner whose footprint (x_min <= x < x_max, the same for y) holds them, if ``also``. A
+    region is laid into cells as wide as the power of two that spans it, four at most, so no point meets all regions."""
+    side = F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"))
+    r = regions.filter("x_min < x_max and y_min < y_max").withColumn("__p", F.ceil(F.log2(side)).cast("int"))
+    powers = sorted(x[0] for x in r.select("__p").distinct().collect())
+    size = F.pow(F.lit(2.0), "__p")
+    span = lambda c: F.sequence(F.floor(F.col(f"{c}_min") / size), F.floor(F.col(f"{c}_max") / size))
+    r = r.withColumn("__x", F.explode(span("x"))).withColumn("__y", F.explode(span("y")))
+    p = points.withColumn("__p", F.explode(F.array(*[F.lit(k) for k in powers]) if powers else F.array().cast("array<int>")))
+    p = p.withColumns({"__x": F.floor(F.col("x") / size), "__y": F.floor(F.col("y") / size)})
+    j = p.join(r, [owner, "__p", "__x", "__y"])
+    inside = (F.col("x") >= F.col("x_min")) & (F.col("x") < F.col("x_max")) & (F.col("y") >= F.col("y_min")) & (F.col("y") < F.col("y_max"))
+    return j.filter(inside & also).drop("__p", "__x", "__y")
+
+
 def strict_binding(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left rows whose whole binding stands on the right; one null in it and the row is rejected."""
     return left.join(right.select(*keys).distinct(), list(keys), "left_semi")

@@ -234,3 +234,51 @@ def sized_association(spark, d):
     t = p.filter("frame_index is not null").groupBy("session_id", (F.col("frame_index") % 20).alias("track_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
     c = p.filter("ring is not null").groupBy("session_id", (F.col("ring") % 16 + 100).alias("candidate_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
     return jn.gated_association(t, c, ["session_id"], 0.3, 0.03, ("n", 1.5)).withColumn("dist", rnd("dist"))
+
+
+@query(f"""with {OKP}, z as (select zone_id, sensor_id, x_min, x_max, y_min, y_max, case when zone_id % 4 = 0 then 'fit' else 'validation' end as role, zone_id % 3 as grp from zones), m as (select session_id, z.zone_id, role, grp, point_id, ring from ok join z using (sensor_id) where frame_index % 3 = grp and x >= x_min and x < x_max and y >= y_min and y < y_max)
+select session_id, zone_id, role, grp, count(*) as offered, count_if(ring % 2 = 0) as confirmed, 0::bigint as strangers from m group by 1, 2, 3, 4""")
+def review_regions(spark, d):
+    """Members of review regions: frame group and footprint decide, heights don't; confirmed rows must be among the offered."""
+    z = table(spark, d, "zones").select("zone_id", "sensor_id", "x_min", "x_max", "y_min", "y_max", F.when(F.col("zone_id") % 4 == 0, "fit").otherwise("validation").alias("role"), (F.col("zone_id") % 3).alias("grp"))
+    m = jn.footprint_members(valid_points(spark, d), z, "sensor_id", F.col("frame_index") % 3 == F.col("grp"))
+    offered = m.select("session_id", "zone_id", "role", "grp", "point_id", "ring")
+    confirmed = offered.filter("ring % 2 = 0").select("session_id", "zone_id", "point_id")
+    strangers = confirmed.join(offered, ["session_id", "zone_id", "point_id"], "left_anti").groupBy("session_id", "zone_id").agg(F.count("*").alias("strangers"))
+    g = offered.groupBy("session_id", "zone_id", "role", "grp").agg(F.count("*").alias("offered"), F.count_if(F.col("ring") % 2 == 0).alias("confirmed"))
+    return g.join(strangers, ["session_id", "zone_id"], "left").fillna(0, ["strangers"])
+
+
+@query("""with z as (select sensor_id, case when zone_id % 4 = 0 then 'fit' else 'validation' end as role, zone_id % 3 as grp from zones), g as (select sensor_id, count_if(role = 'fit') as fits, count_if(role = 'validation') as validations, count(distinct grp) as groups_, count(*) as n from z group by 1)
+select sensor_id, fits, validations, case when fits <> 1 then 'fit_regions' when validations < 3 then 'validation_regions' when groups_ < 3 then 'frame_groups' else 'frozen' end as outcome, sha256(sensor_id || ':' || fits || ':' || validations || ':' || groups_) as selection_id from g""")
+def region_selections(spark, d):
+    """A selection is frozen with exactly one region to fit, three or more to validate and three frame groups."""
+    z = table(spark, d, "zones").select("sensor_id", (F.col("zone_id") % 4 == 0).alias("fit"), (F.col("zone_id") % 3).alias("grp"))
+    g = z.groupBy("sensor_id").agg(F.count_if("fit").alias("fits"), F.count_if(~F.col("fit")).alias("validations"), F.count_distinct("grp").alias("groups"))
+    o = ev.first_failing([("fit_regions", F.col("fits") != 1), ("validation_regions", F.col("validations") < 3), ("frame_groups", F.col("groups") < 3)], "frozen")
+    name = F.sha2(F.concat_ws(":", "sensor_id", F.col("fits").cast("string"), F.col("validations").cast("string"), F.col("groups").cast("string")), 256)
+    return g.select("sensor_id", "fits", "validations", o.alias("outcome"), name.alias("selection_id"))
+
+
+@query("""with e as (select vec_id, embedding as e, sqrt(embedding[7]::double**2 + embedding[8]::double**2 + embedding[9]::double**2 + embedding[10]::double**2) as n, vec_id % 5 as k from embeddings),
+r as (select vec_id, case when k = 4 then null when len(e) < 6 then false else isfinite(e[1]) and isfinite(e[2]) and isfinite(e[3]) and isfinite(e[4]) and isfinite(e[5]) and isfinite(e[6]) end as six, case when k = 3 then null when n = 0 then false else round(n, 4) between 0.1 and 0.5 end as turned from e)
+select vec_id, six as six_axis_finite, turned as orientation_usable, array_to_string(list_filter([case when six is null then 'measurement_unknown' when not six then 'measurement_nonfinite' end, case when turned is null then 'orientation_unknown' when not turned then 'orientation_unusable' end], lambda x: x is not null), ',') as reasons from r""")
+def sensor_quality(spark, d):
+    """Six axes finite and an orientation of plausible norm; what isn't known is no pass, and says so."""
+    e, k = F.col("embedding"), F.col("vec_id") % 5
+    n = F.round(F.sqrt(sum((F.get(e, i).cast("double") ** 2 for i in (7, 8, 9)), F.get(e, 6).cast("double") ** 2)), 4)
+    six = F.when(k == 4, None).otherwise(ev.all_finite(F.slice(e, 1, 6), 6))
+    turned = F.when(k == 3, None).otherwise((n > 0) & n.between(0.1, 0.5))
+    r = table(spark, d, "embeddings").select("vec_id", six.alias("six_axis_finite"), turned.alias("orientation_usable"))
+    why = F.array(F.when(F.col("six_axis_finite").isNull(), "measurement_unknown").when(~F.col("six_axis_finite"), "measurement_nonfinite"), F.when(F.col("orientation_usable").isNull(), "orientation_unknown").when(~F.col("orientation_usable"), "orientation_unusable"))
+    return r.withColumn("reasons", F.array_join(why, ","))
+
+
+@query()
+def site_fits(spark, d):
+    """The ground of each session's site by three estimators, or why there is none."""
+    from ..operators import ground
+
+    p = valid_points(spark, d).filter("frame_index is not null")
+    f = ground.site_fits(p, ["session_id"], {"least_points": 20, "band_m": 0.15, "rms_m": 0.2, "check_p95_m": 0.6, "agree_deg": 6.0, "agree_m": 0.3, "spread_deg": 90.0, "mode": ground.Mode.ROBUST})
+    return f.select("session_id", "status", "reason", *[rnd(c, 5).alias(c) for c in ("nx", "ny", "nz", "d", "rms", "check_p95")])

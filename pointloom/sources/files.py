@@ -186,9 +186,43 @@ def retention(df: DataFrame, keys: list[str], priority: str, created: str, keep:
     return df.withColumn("evict", F.row_number().over(w) > keep)
 
 
-def append_records(batch: DataFrame, path: str, records_per_file: int = 100_000) -> None:
-    """A foreachBatch sink: JSON lines in files of bounded size."""
+def append_records(batch: DataFrame, path: str, records_per_file: int = 100_000, keep_files: int | None = None) -> None:
+    """A foreachBatch sink: JSON lines in files of bounded size. With ``keep_files`` the oldest files beyond that many go, as
+    a log that rotates; without, nothing is ever removed."""
     batch.write.mode("append").option("maxRecordsPerFile", records_per_file).json(path)
+    if keep_files is not None:
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        files = [f for f in system.get_file_info(fs.FileSelector(name)) if f.is_file and f.base_name.startswith("part-")]
+        for f in sorted(files, key=lambda f: (f.mtime, f.base_name), reverse=True)[keep_files:]:
+            system.delete_file(f.path)
+
+
+def save_pair(folder: str, report: dict, plane: dict) -> None:
+    """A fit's report and its plane, sealed by the report's digest: both files are made anew or neither stays."""
+    text = json.dumps(report, sort_keys=True, allow_nan=False)
+    sealed = json.dumps({"plane": plane, "report_sha256": hashlib.sha256(text.encode()).hexdigest()}, sort_keys=True, allow_nan=False)
+    os.makedirs(folder, exist_ok=True)
+    first = os.path.join(folder, "report.json")
+    with open(first, "x") as f:
+        f.write(text)
+    try:
+        with open(os.path.join(folder, "plane.json"), "x") as f:
+            f.write(sealed)
+    except OSError:
+        os.remove(first)
+        raise
+
+
+def verified_planes(spark: SparkSession, root: str, bindings: DataFrame) -> DataFrame:
+    """(name, outcome, plane) of every saved pair under root against its declared binding (name, report_sha256): the plane
+    counts only if the report's bytes, the seal and the declaration all have one digest; else outcome names what differs."""
+    read = lambda leaf: spark.read.format("binaryFile").load(f"{root}/*/{leaf}").select(F.element_at(F.split("path", "/"), -2).alias("name"), F.sha2("content", 256).alias(f"{leaf[:-5]}_sha"), F.decode("content", "UTF-8").alias(leaf[:-5]))
+    j = read("report.json").join(read("plane.json"), "name", "full_outer").join(bindings.select("name", F.col("report_sha256").alias("declared")), "name", "left")
+    seal = F.get_json_object("plane", "$.report_sha256")
+    o = F.when(F.col("report").isNull() | F.col("plane").isNull(), "incomplete").when(F.col("declared").isNull(), "not_declared").when(F.col("report_sha") != F.col("declared"), "report_changed").when(~F.coalesce(seal == F.col("declared"), F.lit(False)), "seal_differs").otherwise("verified")
+    return j.select("name", o.alias("outcome"), F.when(o == "verified", F.get_json_object("plane", "$.plane")).alias("plane"))
 
 
 def sha256_file(path: str) -> str:

@@ -42,6 +42,7 @@ def holds():
         "regions_of_interest": (F.col("roi").isin("SEARCH", "LOCKED", "LOST", "RECOVER") & (F.col("radius").isNull() | F.col("radius").between(0.5, 3.0)), None),
         "registered_halves": (F.col("angle_deg").between(0, 180) & (F.col("rms_m") >= 0), None),
         "semi_markov_states": (F.col("low_probability").between(0, 1), None),
+        "site_fits": (F.col("status").isin("fitted", "failed") & (F.col("reason").isNull() == (F.col("status") == "fitted")), None),
         "stance_baselines": (F.col("status").isin("idle", "pending", "ready", "failed") & (F.col("baseline").isNotNull() == (F.col("status") == "ready")), None),
         "target_lock": (F.col("status").isin("unselected", "locked", "occluded", "ambiguous", "lost") & ((F.col("status") != "locked") | ~F.col("predicted")), None),
         "tracked_centroids": (F.col("status").isin("start", "update", "coast", "lost", "none"), None),

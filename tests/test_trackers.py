@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import aggregates, evidence, fitting, models, windows
+from pointloom.operators import aggregates, evidence, fitting, ground, models, windows
+from pointloom.sources import files
 from pointloom.streaming import stateful, trackers
 
 
@@ -211,3 +212,46 @@ def test_streams_of_freshness_and_distinct_events(spark, tmp_path):
     q.stop()
     got = {tuple(r) for r in spark.table("watchdog_out").collect()}
     assert got == {("a", 4.0, "fresh"), ("b", 3.0, "fresh"), ("a", 4.0, "unknown"), ("b", 3.0, "unknown")}
+
+
+def test_site_fit():
+    rng = np.random.RandomState(6)
+    n = 40
+    frame = np.repeat(np.arange(30), n)
+    p = np.column_stack([rng.rand(30 * n, 2) * 4 - 2, -2.4 + rng.randn(30 * n) * 0.01])
+    body = np.column_stack([rng.rand(300, 2), rng.rand(300) * 1.5 - 2.2])
+    f, q = np.concatenate([frame, rng.randint(0, 30, 300)]), np.concatenate([p, body])
+    got = ground.fit_site(f, q)
+    assert got.status == "fitted" and got.offset == pytest.approx(2.4, abs=0.02) and got.normal[2] > 0.999 and got.rms < 0.05
+    assert ground.fit_site(f, q, validator=lambda n, d: d < 1).reason == "rejected"
+    assert ground.fit_site(np.where(f >= 20, f + 5, f), q).reason == "no_contiguous_frames" and ground.fit_site(f[:0], q[:0]).reason == "no_contiguous_frames"
+    assert ground.fit_site(f, q, ground.SiteSettings(least_points=10**6)).reason == "few_points"
+    held = q.copy()
+    held[np.isin(f, [25, 26, 27])] += [0, 0, 0.25]
+    assert ground.fit_site(f, held).reason == "held_out"
+    for bad in ({"no_such": 1}, {"rms_m": "x"}, {"rms_m": float("nan")}, {"fit_frames": 2.5}, {"mode": "strict"}):
+        with pytest.raises(ValueError):
+            ground.SiteSettings.resolve(**bad)
+    with pytest.raises(ValueError):
+        ground.register_estimator("tls", fitting.plane_svd)
+
+
+def test_rotation_pairs_and_verified_planes(spark, tmp_path):
+    import json
+    import os
+
+    rows = spark.createDataFrame([(k,) for k in range(10)], "k long").coalesce(1)
+    for _ in range(3):
+        files.append_records(rows, str(tmp_path / "log"), 2, keep_files=6)
+    assert len([f for f in os.listdir(tmp_path / "log") if f.startswith("part-")]) == 6
+    for name in "abc":
+        files.save_pair(str(tmp_path / "fits" / name), {"name": name, "rms": 0.1}, {"d": 2.4})
+    with pytest.raises(FileExistsError):
+        files.save_pair(str(tmp_path / "fits" / "a"), {}, {})
+    digest = {n: files.sha256_file(str(tmp_path / "fits" / n / "report.json")) for n in "abc"}
+    (tmp_path / "fits" / "b" / "report.json").write_text("{}")
+    seal = tmp_path / "fits" / "c" / "plane.json"
+    seal.write_text(json.dumps(json.loads(seal.read_text()) | {"report_sha256": "0"}))
+    files.save_pair(str(tmp_path / "fits" / "d"), {"x": 1}, {"d": 1.0})
+    got = {r["name"]: (r["outcome"], r["plane"]) for r in files.verified_planes(spark, str(tmp_path / "fits"), spark.createDataFrame(list(digest.items()), "name string, report_sha256 string")).collect()}
+    assert got == {"a": ("verified", '{"d":2.4}'), "b": ("report_changed", None), "c": ("seal_differs", None), "d": ("not_declared", None)}
