@@ -96,7 +96,7 @@ def stream_groups(
             for k in keys:
                 same &= pdf[k].isna() if pd.isna(last[k]) else pdf[k].eq(last[k])
             cut = len(pdf) - int(same.to_numpy()[::-1].cumprod().sum())
-            if cut == 0 and held and all(_same(held[-1][k].iloc[-1], last[k]) for k in keys):
+            if cut == 0 and held and all(same_value(held[-1][k].iloc[-1], last[k]) for k in keys):
                 held.append(pdf)
                 continue
             whole = [*held, pdf.iloc[:cut]]
@@ -117,7 +117,8 @@ def _frames(made: pd.DataFrame | Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
         yield from made
 
 
-def _same(a, b) -> bool:
+def same_value(a, b) -> bool:
+    """Equal, or both missing."""
     return (pd.isna(a) and pd.isna(b)) or a == b
 
 

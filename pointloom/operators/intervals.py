@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import group_starts, latest_per_key, stream_groups, trim_blanks
+from ..core import group_starts, latest_per_key, same_value, stream_groups, trim_blanks
 
 
 class IntervalMap:
@@ -60,35 +60,64 @@ def merge_intervals(
     result; repeated rows change nothing; other columns are left out.
 
     Each task first merges what it holds of an entity, without a shuffle: a hot entity then sends at most its
-    disjoint periods per task, and the merge after the shuffle is exact whatever the split was.
+    disjoint periods per task, and the merge after the shuffle is exact whatever the split was. That merge gets the periods
+    in order and hands out what no later one can change, so from batch to batch only an entity's last period is kept.
     """
     entity = list(entity)
     rows = df.select(*entity, F.col(start).cast("bigint").alias("__lo"), F.col(end).cast("bigint").alias("__hi"))
     kinds = dict(rows.dtypes)
     head = ", ".join(f"`{c}` {kinds[c]}" for c in entity)
 
-    def fold(pdf: pd.DataFrame, final: bool) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         cuts = group_starts(pdf, entity)
         lo, hi = pdf["__lo"].tolist(), pdf["__hi"].tolist()
-        at, piece, a, b = [], [], [], []
+        at, a, b = [], [], []
         for g in range(len(cuts) - 1):
             kept = IntervalMap()
             for r in range(cuts[g], cuts[g + 1]):
                 kept.insert(lo[r], hi[r])
-            out = kept.pieces() if final else [("period", x, y) for x, y in zip(kept.starts, kept.ends)]
-            at += [cuts[g]] * len(out)
-            for p, x, y in out:
-                piece.append(p)
-                a.append(x)
-                b.append(y)
+            at += [cuts[g]] * len(kept.starts)
+            a += kept.starts
+            b += kept.ends
         res = pdf[entity].iloc[at].reset_index(drop=True)
-        if final:
-            res["piece"] = piece
-        res["__lo"], res["__hi"] = pd.array(a, "int64"), pd.array(b, "int64")
-        return res
-
-    part = stream_groups(rows, entity, ["__lo", "__hi"], lambda p: fold(p, False), f"{head}, __lo bigint, __hi bigint", shuffle=False)
-    done = stream_groups(part, entity, ["__lo", "__hi"], lambda p: fold(p, True), f"{head}, piece string, __lo bigint, __hi bigint")
+        return res.assign(__lo=pd.array(a, "int64"), __hi=pd.array(b, "int64"))
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, open_ = None, None  # the entity that goes on in the next batch, as a frame of one row, and its last period
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cuts = group_starts(pdf, entity)
+            lo, hi = pdf["__lo"].tolist(), pdf["__hi"].tolist()
+            at, piece, a, b = [], [], [], []
+            before = None
+            if open_:
+                first = pdf[entity].iloc[0]
+                if not all(same_value(key.iloc[0][c], first[c]) for c in entity):
+                    before = key.assign(piece="period", __lo=open_[0], __hi=open_[1])
+                    open_ = None
+            for g in range(len(cuts) - 1):
+                kept = IntervalMap(*([[v] for v in open_] if open_ else []))
+                open_ = None
+                for r in range(cuts[g], cuts[g + 1]):
+                    kept.insert(lo[r], hi[r])
+                out = kept.pieces()
+                if g == len(cuts) - 2:
+                    open_ = (kept.starts[-1], kept.ends[-1])
+                    out.remove(("period", *open_))
+                at += [cuts[g]] * len(out)
+                for p, x, y in out:
+                    piece.append(p)
+                    a.append(x)
+                    b.append(y)
+            key = pdf[entity].iloc[[len(pdf) - 1]].reset_index(drop=True)
+            res = pdf[entity].iloc[at].reset_index(drop=True).assign(piece=piece, __lo=pd.array(a, "int64"), __hi=pd.array(b, "int64"))
+            yield res if before is None else pd.concat([before, res], ignore_index=True)
+        if open_:
+            yield key.assign(piece="period", __lo=open_[0], __hi=open_[1])
+
+    part = stream_groups(rows, entity, ["__lo", "__hi"], fold, f"{head}, __lo bigint, __hi bigint", shuffle=False)
+    done = part.repartition(*entity).sortWithinPartitions(*entity, "__lo", "__hi").mapInPandas(finish, f"{head}, piece string, __lo bigint, __hi bigint")
     kind = df.schema[start].dataType
     return done.select(*entity, "piece", F.col("__lo").cast(kind).alias(start), F.col("__hi").cast(kind).alias(end))
 

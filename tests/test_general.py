@@ -57,6 +57,24 @@ def test_hot_entity_is_merged_before_the_shuffle(spark):
     assert (got["piece"] == "period").sum() == 5000 and (got["piece"] == "gap").sum() == 4999
 
 
+def test_entities_over_many_batches(spark):
+    """Batches of a few rows: an entity goes on from batch to batch with its last period, null entities too."""
+    rng = np.random.RandomState(7)
+    rows = [(["a", "b", None][rng.randint(3)], int(x), int(x) + int(rng.randint(0, 40))) for x in rng.randint(0, 20_000, 900)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = intervals.merge_intervals(spark.createDataFrame(rows, "e string, a int, b int").repartition(3), ["e"], "a", "b").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for e in ("a", "b", None):
+        m = intervals.IntervalMap()
+        for k, x, y in rows:
+            if k == e:
+                m.insert(x, y)
+        assert sorted((r["piece"], r["a"], r["b"]) for r in got if r["e"] == e) == sorted(m.pieces())
+
+
 META = "session_id string, frame_index int, stamp_sec long, stamp_nanosec long, count_points long, recv_ts string, slot_no int"
 
 
