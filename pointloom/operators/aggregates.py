@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..core import ensure_checkpoint_dir
 from ..functions.arrays import bind
 
 
@@ -209,6 +210,8 @@ def threshold_sweep(df: DataFrame, truth: str, score: str) -> DataFrame:
     """(score, tp, fp, precision, recall, step) at every distinct score, greatest first; step is the recall gained there.
     Scores are counted before they are ordered, so the running sums see distinct scores, not rows."""
     g = df.filter(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(score).agg(F.count_if(truth).alias("pos"), F.count("*").alias("n"))
+    ensure_checkpoint_dir(df.sparkSession)
+    g = g.checkpoint()  # it is read for the cuts, for the stretches above, and for the sums
     s = _running(g, score, ["pos", "n"]).crossJoin(F.broadcast(g.agg(F.nullif(F.sum("pos"), F.lit(0)).alias("positives"))))
     return s.select(
         score, F.col("run_pos").alias("tp"), (F.col("run_n") - F.col("run_pos")).alias("fp"), (F.col("run_pos") / F.col("run_n")).alias("precision"),

@@ -134,17 +134,20 @@ def voxel_support(df: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
 
 def grid_support(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds supported: how many of a cell's 8 neighbours (ring, col) are at a like range: |a - b| <= max(0.05, 0.012
-    min(a, b)); edge: some neighbour jumps by over 0.2. Each pair of neighbours is formed once and told to both."""
-    from .joins import grid_neighbours
-
+    min(a, b)); edge: some neighbour jumps by over 0.2. Each cell tells its range to the eight around it, so one aggregate
+    of nine numbers a cell does it, without a join. Other columns of the cells are left out."""
     keys = list(keys)
-    pairs = grid_neighbours(cells.select(*keys, "ring", "col", "range_m"), keys)
-    gap = F.abs(F.col("range_m") - F.col("range_m_r"))
-    like = gap <= F.greatest(F.lit(0.05), 0.012 * F.least("range_m", "range_m_r"))
-    both = F.explode(F.array(F.struct("ring", "col"), F.struct(F.col("ring_r").alias("ring"), F.col("col_r").alias("col"))))
-    told = pairs.select(*keys, both.alias("c"), like.alias("like"), (gap > 0.2).alias("jump")).select(*keys, "c.*", "like", "jump")
-    hit = told.groupBy(*keys, "ring", "col").agg(F.count_if("like").alias("supported"), F.max("jump").alias("edge"))
-    return cells.join(hit, [*keys, "ring", "col"], "left").fillna({"supported": 0, "edge": False})
+    told = F.explode(F.array(*[F.struct((F.col("ring") + a).alias("ring"), (F.col("col") + b).alias("col"), F.lit(k).alias("k")) for k, (a, b) in enumerate(NEAR_2D)]))
+    around = cells.select(*keys, told.alias("c"), "range_m").select(*keys, "c.*", "range_m")
+    got = around.groupBy(*keys, "ring", "col").agg(*[F.max(F.when(F.col("k") == k, F.col("range_m"))).alias(f"__r{k}") for k in range(9)])
+    own = F.col("__r4")
+    gaps = [(F.abs(own - F.col(f"__r{k}")), F.greatest(F.lit(0.05), 0.012 * F.least(own, F.col(f"__r{k}"))), F.col(f"__r{k}")) for k in range(9) if k != 4]
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    like = sum((yes((g <= lim) & o.isNotNull()).cast("bigint") for g, lim, o in gaps), F.lit(0).cast("bigint"))
+    edge = F.lit(False)
+    for g, _, _ in gaps:
+        edge = edge | yes(g > 0.2)
+    return got.filter(own.isNotNull()).select(*keys, "ring", "col", own.alias("range_m"), like.alias("supported"), edge.alias("edge"))
 
 
 def dynamic_points(df: DataFrame, keys: Sequence[str], frame: str, radius: float) -> DataFrame:
