@@ -360,47 +360,47 @@ def _clean(labelled: dict[str, Counter], total: dict[str, int]) -> dict[str, lis
     under a wrong name and is dropped; each sentence goes to the label that explains it best (ties: the commoner); a label
     that keeps less than KEPT of its text is dropped too, and the rest judge again.
     """
-    grams = {s: Counter(_grams(s)) for sents in labelled.values() for s in sents}
-    half = {s: zlib.crc32(s.encode()) & 1 for s in grams}
-    kept = {c: dict(s) for c, s in labelled.items()}
+    labels = sorted(labelled, key=lambda c: (-total.get(c, 0), c))
+    sents = sorted({s for held in labelled.values() for s in held})
+    if not sents:
+        return {}
+    # sentences as runs of (gram, times); a row of n per sentence and label tells how often it is labelled so
+    number: dict[str, int] = {}
+    runs = [Counter(_grams(s)) for s in sents]
+    ids = np.array([number.setdefault(g, len(number)) for r in runs for g in r])
+    times = np.array([m for r in runs for m in r.values()], "float64")
+    first = np.concatenate([[0], np.cumsum([len(r) for r in runs])[:-1]])
+    of = np.repeat(np.arange(len(sents)), [len(r) for r in runs])
+    size = np.add.reduceat(times, first)
+    half = np.array([zlib.crc32(s.encode()) & 1 for s in sents])
+    told = np.array([[labelled[c].get(s, 0) for c in labels] for s in sents], "float64")
+    seen = told * np.array([total.get(c, 1) for c in labels])
+    share = seen / seen.sum(1, keepdims=True)
+    trust = np.minimum(20, told.sum(1))
+    kept, live = told.copy(), list(range(len(labels)))
     for _ in range(3):
-        order = sorted(kept, key=lambda c: (-total.get(c, 0), c))
-        models = []
+        scores = np.zeros((len(sents), len(labels)))
         for f in (0, 1):
-            counts = {c: Counter() for c in order}
-            for c in order:
-                for s, n in kept[c].items():
-                    if half[s] != f:
-                        for g, m in grams[s].items():
-                            counts[c][g] += m * n
-            size = {c: sum(x.values()) + 1 for c, x in counts.items()}
-            vocab = len({g for x in counts.values() for g in x}) + 1
-            models.append([(c, {g: math.log((n + 0.1) / (size[c] + 0.1 * vocab)) for g, n in counts[c].items()}, math.log(0.1 / (size[c] + 0.1 * vocab))) for c in order])
-        scores = {s: [(c, sum(m * logs.get(g, base) for g, m in gs.items())) for c, logs, base in models[half[s]]] for s, gs in grams.items()}
-        for k in range(len(order) - 1, 0, -1):
-            own = [0.0] * (k + 1)
-            n = 0
-            for s, w in kept[order[k]].items():
-                n += w * sum(grams[s].values())
-                for j in range(k + 1):
-                    own[j] += w * scores[s][j][1]
-            if max(own[:k]) >= own[k] - AS_WELL * n:
-                del kept[order[k]]
-        vote = {}
-        wrong = math.log(0.15 / max(1, len(kept) - 1))
-        for s, gs in grams.items():
-            # how the sentence itself is labelled across the corpus, in documents and as if 15 % of labels were wrong
-            seen = {c: labelled[c].get(s, 0) * total.get(c, 1) for c in labelled}
-            n, every = min(20, sum(labelled[c].get(s, 0) for c in labelled)), sum(seen.values())
-            live = [(c, x + n * (wrong + seen[c] / every * (math.log(0.85) - wrong))) for c, x in scores[s] if c in kept]
-            floor = max(x for _, x in live) - NEAR * sum(gs.values())
-            vote[s] = next(c for c, x in live if x >= floor)
-        order = [c for c in order if c in kept]
-        kept = {c: {s: n for s, n in labelled[c].items() if vote[s] == c} for c in order}
-        kept = {c: sents for c, sents in kept.items() if sum(sents.values()) >= KEPT * sum(labelled[c].values())}
-        if not kept:
+            mine = half == f
+            counts = {c: np.bincount(ids, times * np.where(mine, 0.0, kept[:, c])[of], len(number)) for c in live}
+            vocab = int((sum(counts.values()) > 0).sum()) + 1
+            for c, n in counts.items():
+                logs = np.log((n + 0.1) / (n.sum() + 1 + 0.1 * vocab))
+                scores[mine, c] = np.add.reduceat(times * logs[ids], first)[mine]
+        # the rarest first: is it explained by a commoner one?
+        for k in range(len(live) - 1, 0, -1):
+            own = kept[:, live[k]] @ scores[:, live[: k + 1]]
+            if own[:k].max() >= own[k] - AS_WELL * (kept[:, live[k]] @ size):
+                del live[k]
+        wrong = math.log(0.15 / max(1, len(live) - 1))
+        # how the sentence itself is labelled across the corpus, in documents and as if 15 % of labels were wrong
+        x = scores[:, live] + trust[:, None] * (wrong + share[:, live] * (math.log(0.85) - wrong))
+        vote = np.array(live)[(x >= (x.max(1) - NEAR * size)[:, None]).argmax(1)]
+        kept = told * (vote[:, None] == np.arange(len(labels))[None])
+        live = [c for c in live if kept[:, c].sum() >= KEPT * told[:, c].sum()]
+        if not live:
             return {}
-    return {c: sorted(sents, key=lambda s: (-sents[s], s)) for c, sents in kept.items()}
+    return {labels[c]: [sents[k] for k in sorted(np.flatnonzero(kept[:, c]), key=lambda k: (-told[k, c], sents[k]))] for c in live}
 
 
 def fit_languages(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, chars: int = AUTOMATON_CHARS) -> Languages:
