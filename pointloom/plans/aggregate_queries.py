@@ -178,7 +178,9 @@ def wilson_intervals(spark, d):
 def rollup_by_sensor(spark, d):
     c = table(spark, d, "session_catalog").groupBy(F.col("sid").alias("session_id")).agg(F.max("sensor_id").alias("sensor_id"))
     j = records(spark, d).join(c, "session_id", "left")
-    return j.rollup("sensor_id", "session_id").agg(F.count("*").alias("rows"), F.count("height_median_m").alias("measured"), rnd(F.avg("height_median_m")).alias("mean_height"))
+    # summed as decimals: a mean at the edge of rounding doesn't hang on the order of the rows
+    mean = F.avg(F.col("height_median_m").cast("decimal(24,10)")).cast("double")
+    return j.rollup("sensor_id", "session_id").agg(F.count("*").alias("rows"), F.count("height_median_m").alias("measured"), rnd(mean).alias("mean_height"))
 
 
 @query(f"""with {REC}, h as (select session_id, height_median_m as v, row_number() over (partition by session_id order by height_median_m) - 1 as r, count(*) over (partition by session_id) as n from rec where height_median_m is not null)
